@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import line_dedup, near_dedup, quality_rules
+from kinlink.llm import bpe, line_dedup, near_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup_digest(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_near_dedup": op4_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules}
+    return {"op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
