@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules
+from kinlink.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op5_decontaminate": op5_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules}
+    return {"op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
