@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules, warc
+from kinlink.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules}
+    return {"op2_language_id": op2_language_id, "op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
