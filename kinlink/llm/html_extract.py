@@ -283,7 +283,8 @@ def labelled_pages(pages: int = 240, seed: int = 7) -> list[str]:
             + (box("form", "search", off(1, 6)) if layout != 2 and rng.random() < 0.4 else "")
             + (box("footer", "footer", off(3, 25) if layout != 2 else off(3, 10)) if rng.random() < 0.8 else "")
         )
-    return made
+    # Some pages are cut off on their way.
+    return [p[: rng.randrange(len(p) // 3, len(p))] if rng.random() < 0.25 else p for p in made]
 
 
 def train_tree() -> DecisionTree:
