@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm import textkit
+from kinlink.llm import bitmap, textkit
 from kinlink.llm.components import connected_components
 from kinlink.llm.workdir import materialize
 
@@ -32,6 +32,8 @@ N_HASHES = 252
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 200_000
 SEED = 20_11
+#: Sizes of the bitmaps that are broadcast, 2 MB each at most.
+BITMAP_BITS = 1 << 24
 
 
 def plan_bands(threshold: float, n_hashes: int = N_HASHES, miss: float = 1e-5) -> tuple[int, int]:
@@ -106,8 +108,27 @@ def _signer(width: int, rows: int, bands: int):
     return run
 
 
-def _setter(width: int):
-    """Set and short signature of texts that are to be compared."""
+def _band_filter(bits):
+    """Band keys of each class that may be shared with another class."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = batch.column("bands")
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
+            hit = bitmap.holds(bits.value, flat)
+            rows = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep").take(rows), batch.column("n").take(rows), pa.array(flat[hit])], names=["rep", "n", "key"]
+            )
+
+    return run
+
+
+def _setter(width: int, bits):
+    """Set and short signature of texts that may be among those to be compared."""
 
     def run(batches):
         import pyarrow as pa
@@ -117,6 +138,8 @@ def _setter(width: int):
             [("rep", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary()), ("items", pa.binary())]
         )
         for batch in batches:
+            hit = bitmap.holds(bits.value, batch.column("h").to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(hit))
             out = {name: [] for name in schema.names}
             for doc, s in _texts_of(batch, "doc_id", "text", width):
                 k1, k2 = set_digest(s)
@@ -196,35 +219,34 @@ def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
 
     docs: doc_id, text. classes: rep, n, k1, k2, bands.
     """
-    banded = classes.select("rep", "n", "k1", "k2", F.explode("bands").alias("key"))
-    buckets = (
-        banded.groupBy("key")
-        .agg(
-            F.count("*").alias("size"),
-            F.min("rep").alias("lo"),
-            F.max("rep").alias("hi"),
-            F.bit_xor(F.xxhash64("rep")).alias("fp"),
-            F.sum("n").alias("shingles"),
-        )
-        .where("size > 1")
+    context = docs.sparkSession.sparkContext
+    shared = materialize(
+        classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"),
+        "shared",
     )
+    bits = context.broadcast(bitmap.build(shared, "key", BITMAP_BITS))
+    banded = classes.select("rep", "n", "bands").mapInArrow(_band_filter(bits), "rep long, n long, key long")
+    members = materialize(banded.join(shared, "key"), "members")
     # The same members often meet in several bands; one such bucket is enough.
-    buckets = buckets.groupBy("size", "lo", "hi", "fp", "shingles").agg(F.min("key").alias("key"))
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    members = materialize(
-        banded.join(buckets.select("key", blocks.alias("blocks")), "key").select("key", "blocks", "rep", "k1", "k2"),
-        "members",
+    buckets = (
+        members.groupBy("key", "size")
+        .agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("fp"), F.sum("n").alias("total"))
+        .groupBy("size", "lo", "hi", "fp", "total")
+        .agg(F.min("key").alias("key"))
     )
-    wanted = members.select("rep", "k1", "k2").distinct()
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id"), "k1", "k2"), "doc_id")
-    sets = texts.select("doc_id", "text").mapInArrow(
-        _setter(width), "rep long, c1 long, c2 long, sig binary, items binary"
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    members = materialize(
+        members.select("key", "rep").join(buckets.select("key", blocks.alias("blocks")), "key"), "members"
     )
+    wanted = members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep")
+    doc_bits = context.broadcast(bitmap.build(members.select(F.xxhash64("rep").alias("h")), "h", BITMAP_BITS))
+    hashed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    sets = hashed.mapInArrow(_setter(width, doc_bits), "rep long, c1 long, c2 long, sig binary, items binary")
+    sets = sets.join(wanted, "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
     blk = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
     paired = (
         members.withColumn("blk", blk)
         .join(sets, "rep")
-        .where("c1 = k1 and c2 = k2")
         .select("key", "rep", "blk", "sig", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
         .select("key", F.least("blk", "o").alias("b1"), F.greatest("blk", "o").alias("b2"), "rep", "blk", "sig", "items")
     )
