@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bpe, decontaminate, html_extract, language_id, line_dedup, near_dedup, quality_rules, warc
+from kinlink.llm import bpe, decontaminate, html_extract, language_id, line_dedup, near_dedup, quality_rules, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter_digest(_table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id_digest(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extract": op9_html_extract}
+    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extract": op9_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:
