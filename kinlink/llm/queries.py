@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import bpe, decontaminate, html_extract, language_id, line_dedup, near_dedup, quality_rules, url_filter, warc
+from kinlink.llm import bpe, decontaminate, html_extract, language_id, line_dedup, near_dedup, quality_lm, quality_rules, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,23 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.html_extract_digest(_table(spark, sf_dir, "pages"))
 
 
+def op10_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.quality_lm_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_language_id": op2_language_id, "op3_bpe": op3_bpe, "op4_near_dedup": op4_near_dedup, "op5_decontaminate": op5_decontaminate, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extract": op9_html_extract}
+    return {
+        "op1_url_filter": op1_url_filter,
+        "op2_language_id": op2_language_id,
+        "op3_bpe": op3_bpe,
+        "op4_near_dedup": op4_near_dedup,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_warc": op6_warc,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_html_extract": op9_html_extract,
+        "op10_quality_lm": op10_quality_lm,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
