@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.workdir import materialize
+from kinlink.llm.workdir import bound_batches, materialize
 
 MAX_LANGS = 200
 MAX_WORDS = 20_000
@@ -172,7 +172,7 @@ class _Votes(dict):
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Count words and n-grams of all rows with a language and a text; keep the most frequent."""
-    known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = bound_batches(rows).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     words = known.mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words, "words")
@@ -202,7 +202,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
-    source = docs.select(*kept, docs[text_col].cast("string").alias("__text"))
+    source = bound_batches(docs).select(*kept, docs[text_col].cast("string").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -229,3 +229,11 @@ def language_id_digest(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", "lang", held_out(docs).alias("held_out"))
     model = train(marked.where("not held_out"))
     return predict_languages(marked.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
+    """docs without those whose language stays undetermined or scores below min_score; columns as they are."""
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    judged = predict_languages(docs.toDF(*inner), model, inner[docs.columns.index(text_col)])
+    clear = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
+    return judged.where(clear).select(*inner).toDF(*docs.columns)

@@ -92,6 +92,17 @@ def dedup_lines(
     )
 
 
+def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with repeated lines dropped from the texts; a column for their length, if there is one, is kept true."""
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]
+    cleaned = dedup_lines(docs.toDF(*inner), inner[names.index(id_col)], inner[names.index(text_col)]).select(*inner)
+    if length_col in names:
+        at = inner[names.index(length_col)]
+        cleaned = cleaned.withColumn(at, F.length(inner[names.index(text_col)]).cast(docs.schema[length_col].dataType))
+    return cleaned.toDF(*names)
+
+
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of what stays of each text."""
     return dedup_lines(docs).select(
