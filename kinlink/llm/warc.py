@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinlink.llm.workdir import fresh_folder, materialize
+from kinlink.llm.workdir import bound_batches, fresh_folder, materialize
 
 CHUNK_BYTES = 256 << 10
 DATE = "2024-01-01T00:00:00Z"
@@ -120,7 +120,7 @@ def _writer(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write pages to a new folder; returns the manifest (archive, records)."""
-    rows = chunk_table(classify(pages, min_bytes), chunk_bytes)
+    rows = chunk_table(classify(bound_batches(pages), min_bytes), chunk_bytes)
     return materialize(rows.mapInArrow(_writer(folder), "archive string, records long"), "manifest")
 
 
@@ -199,7 +199,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
     Every row carries the length and digest of its record up to and with it; a record's last row has those of the whole payload, checked
     against the header. A revisit has one empty chunk and the values its header states.
     """
-    files = manifest.select("archive").repartition(max(1, manifest.count()))
+    files = bound_batches(manifest).select("archive").repartition(max(1, manifest.count()))
     return files.mapInArrow(_reader(chunk_bytes, with_data), CHUNKS)
 
 
