@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kinlink.llm.workdir import bound_batches
+
 DEFAULT_FILE = "word_bpe_49k.json"
 CACHE_WORDS = 250_000
 OUTPUTS = {
@@ -206,7 +208,7 @@ def encode_documents(
     """The kept columns (None: all) and the chosen OUTPUTS of each row's text, encoded and decoded again."""
     path = path or default_path()
     kept = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
-    source = docs.select(*kept, docs[text_col].cast("string").alias("__text"))
+    source = bound_batches(docs).select(*kept, docs[text_col].cast("string").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
 
     def run(batches):

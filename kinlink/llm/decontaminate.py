@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm import textkit
-from kinlink.llm.workdir import materialize
+from kinlink.llm.workdir import bound_batches, materialize
 
 #: Fixed masks, 1 for a position that counts. Each keeps five words of a span of five to ten.
 MASKS = ("11111", "1101011", "110010101", "1010011001")
@@ -211,7 +211,7 @@ def find_overlaps(
     )
     bitmap = spark.sparkContext.broadcast(_bitmap(item_seeds, BITMAP_BITS))
     # A row's number only tells rows with equal ids apart; it is fixed once the regions are written.
-    numbered = docs.select(
+    numbered = bound_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")
     )
     regions = materialize(

@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kinlink.llm.workdir import bound_batches
+
 # HTML's elements by role.
 BLOCK_TAGS = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -321,7 +323,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
                     names=[*kept, "text", "n_chars"],
                 )
 
-    return pages.select(*kept, pages[html_col].cast("string").alias("__html")).mapInArrow(run, schema)
+    return bound_batches(pages).select(*kept, pages[html_col].cast("string").alias("__html")).mapInArrow(run, schema)
 
 
 def html_extract_digest(pages: DataFrame) -> DataFrame:

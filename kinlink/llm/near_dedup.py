@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import bitmap, textkit
 from kinlink.llm.components import connected_components
-from kinlink.llm.workdir import materialize
+from kinlink.llm.workdir import bound_batches, materialize
 
 N_HASHES = 252
 BLOCK_ROWS = 256
@@ -263,7 +263,7 @@ def near_duplicates(
     Rows are linked if 100 * (shingles in both) >= percent * (shingles in either); component_id is
     the smallest id reachable over links, and the row with that id is kept.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, bands = plan_bands(percent / 100)
     signed = materialize(
         plain.mapInArrow(_signer(width, rows, bands), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "signed"
