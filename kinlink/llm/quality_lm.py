@@ -17,15 +17,19 @@ any trusted text nothing has a perplexity and nothing is kept.
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm import textkit
 from kinlink.llm.workdir import bound_batches, materialize
 
 ORDER = 5
-PACK_ENTRIES = 1_500_000
+PACK_ENTRIES = 3_000_000
+BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 150_000
 MAX_WORD = 60  # longer words are cut into pieces of this length, each a word of its own
 QUANTILE = 0.995
@@ -180,71 +184,143 @@ def pack_shards(model: DataFrame, most: int = PACK_ENTRIES) -> list[list[tuple[s
     return packs
 
 
+def _fold(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h * textkit.ODD + c.astype(np.uint64) + np.uint64(1)
+        return h ^ (h >> np.uint64(29))
+
+
+def _keys(chars: list[np.ndarray], kind: int) -> np.ndarray:
+    """64-bit keys of strings given by arrays of their last, next to last, ... character."""
+    h = np.full(len(chars[0]) if chars else 1, np.uint64(kind + 1), dtype=np.uint64)
+    for c in chars:
+        h = _fold(h, c)
+    return textkit.mix(h + np.uint64(len(chars)))
+
+
+GRAM, BACK_OFF, UNSEEN = 0, 1, 2
+
+
+def _hash_entries(batches):
+    """The model's rows with a key instead of their strings."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ctx, c = batch.column("ctx").to_pylist(), batch.column("c").to_pylist()
+        kinds = np.array([BACK_OFF if x is None else GRAM if x else UNSEEN for x in c], dtype=np.int32)
+        length = np.array([len(x) for x in ctx])
+        points = np.array([x[::-1] for x in ctx] + ["." * ORDER], dtype=f"U{ORDER}").view(np.uint32).reshape(-1, ORDER)[:-1]
+        last = np.array([x or "." for x in c] + ["."], dtype="U1").view(np.uint32)[:-1]
+        keys = np.zeros(len(ctx), dtype=np.uint64)
+        for kind in (GRAM, BACK_OFF):
+            for n in range(ORDER):
+                rows = np.flatnonzero((kinds == kind) & (length == n))
+                if len(rows):
+                    before = [points[rows, k] for k in range(n)]
+                    keys[rows] = _keys([last[rows], *before] if kind == GRAM else before, kind)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(kinds), pa.array(keys.view(np.int64)), batch.column("value")], names=["lang", "kind", "key", "value"])
+
+
 class Scorer:
-    """Log-probabilities of words under the shards of one pack."""
+    """Log-probabilities of words under the shards of one pack: sorted keys and their values for each language."""
 
-    def __init__(self, entries: dict[str, dict], shards: dict[str, set]):
-        self.entries, self.shards = entries, shards
-        self.known: dict[str, dict] = {}
+    def __init__(self, tables: dict[str, dict], shards: dict[str, list[str]]):
+        self.tables = tables
+        self.shards = {lang: np.array([ord(s) for s in mine], dtype=np.uint32) for lang, mine in shards.items()}
+        self.known: dict[str, dict[str, float]] = {lang: {} for lang in tables}
 
-    def word(self, lang: str, word: str) -> float:
-        """The sum over those characters of a word whose context ends in one of the pack's shards."""
-        table, mine, total = self.entries[lang], self.shards[lang], 0.0
-        for ctx, c in events(word):
-            if ctx[-1] in mine:
-                total += self._event(table, ctx, c)
-        return total
+    @staticmethod
+    def pack(kinds: np.ndarray, keys: np.ndarray, values: np.ndarray) -> dict:
+        """Arrays to look keys up in."""
+        out = {}
+        for kind in (GRAM, BACK_OFF):
+            k, v = keys[kinds == kind].view(np.uint64), values[kinds == kind]
+            order = np.argsort(k)
+            out[kind] = k[order], v[order]
+        out[UNSEEN] = float(values[kinds == UNSEEN][0])
+        return out
 
     @staticmethod
-    def _event(table: dict, ctx: str, c: str) -> float:
-        back = 0.0
-        while True:
-            p = table.get((ctx, c))
-            if p is not None:
-                return back + p
-            if not ctx:
-                return back + table["", ""]
-            back += table.get((ctx, None), 0.0)
-            ctx = ctx[1:]
-
-    def text(self, lang: str, text: str | None) -> tuple[float, int]:
-        """(log-probability, predicted characters) of a text, for this pack."""
-        counts = Counter(pieces(text))
-        known = self.known.setdefault(lang, {})
+    def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value) of each key."""
+        k, v = table
+        if not len(k):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+        return k[at] == keys, v[at]
+
+    def words(self, lang: str, words: list[str]) -> np.ndarray:
+        """For each word the sum over those of its characters whose context ends in one of the pack's shards."""
+        table = self.tables[lang]
+        s = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32)
+        blank = s == 32
+        begun = np.maximum.accumulate(np.where(blank, np.arange(len(s)), 0))
+        owner = np.cumsum(blank)[:-1] - 1  # the word of each event, by its character before
+        at = np.arange(1, len(s))
+        mine = np.isin(s[:-1], self.shards[lang])
+        at, owner = at[mine], owner[mine]
+        length = np.minimum(at - begun[at - 1], ORDER - 1)
+        value, open_ = np.zeros(len(at)), np.ones(len(at), bool)
+        for n in range(ORDER - 1, -1, -1):
+            rows = np.flatnonzero(open_ & (length >= n))
+            if not len(rows):
+                continue
+            before = [s[at[rows] - k] for k in range(1, n + 1)]
+            found, v = self._look_up(table[GRAM], _keys([s[at[rows]], *before], GRAM))
+            value[rows[found]] += v[found]
+            open_[rows[found]] = False
+            left = rows[~found]
+            if n:
+                known, back = self._look_up(table[BACK_OFF], _keys([x[~found] for x in before], BACK_OFF))
+                value[left[known]] += back[known]
+            else:
+                value[left] += table[UNSEEN]
+        return np.bincount(owner, weights=value, minlength=len(words))
+
+    def texts(self, lang: str, texts: list[str | None]) -> list[tuple[float, int]]:
+        """(log-probability, predicted characters) of texts of one language, for this pack."""
+        counts = [Counter(pieces(t)) for t in texts]
+        known = self.known[lang]
         if len(known) > CACHE_WORDS:
             known.clear()
-        total = 0.0
-        for w, n in counts.items():
-            value = known.get(w)
-            if value is None:
-                known[w] = value = self.word(lang, w)
-            total += n * value
-        return total, sum((len(w) + 1) * n for w, n in counts.items())
+        new = list({w for c in counts for w in c if w not in known})
+        if new:
+            known.update(zip(new, self.words(lang, new).tolist(), strict=True))
+        out = []
+        for c in counts:
+            total = sum(map(operator.mul, c.values(), map(known.__getitem__, c)))
+            out.append((total, sum(map(operator.mul, c.values(), map(len, c))) + sum(c.values())))
+        return out
+
+
+SCORED = "row long, doc_id long, model_lang string, logp double, n long"
 
 
 def score(docs: DataFrame, model: DataFrame, packs: list[list[tuple[str, str]]] | None = None) -> DataFrame:
     """(row, doc_id, model_lang, logp, n): log-probability and number of predicted characters of each text.
 
-    docs: row, doc_id, lang, text. A row's language must have a model, or "*" serves.
+    docs: row, doc_id, lang, text. Where a row's language has no model, "*" serves.
     """
     spark = bound_batches(docs).sparkSession
     packs = pack_shards(model) if packs is None else packs
     langs = sorted({lang for p in packs for lang, _ in p})
-    named = docs.withColumn("model_lang", F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(ANY)) if langs else docs.withColumn("model_lang", F.lit(ANY))
-    base = {}
-    for r in model.where("shard = ''").collect():
-        base.setdefault(r.lang, {})["", r.c] = r.value
+    own = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(ANY) if langs else F.lit(ANY)
+    named = docs.select("row", "doc_id", own.alias("model_lang"), "text")
+    hashed = materialize(model.repartition("lang", "shard", "ctx").mapInArrow(_with_shard, "lang string, shard string, kind int, key long, value double"), "entries")
     parts = []
     for pack in packs:
-        wanted = spark.createDataFrame(pack, "lang string, shard string")
-        table = model.join(F.broadcast(wanted), ["lang", "shard"], "left_semi").select("lang", "ctx", "c", "value").toArrow()
-        entries = {lang: dict(base[lang]) for lang in {lang for lang, _ in pack}}
-        for lang, ctx, c, value in zip(*(table.column(k).to_pylist() for k in ("lang", "ctx", "c", "value")), strict=True):
-            entries[lang][ctx, c] = value
-        shards = {lang: {s for k, s in pack if k == lang} for lang in entries}
-        shared = spark.sparkContext.broadcast((entries, shards))
-        del entries, table
-        parts.append(named.where(F.col("model_lang").isin(sorted(shards))).select("row", "doc_id", "model_lang", "text").mapInArrow(_score_pack(shared), SCORED))
+        mine = sorted({lang for lang, _ in pack})
+        shards = {lang: [s for k, s in pack if k == lang] for lang in mine}
+        chosen = F.col("shard") == ""
+        for lang in mine:
+            chosen = chosen | (F.col("lang") == lang) & F.col("shard").isin(shards[lang])
+        entries = hashed.where(F.col("lang").isin(mine) & chosen).select("lang", "kind", "key", "value").toArrow()
+        of = np.array(entries.column("lang").to_pylist())
+        kinds, keys, values = (entries.column(k).to_numpy() for k in ("kind", "key", "value"))
+        tables = {lang: Scorer.pack(kinds[of == lang], keys[of == lang], values[of == lang].astype(np.float32)) for lang in mine}
+        del entries, of, kinds, keys, values
+        shared = spark.sparkContext.broadcast((tables, shards))
+        parts.append(named.where(F.col("model_lang").isin(mine)).mapInArrow(_score_pack(shared), SCORED))
     if not parts:
         return named.select("row", "doc_id", "model_lang", F.lit(0.0).alias("logp"), F.lit(0).cast("long").alias("n"))
     whole = parts[0]
@@ -255,7 +331,12 @@ def score(docs: DataFrame, model: DataFrame, packs: list[list[tuple[str, str]]]
     return whole.select("row", "doc_id", "model_lang", "logp", "n")
 
 
-SCORED = "row long, doc_id long, model_lang string, logp double, n long"
+def _with_shard(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for out in _hash_entries([batch]):
+            yield pa.RecordBatch.from_arrays([out.column(0), batch.column("shard"), *out.columns[1:]], names=["lang", "shard", "kind", "key", "value"])
 
 
 def _score_pack(shared):
@@ -264,8 +345,12 @@ def _score_pack(shared):
 
         scorer = Scorer(*shared.value)
         for batch in batches:
-            langs = batch.column("model_lang").to_pylist()
-            found = [scorer.text(lang, t) for lang, t in zip(langs, batch.column("text").to_pylist(), strict=True)]
+            langs, texts = batch.column("model_lang").to_pylist(), batch.column("text").to_pylist()
+            found: list = [None] * len(texts)
+            for lang in set(langs):
+                rows = [k for k, x in enumerate(langs) if x == lang]
+                for k, result in zip(rows, scorer.texts(lang, [texts[k] for k in rows]), strict=True):
+                    found[k] = result
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in ("row", "doc_id", "model_lang")), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())],
                 names=["row", "doc_id", "model_lang", "logp", "n"],
@@ -285,12 +370,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     good = good.where("q = 1 and x = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted"))
     good = materialize(good, "trusted")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    trusted = plain.join(good, "doc_id", "left_semi").where("text is not null").select("lang", "text")
+    # Ids of texts are broadcast up to a checked number; beyond it the texts are shuffled to them.
+    few = good.count() <= BROADCAST_IDS
+    near = F.broadcast(good) if few else good
+    trusted = plain.join(near, "doc_id", "left_semi").where("text is not null").select("lang", "text")
     model = train(trusted)
     rows = plain.withColumn("row", F.monotonically_increasing_id())
     scored = materialize(score(rows, model), "scored")
     ppl = F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n")))
-    marked = scored.select("doc_id", "model_lang", "n", ppl.alias("perplexity")).join(good, "doc_id", "left")
+    marked = scored.select("doc_id", "model_lang", "n", ppl.alias("perplexity")).join(near, "doc_id", "left")
     marked = materialize(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "marked")
     limits = marked.where("trusted and perplexity is not null").groupBy("model_lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
     overall = marked.where("trusted and perplexity is not null").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("t")).first().t
