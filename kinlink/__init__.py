@@ -1 +1,10 @@
-"""Spark-native entity resolution and record linkage."""
+"""Spark-native entity resolution and record linkage.
+
+Functions that run inside Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

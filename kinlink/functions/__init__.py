@@ -1 +1 @@
-"""functions."""
+"""Column functions: text normalisation, phonetic codes, string similarity."""

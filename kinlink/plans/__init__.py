@@ -1 +1 @@
-"""plans."""
+"""Named queries, end-to-end runs and fixtures."""

@@ -5,13 +5,669 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "er_s1_normalized"
+from kinlink.functions import phonetic, text
+from kinlink.operators import blocking, decision, features, metrics, tfidf, training, validate
+from kinlink.plans import oracle, views
+from kinlink.sources import tsv
 
+FLAGSHIP = "er_segments"
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with SQL that gives the same rows, if there is any."""
+
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    from kinlink.plans import model_queries  # noqa: F401  registers the queries that fit models
+
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+B, C = oracle.BASE, oracle.CANDIDATES
+
+
+def clean(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return views.clean_s1(spark, sf_dir), views.clean_gallery(spark, sf_dir)
+
+
+def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tsv.truth_long(views.truth(spark, sf_dir))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two most selective key legs, each pair once."""
+    a, g = clean(spark, sf_dir)
+    return blocking.union_legs(blocking.address_key(a, g), blocking.name_core(a, g)).select("s1_id", "cand_id").distinct()
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, g = clean(spark, sf_dir)
+    parts = lambda df: features.record_parts(df, fuzzy_parts=False)
+    return features.pair_up(candidates(spark, sf_dir), parts(a), parts(g))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s1_id, cand_id, p) with the mean of the word similarities of names and addresses as p."""
+    f = features.set_features()
+    return paired(spark, sf_dir).select("s1_id", "cand_id", F.round(f["name_addr_jaccard_avg"], 4).alias("p"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = training.positives(truth_pairs(spark, sf_dir))
+    return scored(spark, sf_dir).join(real, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# Sources
+
+
+@query("with g as (" + views.GALLERY.format(part="part") + ") " + " union all ".join(f"select '{c}' as \"column\", count(*) as rows, count(*) filter ({c} is null) as nulls from g" for c in ("entity_id", "business_name", "business_address", "country", "source")))
+def er_profile_nulls(spark, sf_dir):
+    return tsv.profile(views.gallery(spark, sf_dir))
+
+
+@query(B + "select country, count(*) as n from gallery group by rollup (country)")
+def er_country_counts(spark, sf_dir):
+    return tsv.gallery_stats(views.gallery(spark, sf_dir))
+
+
+@query(B + "select s1_id, cand_id from truth_long")
+def er_truth_long(spark, sf_dir):
+    return truth_pairs(spark, sf_dir)
+
+
+@query(B + "select source1_entity_id, matched_entity_ids, length(matched_entity_ids) - length(replace(matched_entity_ids, ',', '')) + cast(matched_entity_ids <> '' as integer) as n from truth")
+def er_truth_lists(spark, sf_dir):
+    t = views.truth(spark, sf_dir)
+    ids = tsv.id_list(F.col("matched_entity_ids"))
+    return t.select("source1_entity_id", F.array_join(ids, ",").alias("matched_entity_ids"), F.size(ids).cast("long").alias("n"))
+
+
+@query(B + "select bucket, count(*) as n from (select case when n <= 2 then cast(n as varchar) when n <= 4 then '3-4' else '5+' end as bucket from (select s1_id, count(cand_id) as n from truth_long group by 1)) group by 1")
+def er_match_buckets(spark, sf_dir):
+    n = truth_pairs(spark, sf_dir).groupBy("s1_id").agg(F.count("cand_id").alias("n"))
+    return n.groupBy(metrics.match_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(B + "select s1.entity_id as source1_entity_id, coalesce(m, '') as matched_entity_ids from s1 left join (select s1_id, string_agg(cand_id, ',' order by cand_id) as m from truth_long where cand_id is not null group by 1) on s1_id = entity_id")
+def er_match_list_rows(spark, sf_dir):
+    roster = views.s1(spark, sf_dir).select(F.col("entity_id").alias("s1_id"), F.substring("entity_id", 4, 20).cast("long").alias("pos"))
+    return tsv.match_lists(truth_pairs(spark, sf_dir).where("cand_id is not null"), roster)
+
+
+# Text functions
+
+
+@query(B + "select entity_id, n as business_name_clean from g")
+def er_normalize_name(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", "business_name_clean")
+
+
+@query(B + "select entity_id, a as business_address_clean from g")
+def er_normalize_address(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", "business_address_clean")
+
+
+@query(B + "select entity_id, c as country_clean from g")
+def er_normalize_country(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", "country_clean")
+
+
+@query("select doc_id, cast(regexp_matches(regexp_replace(coalesce(text, ''), '\\p{Latin}', '', 'g'), '\\p{L}') as integer) as non_latin from documents")
+def er_script_flags(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.is_non_latin(F.col("text")).alias("non_latin"))
+
+
+@query(B + f"select entity_id, {oracle.INITIALISM} as initialism from g")
+def er_initialism(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", text.initialism(F.col("business_name_clean")).alias("initialism"))
+
+
+@query(B + f"select entity_id, {oracle.TOKEN_SORT} as token_sort from g")
+def er_token_sort(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", text.token_sort(F.col("business_name_clean")).alias("token_sort"))
+
+
+@query(B + f"select entity_id, {oracle.COMPANY.replace('lower(n)', 'lower(business_name)')} as is_company from g")
+def er_company_flag(spark, sf_dir):
+    return views.gallery(spark, sf_dir).select("entity_id", text.is_company_name(F.col("business_name")).alias("is_company"))
+
+
+@query("select o_orderkey, array_to_string(regexp_extract_all(concat('PIN ', cast(o_orderkey * 7 as varchar), ' / ', cast(o_custkey as varchar)), '\\b\\d{5,6}\\b'), ',') as pins from orders")
+def er_pin_keys(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    address = F.concat(F.lit("PIN "), (F.col("o_orderkey") * 7).cast("string"), F.lit(" / "), F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", F.array_join(text.pin_keys(address), ",").alias("pins"))
+
+
+@query(B + f"select entity_id, {oracle.CORE_KEY} as core_key from g")
+def er_name_core(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", text.name_core_key(F.col("business_name_clean"), F.col("business_address_clean")).alias("core_key"))
+
+
+@query(B + f"select entity_id, array_to_string(list_sort({oracle.grams('n')}), '|') as grams from g")
+def er_trigrams(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", F.array_join(F.array_sort(text.trigrams(F.col("business_name_clean"))), "|").alias("grams"))
+
+
+@query(B + r"select entity_id, array_to_string(list_sort(list_distinct(regexp_extract_all(a, '\d+'))), '|') as digits from g")
+def er_digit_runs(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", F.array_join(F.array_sort(text.digit_runs(F.col("business_address_clean"))), "|").alias("digits"))
+
+
+@query()
+def er_soundex(spark, sf_dir):
+    return views.clean_gallery(spark, sf_dir).select("entity_id", phonetic.soundex(F.col("business_name_clean")).alias("soundex"))
+
+
+@query()
+def er_phonetic_codes(spark, sf_dir):
+    n = F.col("business_name_clean")
+    return views.clean_gallery(spark, sf_dir).select("entity_id", phonetic.metaphone(n).alias("metaphone"), phonetic.nysiis(n).alias("nysiis"))
+
+
+@query()
+def er_views(spark, sf_dir):
+    v = text.views(views.gallery(spark, sf_dir))
+    return v.select("entity_id", "light", "aggressive", F.array_join("parsed_components", "|").alias("parsed"), "phonetic")
+
+
+# Blocking
+
+
+def _leg_query(name: str, leg: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def run(spark, sf_dir):
+        return leg(*clean(spark, sf_dir))
+
+    run.__name__ = f"er_block_{name}"
+    key, most, many = oracle.KEY_LEGS[name]
+    query(B + oracle.key_join(key, name, most, many))(run)
+
+
+_leg_query("exact", blocking.exact_name)
+_leg_query("address", blocking.address_key)
+_leg_query("name_core", blocking.name_core)
+_leg_query("pin", blocking.pin)
+_leg_query("initialism", blocking.initialism_leg)
+
+
+@query()
+def er_block_phonetic(spark, sf_dir):
+    return blocking.phonetic_legs(*clean(spark, sf_dir))
+
+
+@query()
+def er_block_minhash(spark, sf_dir):
+    return blocking.minhash_leg(*clean(spark, sf_dir))
+
+
+@query(B + f", qk as (select distinct entity_id as s1_id, unnest({oracle.words('n')}) as k from q), gk as (select distinct entity_id as cand_id, unnest({oracle.words('n')}) as k from g) select distinct s1_id, cand_id, 'rare_word' as leg from qk join gk using (k) where k in (select k from gk group by k having count(*) <= 300)")
+def er_block_rare_words(spark, sf_dir):
+    return blocking.rare_words(*clean(spark, sf_dir), most_df=300)
+
+
+def _tfidf_sql(threshold: float, column: str, max_features: int = 10_000) -> str:
+    """Weights of every record, without grouping equal texts, and all cosines at the threshold."""
+    toks = rf"regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]{{2,}}')"
+    return (
+        B
+        + f""", r as (select entity_id, {column} as t, 1 as side from q where length({column}) > 0 union all select entity_id, {column}, 2 from g where length({column}) > 0),
+    w as (select entity_id, side, {toks} as w from r),
+    t1 as (select entity_id, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from w),
+    tf as materialized (select entity_id, side, term, count(*) as tf from t1 group by all),
+    st as (select term, sum(tf) as total, count(*) as df from tf group by 1 order by total desc, term limit {max_features}),
+    x as (select entity_id, side, term, tf * (ln((1 + (select count(*) from r)) / (1 + df)) + 1) as w from tf join st using (term)),
+    n as (select entity_id, side, sqrt(sum(w * w)) as norm from x group by all),
+    y as materialized (select entity_id, side, term, w / norm as w from x join n using (entity_id, side)),
+    cs as materialized (select u.entity_id as s1_id, v.entity_id as cand_id, sum(u.w * v.w) as cos from y u join y v on u.term = v.term and u.side = 1 and v.side = 2 group by all having sum(u.w * v.w) >= {threshold})"""
+    )
+
+
+ADDRESS = "business_address_clean"
+
+
+@query(_tfidf_sql(0.9, "a", 5000) + " select s1_id, cand_id, round(cos, 6) as cos from cs")
+def er_address_tfidf(spark, sf_dir):
+    return rounded(tfidf.tfidf_join(*clean(spark, sf_dir), F.col(ADDRESS), 0.9, 5000))
+
+
+def _coarse(df: DataFrame) -> DataFrame:
+    """Cosines to nine places, so that equal ones stay equal whatever the order of their sums."""
+    return df.withColumn("cos", F.round("cos", 9))
+
+
+@query(_tfidf_sql(0.25, "a", 5000) + " select s1_id, cand_id, round(cos, 6) as cos from cs qualify row_number() over (partition by s1_id order by round(cos, 9) desc, cand_id) <= 5")
+def er_tfidf_topk(spark, sf_dir):
+    a, g = clean(spark, sf_dir)
+    return rounded(blocking.cap_candidates(_coarse(tfidf.tfidf_join(a, g, F.col(ADDRESS), 0.25, 5000)), 5, "cos"))
+
+
+def _prune_sql(by: str, other: str, kmin: int, kmax: int, gap: float) -> str:
+    return f"(select s1_id, cand_id, c from (select *, round(cos, 9) as c from cs) qualify row_number() over (partition by {by} order by c desc, {other}) <= {kmax} and (row_number() over (partition by {by} order by c desc, {other}) <= {kmin} or c >= max(c) over (partition by {by}) - {gap}))"
+
+
+@query(_tfidf_sql(0.3, "a") + f" select s1_id, cand_id, round(c, 6) as cos from {_prune_sql('s1_id', 'cand_id', 5, 30, 0.1)}")
+def er_tfidf_adaptive(spark, sf_dir):
+    return rounded(blocking.adaptive_prune(_coarse(tfidf.tfidf_join(*clean(spark, sf_dir), F.col(ADDRESS), 0.3)), 5, 30, 0.1))
+
+
+@query(_tfidf_sql(0.3, "a") + f" select s1_id, cand_id, round(max(c), 6) as cos from ({_prune_sql('s1_id', 'cand_id', 5, 30, 0.1)} union all {_prune_sql('cand_id', 's1_id', 2, 5, 0.05)}) group by 1, 2")
+def er_tfidf_bidirectional(spark, sf_dir):
+    cos = _coarse(tfidf.tfidf_join(*clean(spark, sf_dir), F.col(ADDRESS), 0.3))
+    there = blocking.adaptive_prune(cos, 5, 30, 0.1)
+    back = blocking.adaptive_prune(cos, 2, 5, 0.05, by="cand_id", other="s1_id")
+    return rounded(there.unionByName(back).groupBy("s1_id", "cand_id").agg(F.max("cos").alias("cos")))
+
+
+@query(C + ", legs as (select ka.entity_id as s1_id, kg.entity_id as cand_id, 'a' as leg from ka join kg on ka.k1 = kg.k1 where ka.k1 in (select k1 from c1) union all select ka.entity_id, kg.entity_id, 'b' from ka join kg on ka.k2 = kg.k2 where ka.k2 in (select k2 from c2)) select s1_id, cand_id, count(distinct leg) as n_legs from legs group by 1, 2")
+def er_union_provenance(spark, sf_dir):
+    a, g = clean(spark, sf_dir)
+    return blocking.distinct_pairs(blocking.union_legs(blocking.address_key(a, g), blocking.name_core(a, g)))
+
+
+@query(C + "select s1_id, cand_id, p from scored qualify row_number() over (partition by s1_id order by p desc, cand_id) <= 2")
+def er_cap_candidates(spark, sf_dir):
+    return blocking.cap_candidates(scored(spark, sf_dir), 2, "p")
+
+
+@query(C + "select s1_id, cand_id, p from scored qualify row_number() over (partition by s1_id order by cand_id) <= 2")
+def er_cap_candidates_by_id(spark, sf_dir):
+    return blocking.cap_candidates(scored(spark, sf_dir), 2)
+
+
+@query(C + """, hit as (select count(*) as t, count(c.s1_id) as m from truth_long t left join cand c using (s1_id, cand_id) where t.cand_id is not null)
+select (select count(*) from cand) as candidate_pairs, round(1 - (select count(*) from cand) / ((select count(distinct s1_id) from truth_long) * (select count(*) from gallery)), 4) as reduction_ratio,
+m as matches_retained, t as total_matches, round(m / t, 4) as pair_recall from hit""")
+def er_blocking_quality(spark, sf_dir):
+    n = views.gallery(spark, sf_dir).count()
+    return blocking.blocking_quality(candidates(spark, sf_dir), truth_pairs(spark, sf_dir), n)
+
+
+@query(C + ", r as (select s1_id, cand_id, row_number() over (partition by s1_id order by p desc, cand_id) as r from scored), t as (select distinct s1_id, cand_id from truth_long where cand_id is not null) select k, round(avg(cast(coalesce(r, 1000000) <= k as integer)), 6) as recall from t left join r using (s1_id, cand_id), (select unnest([1, 5, 10, 20, 50]) as k) group by k")
+def er_recall_curve(spark, sf_dir):
+    return rounded(blocking.recall_curve(scored(spark, sf_dir).withColumnRenamed("p", "cos"), truth_pairs(spark, sf_dir)))
+
+
+@query(C + ", n as (select e.entity_id, count(c.s1_id) as n from q e left join cand c on c.s1_id = e.entity_id group by 1) select quantile_cont(n, 0.5) as p50, quantile_cont(n, 0.9) as p90, quantile_cont(n, 0.95) as p95, quantile_cont(n, 0.99) as p99, max(n) as max from n")
+def er_candidate_quantiles(spark, sf_dir):
+    return blocking.candidate_quantiles(candidates(spark, sf_dir), views.s1(spark, sf_dir).select(F.col("entity_id").alias("s1_id")))
+
+
+@query(C + "select s1_id, cand_id, p from scored qualify row_number() over (partition by s1_id order by p desc, cand_id) = 1 and row_number() over (partition by cand_id order by p desc, s1_id) = 1")
+def er_mutual_best(spark, sf_dir):
+    return blocking.mutual_best(scored(spark, sf_dir).withColumnRenamed("p", "cos")).withColumnRenamed("cos", "p")
+
+
+@query(C + "select entity_id as s1_id from q where entity_id not in (select s1_id from cand)")
+def er_without_candidates(spark, sf_dir):
+    return blocking.without_candidates(views.s1(spark, sf_dir).select(F.col("entity_id").alias("s1_id")), candidates(spark, sf_dir))
+
+
+@query()
+def er_embedding_topk(spark, sf_dir):
+    """The five nearest vectors by cosine of every fiftieth one."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = e.select("vec_id", F.transform(v, lambda x: x / norm).alias("u"))
+    q = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("uq"), F.lit(1).alias("k"))
+    pairs = unit.withColumn("k", F.lit(1)).join(F.broadcast(q) if q.count() <= 20_000 else q, "k").where("vec_id <> query_id")
+    dot = F.aggregate(F.zip_with("u", "uq", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    named = pairs.select(F.col("query_id").alias("s1_id"), F.col("vec_id").alias("cand_id"), F.round(dot, 6).alias("cos"))
+    return blocking.cap_candidates(named, 5, "cos").select(F.col("s1_id").alias("query_id"), F.col("cand_id").alias("vec_id"), "cos")
+
+
+# Features
+
+
+def _feature_sql(columns: dict[str, str]) -> str:
+    return C + "select s1_id, cand_id, " + ", ".join(f"round({e}, 6) as {n}" for n, e in columns.items()) + " from paired"
+
+
+def _features(names: tuple[str, ...]) -> Query:
+    def run(spark, sf_dir):
+        f = features.set_features()
+        return paired(spark, sf_dir).select("s1_id", "cand_id", *[F.round(f[n], 6).alias(n) for n in names])
+
+    return run
+
+
+_W, _G = oracle.words, oracle.grams
+_LAST = lambda e: f"coalesce({_W(e)}[-1], '')"
+_DIGITS = lambda e: rf"list_distinct(regexp_extract_all({e}, '\d+'))"
+_FLAG = lambda e: f"cast({e} as integer)::double"
+_COUNTRY_CONFLICT = _FLAG("ca <> '' and cb <> '' and ca <> cb")
+_NUMBER_CONFLICT = _FLAG(f"len({_DIGITS('aa')}) > 0 and len({_DIGITS('ab')}) > 0 and len(list_intersect({_DIGITS('aa')}, {_DIGITS('ab')})) = 0")
+_CITY_CONFLICT = _FLAG(f"len({_W('aa')}) >= 2 and len({_W('ab')}) >= 2 and {_LAST('aa')} <> {_LAST('ab')} and not contains({_LAST('aa')}, {_LAST('ab')}) and not contains({_LAST('ab')}, {_LAST('aa')})")
+_NAME_JACCARD, _ADDR_JACCARD = oracle.jaccard(_W("na"), _W("nb")), oracle.jaccard(_W("aa"), _W("ab"))
+_COMPANY = lambda e: oracle.COMPANY.replace("lower(n)", f"lower({e})")
+FEATURE_SQL = {
+    "er_feat_sets": {
+        "name_jaccard": _NAME_JACCARD,
+        "name_trigram_jaccard": oracle.jaccard(_G("na"), _G("nb")),
+        "addr_jaccard": _ADDR_JACCARD,
+        "addr_trigram_jaccard": oracle.jaccard(_G("aa"), _G("ab")),
+        "combined_trigram": oracle.jaccard(_G("na || ' ' || aa"), _G("nb || ' ' || ab")),
+        "name_addr_jaccard_avg": f"({_NAME_JACCARD} + {_ADDR_JACCARD}) / 2",
+    },
+    "er_feat_lengths": {
+        "name_length_ratio": "least(greatest(length(na), 1), greatest(length(nb), 1)) / greatest(length(na), length(nb), 1)",
+        "addr_length_ratio": "least(greatest(length(aa), 1), greatest(length(ab), 1)) / greatest(length(aa), length(ab), 1)",
+        "surname_length_diff": f"abs(length({_LAST('na')}) - length({_LAST('nb')})) / greatest(length({_LAST('na')}), length({_LAST('nb')}), 1)",
+    },
+    "er_feat_edit": {"name_edit_ratio": "1 - levenshtein(na, nb) / greatest(length(na), length(nb), 1)"},
+    "er_feat_missing": {
+        "name_a_present": _FLAG("trim(na) <> ''"),
+        "name_b_present": _FLAG("trim(nb) <> ''"),
+        "addr_a_present": _FLAG("trim(aa) <> ''"),
+        "addr_b_present": _FLAG("trim(ab) <> ''"),
+        "both_names_present": _FLAG("trim(na) <> '' and trim(nb) <> ''"),
+        "both_addrs_present": _FLAG("trim(aa) <> '' and trim(ab) <> ''"),
+    },
+    "er_feat_contradiction": {
+        "country_conflict": _COUNTRY_CONFLICT,
+        "addr_number_conflict": _NUMBER_CONFLICT,
+        "city_conflict": _CITY_CONFLICT,
+        "contradiction_count": f"{_COUNTRY_CONFLICT} + {_NUMBER_CONFLICT} + {_CITY_CONFLICT}",
+    },
+    "er_feat_flags": {"same_country": _FLAG("ca = cb"), "is_company": f"greatest({_COMPANY('na')}, {_COMPANY('nb')})::double"},
+}
+for _name, _columns in FEATURE_SQL.items():
+    _run = _features(tuple(_columns))
+    _run.__name__ = _name
+    query(_feature_sql(_columns))(_run)
+
+
+@query(C + "select s1_id, cand_id, round(jaro_winkler_similarity(na, nb), 6) as name_jaro_winkler from paired where na <> '' and nb <> ''")
+def er_feat_jaro_winkler(spark, sf_dir):
+    from kinlink.functions.fuzzy import jaro_winkler_column
+
+    p = paired(spark, sf_dir).where("a.name <> '' and b.name <> ''")
+    return p.select("s1_id", "cand_id", F.round(jaro_winkler_column(F.col("a.name"), F.col("b.name")), 6).alias("name_jaro_winkler"))
+
+
+@query()
+def er_features_all(spark, sf_dir):
+    a, g = clean(spark, sf_dir)
+    return rounded(features.compute_features(candidates(spark, sf_dir), a, g))
+
+
+@query(C + "select s1_id, cand_id, p, count(*) over (partition by s1_id) as n_cand_s1, count(*) over (partition by cand_id) as n_cand_r, rank() over (partition by s1_id order by p desc) as cos_rank_in_s1, rank() over (partition by cand_id order by p desc) as cos_rank_in_r from scored")
+def er_feat_competition(spark, sf_dir):
+    return features.competition(scored(spark, sf_dir).withColumnRenamed("p", "cos")).withColumnRenamed("cos", "p")
+
+
+@query(C + f", d as (select s1_id, cand_id, ab, {_DIGITS('aa')} as x, {_DIGITS('ab')} as y, regexp_extract(aa, '\\d+') as hx, regexp_extract(ab, '\\d+') as hy from paired) select s1_id, cand_id, round(case when len(x) > 0 and len(y) > 0 then {oracle.jaccard('x', 'y')} else -1 end, 6) as num_jacc, case when len(x) > 0 and len(y) > 0 then cast(hx = hy as integer)::double else -1.0 end as house_eq, cast(trim(ab) = '' as integer)::double as r_addr_empty from d")
+def er_feat_structure(spark, sf_dir):
+    made = features.structure(F.col("a"), F.col("b"))
+    return paired(spark, sf_dir).select("s1_id", "cand_id", *[F.round(c, 6).alias(n) for n, c in made.items()])
+
+
+@query(C + f""", df as (select unnest(list_distinct({_W('n')})) as w from g), idf as (select w, ln((1 + (select count(*) from g)) / (1 + count(*))) + 1 as idf from df group by 1),
+x as (select s1_id, cand_id, unnest(list_distinct({_W('na')})) as w, 1 as x, 0 as y from paired union all select s1_id, cand_id, unnest(list_distinct({_W('nb')})), 0, 1 from paired),
+m as (select s1_id, cand_id, w, max(x) as x, max(y) as y from x group by 1, 2, 3)
+select s1_id, cand_id, round(sum(idf * x * y) / sum(idf), 6) as wjacc, sum(cast(idf >= 5 as integer) * x * (1 - y))::bigint as rare_miss_s1, sum(cast(idf >= 5 as integer) * y * (1 - x))::bigint as rare_miss_r from m join idf using (w) group by 1, 2""")
+def er_feat_idf(spark, sf_dir):
+    a, g = (features.record_parts(x, fuzzy_parts=False) for x in clean(spark, sf_dir))
+    return rounded(features.weighted_jaccard(candidates(spark, sf_dir), a, g, features.word_weights(g), "name_words", 5.0))
+
+
+@query(B + "select entity_id, count(*) over (partition by c, n) as nfreq_r from g")
+def er_feat_frequency(spark, sf_dir):
+    g = features.record_parts(views.clean_gallery(spark, sf_dir), fuzzy_parts=False)
+    return features.text_frequency(g, "name", "nfreq_r").select("entity_id", "nfreq_r")
+
+
+@query(C + """, legs as (select s1_id, cand_id, 'address' as leg, p from scored where s1_id || cand_id in (select ka.entity_id || kg.entity_id from ka join kg on ka.k1 = kg.k1 where ka.k1 in (select k1 from c1))
+union all select s1_id, cand_id, 'name_core', p from scored where s1_id || cand_id in (select ka.entity_id || kg.entity_id from ka join kg on ka.k2 = kg.k2 where ka.k2 in (select k2 from c2))),
+r as (select *, row_number() over (partition by s1_id, leg order by p desc, cand_id) - 1 as r from legs)
+select s1_id, cand_id, max(p) as cos, max(cast(leg = 'address' as integer)) as in_address, coalesce(min(case when leg = 'address' then r end), 99) as rank_address,
+max(cast(leg = 'name_core' as integer)) as in_name_core, coalesce(min(case when leg = 'name_core' then r end), 99) as rank_name_core from r group by 1, 2""")
+def er_feat_blocker_evidence(spark, sf_dir):
+    a, g = clean(spark, sf_dir)
+    legs = blocking.union_legs(blocking.address_key(a, g), blocking.name_core(a, g))
+    legs = legs.join(scored(spark, sf_dir).withColumnRenamed("p", "cos"), ["s1_id", "cand_id"])
+    return features.blocker_evidence(legs, ("address", "name_core"))
+
+
+# Decisions
+
+_OWNED = ", owned as materialized (select * from scored where p >= 0.05 qualify row_number() over (partition by cand_id order by p desc, s1_id) = 1)"
+_CHOSEN = (
+    _OWNED
+    + """, e as (select *, row_number() over w as k, sum(p) over (partition by s1_id order by p desc, cand_id rows unbounded preceding) as cum, sum(p) over (partition by s1_id) as total, max(p) over (partition by s1_id) as top from owned window w as (partition by s1_id order by p desc, cand_id)),
+f as (select *, 1.25 * cum / (0.25 * total + k) as ef from e), bk as (select s1_id, arg_max(k, round(ef, 12) - k * 1e-15) as bk, max(ef) as bf from f group by 1),
+chosen as materialized (select s1_id, cand_id, p from f join bk using (s1_id) where k <= bk and bf > 1 - top)"""
+)
+
+
+@query(C + _OWNED + " select * from owned")
+def er_exclusivity(spark, sf_dir):
+    return decision.exclusivity(scored(spark, sf_dir))
+
+
+@query(C + _CHOSEN + " select * from chosen")
+def er_expected_f05(spark, sf_dir):
+    return decision.select_expected_f(scored(spark, sf_dir))
+
+
+@query(C + " select e.entity_id as s1_id, coalesce(string_agg(cand_id, ',' order by cand_id), '') as cand_ids from q e left join (select * from scored where p >= 0.6) s on s.s1_id = e.entity_id group by 1")
+def er_threshold_sets(spark, sf_dir):
+    roster = views.s1(spark, sf_dir).select(F.col("entity_id").alias("s1_id"))
+    return decision.with_roster(decision.select_threshold(scored(spark, sf_dir), 0.6), roster).select("s1_id", F.array_join("cand_ids", ",").alias("cand_ids"))
+
+
+@query(C + ", r as (select *, row_number() over (partition by s1_id order by p desc, cand_id) as r from scored), a as (select s1_id, max(p) filter (r = 1) as top_score, max(p) filter (r = 2) as second_score, max(p) filter (r = 3) as third_score, count(*) filter (p >= 0.5) as num_above_threshold from r group by 1) select *, round(top_score - coalesce(second_score, 0), 6) as score_gap, case when num_above_threshold = 0 then 'NO' when num_above_threshold = 1 then 'SINGLE' when top_score - coalesce(second_score, 0) < 0.05 then 'AMBIGUOUS' else 'MULTIPLE' end as decision_class from a")
+def er_decision_class(spark, sf_dir):
+    return rounded(decision.decision_class(decision.score_profile(scored(spark, sf_dir))))
+
+
+# Metrics
+
+_COUNTS = (
+    C
+    + _CHOSEN
+    + """, t as (select s1_id, cand_id from truth_long where cand_id is not null), ct as materialized (
+  select s1_id, coalesce(tp, 0) as tp, coalesce(np, 0) - coalesce(tp, 0) as fp, coalesce(nt, 0) - coalesce(tp, 0) as fn, coalesce(nt, 0) as n_true, coalesce(r, 0) as r, coalesce(nc, 0) as n_cand
+  from (select distinct s1_id from truth_long)
+  left join (select s1_id, count(*) as nt from t group by 1) using (s1_id)
+  left join (select s1_id, count(*) as np from chosen group by 1) using (s1_id)
+  left join (select s1_id, count(*) as tp from chosen join t using (s1_id, cand_id) group by 1) using (s1_id)
+  left join (select s1_id, count(*) as nc from cand group by 1) using (s1_id)
+  left join (select s1_id, count(*) as r from cand join t using (s1_id, cand_id) group by 1) using (s1_id)
+), cf as materialized (select *, case when n_true = 0 then cast(fp = 0 as integer)::double when tp = 0 then 0.0 else 5 * tp / (5 * tp + 4 * fp + fn) end as f05,
+  case when n_true = 0 then 1.0 when r > 0 then 5 * r / (4 * r + n_true) else 0.0 end as oracle_f05,
+  case when n_true <= 2 then cast(n_true as varchar) when n_true <= 4 then '3-4' else '5+' end as bucket from ct)"""
+)
+_PRF = "coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0) as micro_precision, coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0) as micro_recall"
+_BASIC = f"coalesce(avg(f05), 0) as macro_f05, {_PRF}, count(*) as n_entities, count(*) filter (n_true = 0) as n_empty_truth, coalesce(avg(f05) filter (n_true = 0), 1) as empty_truth_accuracy, count(*) filter (n_true = 1) as n_single_match, avg(cast(fp > 0 as integer)) filter (n_true = 1) as single_false_merge_rate"
+_WITH_CAND = _BASIC + ", coalesce(avg(oracle_f05), 0) as oracle_f05, avg(cast(r = n_true as integer)) filter (n_true >= 1) as complete_match_coverage, sum(r) / nullif(sum(n_true), 0) as pair_recall, sum(n_cand)::bigint as candidate_pairs"
+_F = "case when 0.25 * micro_precision + micro_recall > 0 then 1.25 * micro_precision * micro_recall / (0.25 * micro_precision + micro_recall) else 0 end as micro_f05"
+
+
+def anchor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = decision.select_expected_f(scored(spark, sf_dir))
+    return metrics.anchor_counts(truth_pairs(spark, sf_dir), chosen, candidates(spark, sf_dir))
+
+
+def _round_sql(inner: str, names: list[str], plain: list[str]) -> str:
+    return "select " + ", ".join([*plain, *(f"round({n}, 6) as {n}" for n in names)]) + f" from ({inner})"
+
+
+_RATES = ["macro_f05", "micro_f05", "micro_precision", "micro_recall", "empty_truth_accuracy", "single_false_merge_rate"]
+_NUMBERS = ["n_entities", "n_empty_truth", "n_single_match"]
+
+
+@query(_COUNTS + "select s1_id, tp, fp, fn, n_true, r, n_cand, bucket, round(f05, 6) as f05, round(oracle_f05, 6) as oracle_f05 from cf")
+def er_anchor_counts(spark, sf_dir):
+    return rounded(anchor_counts(spark, sf_dir))
+
+
+@query(_COUNTS + _round_sql(f"select *, {_F} from (select {_BASIC} from cf)", _RATES, _NUMBERS))
+def er_evaluate(spark, sf_dir):
+    return rounded(metrics.evaluate(anchor_counts(spark, sf_dir)))
+
+
+_MORE = ["oracle_f05", "complete_match_coverage", "pair_recall", "reduction_ratio"]
+
+
+@query(
+    _COUNTS
+    + ", k as (select entity_id as s1_id, c as country from q), x as (select country, bucket, grouping_id(country, bucket) as g, "
+    + _WITH_CAND
+    + " from cf left join k using (s1_id) group by grouping sets ((country), (bucket), ())), gs as (select c as country, count(*) as n from g group by 1) "
+    + _round_sql(
+        f"select *, {_F}, 1 - candidate_pairs / ((case when g = 1 then n else (select count(*) from g) end) * n_entities) as reduction_ratio, case g when 1 then 'country' when 2 then 'bucket' else 'all' end as segment_kind, coalesce(country, bucket, 'all') as segment from x left join gs using (country)",
+        _RATES + _MORE,
+        [*_NUMBERS, "candidate_pairs", "segment_kind", "segment"],
+    )
+)
+def er_segments(spark, sf_dir):
+    countries = views.clean_s1(spark, sf_dir).select(F.col("entity_id").alias("s1_id"), F.col("country_clean").alias("country"))
+    sizes = views.clean_gallery(spark, sf_dir).groupBy(F.col("country_clean").alias("country")).agg(F.count("*").alias("n"))
+    return rounded(metrics.segments(anchor_counts(spark, sf_dir), countries, sizes))
+
+
+@query(_COUNTS + "select bucket as key, round(avg(f05), 6) as macro_f05, count(*) as n_entities from cf group by 1")
+def er_macro_by(spark, sf_dir):
+    return rounded(metrics.macro_by(anchor_counts(spark, sf_dir), F.col("bucket")))
+
+
+_ERRORS = """, st as (select s1_id, cand_id, t.cand_id is not null as in_t, c.cand_id is not null as in_p from (select s1_id, cand_id from t) t full join (select s1_id, cand_id from chosen) c using (s1_id, cand_id)),
+wr as (select st.s1_id, case when in_t and not in_p then case when s.p is null then 'retrieval_error' when s.p >= 0.6 then 'decision_policy_error' else 'matching_error' end
+  when in_p and not in_t then case when s.p is null then 'integrity_error' when s.p >= 0.6 then 'matching_error' else 'decision_policy_error' end end as kind from st left join scored s using (s1_id, cand_id)),
+er as (select s1_id, """ + ", ".join(f"count(*) filter (kind = '{k}') as {k}" for k in metrics.ERROR_KINDS) + " from wr where kind is not null group by 1)"
+
+
+def _errors(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return metrics.classify_errors(truth_pairs(spark, sf_dir), decision.select_expected_f(s), candidates(spark, sf_dir), s.withColumnRenamed("p", "score"), 0.6)
+
+
+@query(_COUNTS + _ERRORS + " select * from er")
+def er_errors(spark, sf_dir):
+    return _errors(spark, sf_dir)
+
+
+@query(_COUNTS + _ERRORS + " select count(*) as n_entities_with_errors, " + ", ".join(f"coalesce(sum({k}), 0)::bigint as {k}" for k in metrics.ERROR_KINDS) + ", coalesce(sum(matching_error + decision_policy_error + matching_error_unattributed), 0)::bigint as retrieved_but_missed from er")
+def er_error_totals(spark, sf_dir):
+    return metrics.error_totals(_errors(spark, sf_dir))
+
+
+@query(
+    _COUNTS
+    + _ERRORS
+    + ", d as (select s1_id, arg_min(kind, (-n, kind)) as root_cause from (select s1_id, kind, count(*) as n from wr where kind is not null group by 1, 2) group by 1) select s1_id, n_true, round(f05, 6) as f05, coalesce(root_cause, 'unattributed_error') as root_cause from cf left join d using (s1_id) where f05 < 1 order by cf.f05, n_true desc, s1_id limit 20"
+)
+def er_worst(spark, sf_dir):
+    return rounded(metrics.worst_entities(anchor_counts(spark, sf_dir), _errors(spark, sf_dir), 20).select("s1_id", "n_true", "f05", "root_cause"))
+
+
+@query(C + _CHOSEN + " select s1_id, array_to_string(list(cand_id order by p desc, cand_id)[:8], ',') as ids, count(*) as n from chosen group by 1")
+def er_top_predicted(spark, sf_dir):
+    chosen = decision.select_expected_f(scored(spark, sf_dir)).withColumnRenamed("p", "score")
+    return metrics.top_predicted(chosen).select("s1_id", F.array_join("ids", ",").alias("ids"), "n")
+
+
+_LABELLED = C + ", lab as materialized (select s.s1_id, s.cand_id, p, cast(t.s1_id is not null as integer) as label from scored s left join (select distinct s1_id, cand_id from truth_long) t using (s1_id, cand_id))"
+_GRID = ", gr as (select unnest(range({low}, {high} + 1)) as t), cu as (select t, count(*) filter (p >= t / 100 - 1e-9) as n, count(*) filter (p >= t / 100 - 1e-9 and label = 1) as tp, sum(label) as real from gr, lab group by 1)"
+
+
+@query(_LABELLED + _GRID.format(low=10, high=94) + ", pr as (select t / 100 as threshold, case when n > 0 then tp / n else 0 end as precision, case when real > 0 then tp / real else 0 end as recall from cu) select threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(case when 0.25 * precision + recall > 0 then 1.25 * precision * recall / (0.25 * precision + recall) else 0 end, 6) as f05 from pr")
+def er_threshold_sweep(spark, sf_dir):
+    return rounded(metrics.pair_sweep(labelled(spark, sf_dir)))
+
+
+@query(_LABELLED + ", gr as (select unnest(range(5, 96)) as t), cu as (select t, s1_id, count(*) filter (p >= t / 100 - 1e-9) as n, count(*) filter (p >= t / 100 - 1e-9 and label = 1) as tp, sum(label) as real from gr, lab group by 1, 2) select t / 100 as threshold, round(avg(case when real = 0 then cast(n = 0 as integer) when tp = 0 then 0 else 5 * tp / (5 * tp + 4 * (n - tp) + real - tp) end), 6) as macro_f05 from cu group by 1")
+def er_macro_sweep(spark, sf_dir):
+    return rounded(metrics.macro_sweep(labelled(spark, sf_dir)))
+
+
+@query(_LABELLED + _GRID.format(low=5, high=95) + " select min(t / 100) filter (n > 0 and tp / n >= 0.9) as threshold from cu")
+def er_precision_threshold(spark, sf_dir):
+    return metrics.precision_threshold(labelled(spark, sf_dir), 0.9)
+
+
+@query(_LABELLED + ", c as (select count(*) filter (p >= 0.6 and label = 1) as tp, count(*) filter (p >= 0.6 and label = 0) as fp, count(*) filter (p < 0.6 and label = 1) as fn from lab), d as (select *, tp / (tp + fp) as precision, tp / (tp + fn) as recall from c) select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(1.25 * precision * recall / (0.25 * precision + recall), 6) as f05 from d")
+def er_pair_metrics(spark, sf_dir):
+    return rounded(metrics.pair_metrics(labelled(spark, sf_dir), 0.6))
+
+
+@query()
+def er_bootstrap_ci(spark, sf_dir):
+    return rounded(metrics.bootstrap_ci(anchor_counts(spark, sf_dir), n_boot=200))
+
+
+@query(_LABELLED + ", f as (select label, 'p' as feature, p as v from lab) select feature, round(quantile_cont(v, 0.5) filter (label = 1), 6) as median_match, round(quantile_cont(v, 0.5) filter (label = 0), 6) as median_negative, round(quantile_cont(v, 0.5) filter (label = 1) - quantile_cont(v, 0.5) filter (label = 0), 6) as delta from f group by 1")
+def er_separation(spark, sf_dir):
+    return rounded(metrics.separation(labelled(spark, sf_dir), ("p",)))
+
+
+@query()
+def er_dud_features(spark, sf_dir):
+    f = features.set_features()
+    rows = paired(spark, sf_dir).select(*[f[n].alias(n) for n in features.SET_FEATURES])
+    return metrics.dud_features(rows, (*features.SET_FEATURES, "not_there"))
+
+
+# Validation
+
+
+@query(
+    C
+    + """, l as (select source1_entity_id as s1_id, unnest(string_split(matched_entity_ids || ',S9-' || source1_entity_id, ',')) as id from truth where source1_entity_id not like '%5'), i as (select * from l where id <> ''),
+  x as (select 'bad_prefix' as rule, 'E' as severity, id from i where id not like 'S1-%' and id not like 'S2-%' and id not like 'S3-%'
+  union all select 'missing_row', 'E', s1_id from (select distinct s1_id from truth_long where s1_id like '%5'))
+  select rule, severity, count(*) as n, array_to_string(list_sort(list(distinct id))[:5], ',') as examples from x group by 1, 2
+  union all select unnest(['duplicate_row', 'repeated_id', 'anchor_in_list', 'unknown_id', 'extra_row']), 'E', 0, ''"""
+)
+def er_validate(spark, sf_dir):
+    t = views.truth(spark, sf_dir)
+    lists = t.where("source1_entity_id not like '%5'").select(F.col("source1_entity_id").alias("s1_id"), F.concat("matched_entity_ids", F.lit(",S9-"), "source1_entity_id").alias("ids"))
+    roster = t.select(F.col("source1_entity_id").alias("s1_id"))
+    return validate.check_lists(lists, roster, views.gallery(spark, sf_dir).select(F.col("entity_id").alias("cand_id")))
+
+
+@query(C + ", lost as (select distinct s1_id, cand_id from truth_long where cand_id is not null except select s1_id, cand_id from cand) select 'match_not_candidate' as rule, 'W' as severity, count(*) as n, coalesce(array_to_string(list_sort(list(s1_id || '>' || cand_id))[:5], ','), '') as examples from lost")
+def er_validate_subset(spark, sf_dir):
+    return validate.check_subset(truth_pairs(spark, sf_dir).where("cand_id is not null"), candidates(spark, sf_dir))
+
+
+# Training pairs
+
+
+@query(_LABELLED + " select distinct s1_id, cand_id, 0 as label from lab where label = 0")
+def er_candidate_negatives(spark, sf_dir):
+    return training.negatives_from_candidates(candidates(spark, sf_dir), truth_pairs(spark, sf_dir))
+
+
+@query()
+def er_hard_negatives(spark, sf_dir):
+    a, g = clean(spark, sf_dir)
+    return training.hard_negatives(a, g, truth_pairs(spark, sf_dir), pool=candidates(spark, sf_dir))
+
+
+@query()
+def er_split(spark, sf_dir):
+    return training.split_by_anchor(labelled(spark, sf_dir))

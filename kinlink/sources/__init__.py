@@ -1 +1 @@
-"""sources."""
+"""Readers and writers of record and match files."""

@@ -1 +1 @@
-"""streaming."""
+"""Incremental linkage of arriving gallery records."""
