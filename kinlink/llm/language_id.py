@@ -16,15 +16,18 @@ languages go to the first by name; repeated rows are scored alike; texts of any
 
 from __future__ import annotations
 
-import math
 import re
 import sys
+import types
+import uuid
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kinlink.llm import textkit
 from kinlink.llm.workdir import bound_batches, materialize
 
 MAX_LANGS = 200
@@ -33,19 +36,21 @@ MAX_GRAMS = 10_000
 ORDERS = (4, 3, 2, 1)
 MAX_WORD_CHARS = 40  # longer runs of letters are scored by n-grams alone
 VOTE = 4.0  # the most by which one word may part two languages, as a natural logarithm
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 UNDETERMINED = "und"
 
-# Python counts fractions, superscripts and the like among word characters; they are no letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters, lower-cased. Fractions, superscripts and the like may be in a run: see has_letter."""
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def has_letter(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def grams_of(word: str, n: int) -> list[str]:
     """Character n-grams of a word between blanks; for n = 1 its letters."""
     if n == 1:
@@ -61,7 +66,7 @@ def _count_words(flush_at: int = 200_000):
         counts: dict[str, Counter] = {}
 
         def flush():
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if len(w) <= MAX_WORD_CHARS and has_letter(w)]
             counts.clear()
             columns = zip(*rows, strict=True) if rows else ([], [], [])
             return pa.RecordBatch.from_arrays(
@@ -70,7 +75,7 @@ def _count_words(flush_at: int = 200_000):
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(w for w in words_in(text) if len(w) <= MAX_WORD_CHARS)
+                counts.setdefault(lang, Counter()).update(words_in(text))
                 if sum(map(len, counts.values())) > flush_at:
                     yield flush()
         yield flush()
@@ -110,64 +115,125 @@ def _count_grams(flush_at: int = 200_000):
 
 
 class LanguageModel:
-    """Log frequencies by word and n-gram, a vector over the languages for each."""
+    """Log frequencies of words and n-grams, a row over the languages for each."""
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: dict[int, tuple[list[str], np.ndarray]]):
         self.langs = langs
-        self.tables = tables  # by n-gram length; 0 has the words
+        self.tables = tables  # entries and their rows by n-gram length; 0 has the words
+        self.index = {size: {g: k for k, g in enumerate(names)} for size, (names, _) in tables.items()}
 
     @classmethod
     def from_counts(cls, rows, totals: dict[tuple[str, int], int]) -> LanguageModel:
         """rows: (lang, size, gram, n), size 0 for words; totals: sums of n over everything counted."""
         langs = sorted({lang for lang, _ in totals})[:MAX_LANGS]
         at = {lang: k for k, lang in enumerate(langs)}
-        tables: dict[int, dict[str, np.ndarray]] = {size: {} for size in (0, *ORDERS)}
-        floor = {size: np.array([-math.log(totals.get((lang, size), 0) + 2) for lang in langs]) for size in tables}
+        seen: dict[int, dict[str, dict[int, int]]] = {size: {} for size in (0, *ORDERS)}
         for lang, size, gram, n in rows:
-            if lang not in at:
-                continue
-            if gram not in tables[size]:
-                # As if seen half a time where it was not counted.
-                tables[size][gram] = floor[size] + math.log(0.5)
-            tables[size][gram][at[lang]] = math.log(n + 0.5) + floor[size][at[lang]]
+            if lang in at:
+                seen[size].setdefault(gram, {})[at[lang]] = n
+        tables = {}
+        for size, grams in seen.items():
+            counts = np.zeros((len(grams), len(langs)))
+            for k, by_lang in enumerate(grams.values()):
+                for j, n in by_lang.items():
+                    counts[k, j] = n
+            # Where an entry was not counted it is as if seen half a time.
+            total = np.array([totals.get((lang, size), 0) + 2 for lang in langs])
+            tables[size] = (list(grams), np.log(counts + 0.5) - np.log(total))
         return cls(langs, tables)
 
     def vote(self, word: str) -> np.ndarray:
         """How far each language is behind the best for a word, VOTE at most."""
-        score = self.tables[0].get(word)
-        if score is None:
+        score, k = None, self.index[0].get(word)
+        if k is not None:
+            score = self.tables[0][1][k]
+        else:
             for size in ORDERS:
-                known = [x for g in grams_of(word, size) if (x := self.tables[size].get(g)) is not None]
+                index = self.index[size]
+                known = [k for g in grams_of(word, size) if (k := index.get(g)) is not None]
                 if known:
-                    score = sum(known[1:], known[0]) / len(known)
+                    score = self.tables[size][1][known].sum(axis=0) / len(known)
                     break
-            else:
-                return np.zeros(len(self.langs))
+        if score is None:
+            return np.zeros(len(self.langs))
         return np.maximum(score - score.max(), -VOTE)
 
-    def predict(self, text: str | None, votes: dict[str, np.ndarray]) -> tuple[str, float]:
-        words = words_in(text)
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        counts = Counter(words)
-        total = np.fromiter(counts.values(), float, len(counts)) @ np.array([votes[w] for w in counts])
-        share = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.langs[best], float(share[best] / share.sum())
 
+class Predictor:
+    """Predicts batches of texts: votes of new words are made together, with array operations, and kept.
 
-class _Votes(dict):
-    """Votes by word, made when asked; emptied when full, so that memory stays bounded."""
+    The kept votes are dropped between batches when they are many, so memory stays bounded.
+    """
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
         self.model = model
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = v = self.model.vote(word)
-        return v
+        self.grams = {}
+        for size in ORDERS:
+            names, table = model.tables.get(size, ([], None))
+            if names:
+                chars = np.array(names, dtype=f"U{size}").view(np.uint32).reshape(-1, size)
+                keys = textkit.string_keys(list(chars.T))
+                order = np.argsort(keys)
+                self.grams[size] = keys[order], table[order]
+        self.rows: dict[str, int] = {}
+        self.votes = np.zeros((0, len(model.langs)))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """What LanguageModel.vote gives, for many words."""
+        n_langs = len(self.model.langs)
+        out, left = np.zeros((len(words), n_langs)), np.ones(len(words), bool)
+        known = np.array([self.model.index[0].get(w, -1) for w in words])
+        out[known >= 0] = self.model.tables[0][1][known[known >= 0]]
+        left[known >= 0] = False
+        for size in ORDERS:
+            rows = np.flatnonzero(left)
+            if not len(rows) or size not in self.grams:
+                continue
+            text = "".join([f" {words[k]} " if size > 1 else words[k] for k in rows])
+            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            owner = np.repeat(np.arange(len(rows)), [len(words[k]) + 2 * (size > 1) for k in rows])
+            end = len(chars) - size + 1
+            if end <= 0:
+                continue
+            inside = owner[:end] == owner[size - 1 :]
+            keys, table = self.grams[size]
+            wanted = textkit.string_keys([chars[k : k + end] for k in range(size)])
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = inside & (keys[at] == wanted)
+            n = np.bincount(owner[:end][hit], minlength=len(rows))
+            some = n > 0
+            for j in range(n_langs):
+                total = np.bincount(owner[:end][hit], weights=table[at[hit], j], minlength=len(rows))
+                out[rows[some], j] = total[some] / n[some]
+            left[rows[some]] = False
+        votes = np.maximum(out - out.max(axis=1, keepdims=True), -VOTE)
+        votes[left] = 0
+        return votes
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        counts = [Counter(words_in(t)) for t in texts]
+        if not self.model.langs:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        if len(self.rows) > CACHE_WORDS:
+            self.rows, self.votes = {}, self.votes[:0]
+        rows = self.rows
+        new = list(dict.fromkeys(w for c in counts for w in c if w not in rows))
+        if new:
+            rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
+            self.votes = np.vstack([self.votes, self.scores(new)])
+        return [self._best(c) for c in counts]
+
+    def _best(self, counts: Counter) -> tuple[str, float]:
+        if counts and not any(map(str.isalpha, counts)):
+            counts = {w: n for w, n in counts.items() if has_letter(w)}
+        if not counts:
+            return UNDETERMINED, 0.0
+        rows = np.fromiter(map(self.rows.__getitem__, counts), np.int64, len(counts))
+        total = np.fromiter(counts.values(), float, len(counts)) @ self.votes[rows]
+        share = np.exp(total - total.max())
+        best = int(total.argmax())
+        return self.model.langs[best], float(share[best] / share.sum())
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -196,22 +262,27 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
     return LanguageModel.from_counts(zip(*(table.column(c).to_pylist() for c in ("lang", "size", "gram", "n")), strict=True), totals)
 
 
+def _predictor(shared) -> Predictor:
+    """The predictor of a broadcast model, kept over the tasks of a worker process; only the latest is."""
+    kept = sys.modules.setdefault("_kinlink_predictor", types.ModuleType("_kinlink_predictor"))
+    if getattr(kept, "of", None) != shared[0]:
+        kept.of, kept.predictor = shared[0], Predictor(LanguageModel(*shared[1].value))
+    return kept.predictor
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1) added; columns of these names are replaced."""
-    from pyspark.sql import types as T
-
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
+    shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
     source = bound_batches(docs).select(*kept, docs[text_col].cast("string").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
-        own = LanguageModel(*shared.value)
-        votes = _Votes(own)
+        predictor = _predictor(shared)
         for batch in batches:
-            found = [own.predict(t, votes) for t in batch.column("__text").to_pylist()]
+            found = predictor.predict(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
                 names=[*kept, "lang_pred", "score"],

@@ -133,3 +133,13 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
             total = total * ODD + words[k : n - w + 1 + k]
             total ^= total >> np.uint64(29)
     return np.unique(mix(total))
+
+
+def string_keys(columns: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    """64-bit keys of strings of equal length, given by arrays of their first, second, ... characters."""
+    h = np.full(len(columns[0]), np.uint64(salt + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            h = h * ODD + c.astype(np.uint64) + np.uint64(1)
+            h ^= h >> np.uint64(29)
+    return mix(h + np.uint64(len(columns)))
