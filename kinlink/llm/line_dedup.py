@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm.workdir import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -50,14 +52,17 @@ def find_repeated_lines(
     keyed = lines.select("r1", "r2", "id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     # A document holding a line many times is counted once: documents are first made distinct per line.
     per_doc = keyed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
-    common = (
+    # Written, so that the join below has both sides freshly dealt and may split a line that very many documents share.
+    common = materialize(
         per_doc.groupBy("h1", "h2")
         .agg(F.count("*").alias("docs"), F.max("id").alias("last"))
         .where(F.col("docs") >= min_docs)
-        .select("h1", "h2", "last")
+        .select("h1", "h2", "last"),
+        "common-lines",
     )
     dropped = keyed.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
-    return dropped.groupBy("r1", "r2").agg(F.collect_set("pos").alias("drops"))
+    placed = materialize(dropped.select("r1", "r2", "pos"), "dropped-lines")
+    return placed.groupBy("r1", "r2").agg(F.collect_set("pos").alias("drops"))
 
 
 def row_hashes(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
