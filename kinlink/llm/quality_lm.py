@@ -222,11 +222,17 @@ def _hash_entries(batches):
 
 
 class Scorer:
-    """Log-probabilities of words under the shards of one pack: sorted keys and their values for each language."""
+    """Log-probabilities of words under the shards of one pack: sorted keys and their values for each language.
 
-    def __init__(self, tables: dict[str, dict], shards: dict[str, list[str]]):
+    others: for each language the shards of other packs. Characters after one that has no shard at all, which the model never
+    saw before another, belong to the first pack of the language, where others is given; elsewhere it is None.
+    """
+
+    def __init__(self, tables: dict[str, dict], shards: dict[str, list[str]], others: dict[str, list[str] | None]):
         self.tables = tables
-        self.shards = {lang: np.array([ord(s) for s in mine], dtype=np.uint32) for lang, mine in shards.items()}
+        points = lambda chars: np.array([ord(s) for s in chars], dtype=np.uint32)
+        self.shards = {lang: points(mine) for lang, mine in shards.items()}
+        self.others = {lang: None if rest is None else points(rest) for lang, rest in others.items()}
         self.known: dict[str, dict[str, float]] = {lang: {} for lang in tables}
 
     @staticmethod
@@ -257,7 +263,8 @@ class Scorer:
         begun = np.maximum.accumulate(np.where(blank, np.arange(len(s)), 0))
         owner = np.cumsum(blank)[:-1] - 1  # the word of each event, by its character before
         at = np.arange(1, len(s))
-        mine = np.isin(s[:-1], self.shards[lang])
+        rest = self.others[lang]
+        mine = np.isin(s[:-1], self.shards[lang]) if rest is None else ~np.isin(s[:-1], rest)
         at, owner = at[mine], owner[mine]
         length = np.minimum(at - begun[at - 1], ORDER - 1)
         value, open_ = np.zeros(len(at)), np.ones(len(at), bool)
@@ -307,10 +314,12 @@ def score(docs: DataFrame, model: DataFrame, packs: list[list[tuple[str, str]]]
     own = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(ANY) if langs else F.lit(ANY)
     named = docs.select("row", "doc_id", own.alias("model_lang"), "text")
     hashed = materialize(model.repartition("lang", "shard", "ctx").mapInArrow(_with_shard, "lang string, shard string, kind int, key long, value double"), "entries")
-    parts = []
+    parts, begun = [], set()
     for pack in packs:
         mine = sorted({lang for lang, _ in pack})
         shards = {lang: [s for k, s in pack if k == lang] for lang in mine}
+        others = {lang: None if lang in begun else [s for p in packs if p is not pack for k, s in p if k == lang] for lang in mine}
+        begun |= set(mine)
         chosen = F.col("shard") == ""
         for lang in mine:
             chosen = chosen | (F.col("lang") == lang) & F.col("shard").isin(shards[lang])
@@ -319,7 +328,7 @@ def score(docs: DataFrame, model: DataFrame, packs: list[list[tuple[str, str]]]
         kinds, keys, values = (entries.column(k).to_numpy() for k in ("kind", "key", "value"))
         tables = {lang: Scorer.pack(kinds[of == lang], keys[of == lang], values[of == lang].astype(np.float32)) for lang in mine}
         del entries, of, kinds, keys, values
-        shared = spark.sparkContext.broadcast((tables, shards))
+        shared = spark.sparkContext.broadcast((tables, shards, others))
         parts.append(named.where(F.col("model_lang").isin(mine)).mapInArrow(_score_pack(shared), SCORED))
     if not parts:
         return named.select("row", "doc_id", "model_lang", F.lit(0.0).alias("logp"), F.lit(0).cast("long").alias("n"))
