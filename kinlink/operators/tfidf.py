@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kinlink.operators.blocking import adaptive_prune, cap_candidates
 
@@ -33,7 +34,7 @@ def char_ngrams(c: Column, least: int = 2, most: int = 6) -> Column:
 
 
 def weights(texts: DataFrame, max_features: int = 10_000, term_list: Column | None = None) -> DataFrame:
-    """(t, term, weight) of each distinct text t, fitted over all rows of texts (t), repeated ones included."""
+    """(t, term, df, weight) of each distinct text t, fitted over all rows of texts (t), repeated ones included."""
     found = terms(F.col("t")) if term_list is None else term_list
     copies = texts.groupBy("t").agg(F.count("*").alias("copies"))
     counts = copies.select("t", "copies", F.explode(found).alias("term")).groupBy("t", "copies", "term").agg(F.count("*").alias("tf"))
@@ -41,17 +42,32 @@ def weights(texts: DataFrame, max_features: int = 10_000, term_list: Column | No
     stats = counts.groupBy("term").agg(F.sum(F.col("tf") * F.col("copies")).alias("total"), F.sum("copies").alias("df"))
     vocabulary = stats.orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-    raw = counts.join(vocabulary.select("term", idf.alias("idf")), "term").select("t", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = counts.join(vocabulary.select("term", "df", idf.alias("idf")), "term").select("t", "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     norms = raw.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "t").select("t", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norms, "t").select("t", "term", "df", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def prefixes(w: DataFrame, threshold: float) -> DataFrame:
+    """The rarest terms of each text, so many that the others alone cannot reach the threshold.
+
+    Rows have length one, so a pair whose shared terms all lie outside one text's prefix has a cosine below the
+    threshold; a pair that reaches it shares a term of both prefixes, the rarest that it shares.
+    """
+    common_first = Window.partitionBy("t").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mass = F.sum(F.col("weight") * F.col("weight")).over(common_first)
+    return w.withColumn("_m", mass).where(F.col("_m") >= threshold * threshold - 1e-9).select("t", "term")
 
 
 def cosines(left: DataFrame, right: DataFrame, threshold: float, max_features: int = 10_000, term_list: Column | None = None) -> DataFrame:
     """(ta, tb, cos) between distinct texts of both sides (column t) with a cosine of at least the threshold."""
     w = weights(left.unionByName(right), max_features, term_list)
-    a = w.join(left.distinct(), "t", "left_semi").select(F.col("t").alias("ta"), "term", F.col("weight").alias("wa"))
-    b = w.join(right.distinct(), "t", "left_semi").select(F.col("t").alias("tb"), "term", F.col("weight").alias("wb"))
-    return a.join(b, "term").groupBy("ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).where(F.col("cos") >= threshold)
+    sides = [w.join(side.distinct(), "t", "left_semi") for side in (left, right)]
+    first = [prefixes(side, threshold).withColumnRenamed("t", name) for side, name in zip(sides, ("ta", "tb"), strict=True)]
+    pairs = first[0].join(first[1], "term").select("ta", "tb").distinct()
+    a = sides[0].select(F.col("t").alias("ta"), "term", F.col("weight").alias("wa"))
+    b = sides[1].select(F.col("t").alias("tb"), "term", F.col("weight").alias("wb"))
+    shared = pairs.join(a, "ta").join(b, ["tb", "term"])
+    return shared.groupBy("ta", "tb").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).where(F.col("cos") >= threshold)
 
 
 def tfidf_join(

@@ -122,9 +122,15 @@ def run(spark: SparkSession, data_dir: str, output_dir: str, fast: bool = False)
     """Train on dataset/train, infer on dataset/test, write matching_results and candidate_pairs and the model."""
     space, trials = (models.QUICK_BASES, 1) if fast else (models.BASES, 3)
     train, test = tsv.load_training_data(spark, data_dir), tsv.load_test_data(spark, data_dir)
-    normal = {k: apply_normalization(v) for k, v in train.items() if k != "truth"}
+
+    def normalised(name: str, df: DataFrame) -> DataFrame:
+        """Each record is normalised once and written."""
+        apply_normalization(df).write.mode("overwrite").parquet(f"{output_dir}/work/{name}")
+        return spark.read.parquet(f"{output_dir}/work/{name}")
+
+    normal = {k: normalised(f"train_{k}", v) for k, v in train.items() if k != "truth"}
     linker = Linker.train(normal["s1"], tsv.combine_sources(normal["s2"], normal["s3"]), tsv.truth_long(train["truth"]), f"{output_dir}/work", trials, space=space)
-    unseen = {k: apply_normalization(v) for k, v in test.items()}
+    unseen = {k: normalised(f"test_{k}", v) for k, v in test.items()}
     candidates, _, selected = linker.infer(unseen["s1"], tsv.combine_sources(unseen["s2"], unseen["s3"]), f"{output_dir}/work")
     roster = test["s1"].select(F.col("entity_id").alias("s1_id"), F.monotonically_increasing_id().alias("pos"))
     tsv.write_tsv(tsv.match_lists(selected, roster), f"{output_dir}/matching_results")

@@ -63,9 +63,13 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The views hold ASCII text, so folding stays in the JVM."""
-    return apply_normalization(s1(spark, sf_dir), fold_latin)
+    """Normalised anchors. The views hold ASCII text, so folding stays in the JVM.
+
+    Kept in the session's cache: records are normalised once, and the chain of replacements is not copied into
+    every expression that uses a clean column. End-to-end runs write normalised tables instead.
+    """
+    return apply_normalization(s1(spark, sf_dir), fold_latin).persist()
 
 
 def clean_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_normalization(gallery(spark, sf_dir), fold_latin)
+    return apply_normalization(gallery(spark, sf_dir), fold_latin).persist()
