@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.functions.text import apply_normalization, fold_latin
+from kinlink.sources.store import written
 
 _COUNTRY = "case when p_partkey % 10 <= 3 then 'US' when p_partkey % 10 <= 8 then 'India' else 'France' end"
 _KEY = "cast({} as varchar(20))"
@@ -65,11 +66,11 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised anchors. The views hold ASCII text, so folding stays in the JVM.
 
-    Kept in the session's cache: records are normalised once, and the chain of replacements is not copied into
-    every expression that uses a clean column. End-to-end runs write normalised tables instead.
+    Written once in a session, so records are normalised once, and the chain of replacements is not copied into every
+    expression that uses a clean column.
     """
-    return apply_normalization(s1(spark, sf_dir), fold_latin).persist()
+    return written(spark, f"clean-s1 {sf_dir}", lambda: apply_normalization(s1(spark, sf_dir), fold_latin))
 
 
 def clean_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_normalization(gallery(spark, sf_dir), fold_latin).persist()
+    return written(spark, f"clean-gallery {sf_dir}", lambda: apply_normalization(gallery(spark, sf_dir), fold_latin))
