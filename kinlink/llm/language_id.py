@@ -5,9 +5,9 @@ An unseen word is scored by its character n-grams of the greatest length of whic
 Each word gives the languages a bounded vote, and a document's score is the posterior share of its best language.
 
 Counting covers all training documents: each task counts words by language before the shuffle, and the
-n-grams are counted from the distinct words. What is broadcast is bounded by parameters: MAX_WORDS words and MAX_GRAMS
-n-grams of each length for each of at most MAX_LANGS languages. Counts fall into eight levels an octave, and the
-highest levels that fit as a whole are taken.
+n-grams are counted from the distinct words. All words, n-grams and languages count in scoring. The most frequent words
+(MAX_WORDS of each language, with their counts in all) are broadcast, the others joined; n-grams of words never seen are looked
+up in packs that are broadcast in turn. Counts fall into eight levels an octave, and the highest levels that fit as a whole are broadcast.
 
 Defined results: a null text or one without a letter is "und" with score 0; training rows without a language
 or text are skipped; without any training row everything is "und" with score 0; ties between
@@ -21,6 +21,7 @@ import sys
 import types
 import uuid
 from collections import Counter
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,13 +31,12 @@ from pyspark.sql import types as T
 from kinlink.llm import textkit
 from kinlink.llm.workdir import bound_batches, materialize
 
-MAX_LANGS = 200
-MAX_WORDS = 20_000
-MAX_GRAMS = 10_000
+MAX_WORDS = 20_000  # of each language are broadcast; the others are joined
+COMMON_VALUES = 8_000_000  # most numbers broadcast for them; with many languages fewer words are
+PACK_VALUES = 4_000_000
+BROADCAST_TEXTS = 1_000_000
 ORDERS = (4, 3, 2, 1)
-MAX_WORD_CHARS = 40  # longer runs of letters are scored by n-grams alone
 VOTE = 4.0  # the most by which one word may part two languages, as a natural logarithm
-CACHE_WORDS = 300_000
 UNDETERMINED = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -66,7 +66,7 @@ def _count_words(flush_at: int = 200_000):
         counts: dict[str, Counter] = {}
 
         def flush():
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if len(w) <= MAX_WORD_CHARS and has_letter(w)]
+            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if has_letter(w)]
             counts.clear()
             columns = zip(*rows, strict=True) if rows else ([], [], [])
             return pa.RecordBatch.from_arrays(
@@ -114,36 +114,86 @@ def _count_grams(flush_at: int = 200_000):
     return run
 
 
+def _binary(rows: np.ndarray):
+    """An Arrow column with the bytes of each row."""
+    import pyarrow as pa
+
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(rows)], pa.binary())
+
+
+def _log_counts(found: list, langs: list[str], totals: dict[tuple[str, int], int], sizes: list[int]) -> np.ndarray:
+    """Log frequencies, a row over the languages for each entry. found: (languages, counts) of each entry; where it was not counted it is as if seen half a time."""
+    at = {lang: k for k, lang in enumerate(langs)}
+    counts = np.zeros((len(found), len(langs)))
+    for k, (where, n) in enumerate(found):
+        counts[k, [at[lang] for lang in where]] = n
+    total = {size: np.log([totals.get((lang, size), 0) + 2 for lang in langs]) for size in set(sizes)}
+    return np.log(counts + 0.5) - np.array([total[size] for size in sizes]).reshape(counts.shape)
+
+
+def _votes(scores: np.ndarray) -> np.ndarray:
+    return np.maximum(scores - scores.max(axis=1, keepdims=True), -VOTE)
+
+
+def _gram_keys(names: list[str], size: int) -> np.ndarray:
+    return textkit.string_keys(list(np.array(names, dtype=f"U{size}").view(np.uint32).reshape(-1, size).T))
+
+
+def gram_sums(grams: dict[int, tuple[np.ndarray, np.ndarray]], words: list[str], n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word and n-gram length the sum of the log frequencies of its n-grams in grams (sorted keys, rows), and their number."""
+    sums, hits = np.zeros((len(words), len(ORDERS), n_langs)), np.zeros((len(words), len(ORDERS)), np.int64)
+    for o, size in enumerate(ORDERS):
+        if not words or size not in grams:
+            continue
+        framed = [f" {w} " if size > 1 else w for w in words]
+        chars = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in framed])
+        end = len(chars) - size + 1
+        if end <= 0:
+            continue
+        keys, table = grams[size]
+        wanted = textkit.string_keys([chars[k : k + end] for k in range(size)])
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = (owner[:end] == owner[size - 1 :]) & (keys[at] == wanted)
+        of, at = owner[:end][hit], at[hit]
+        hits[:, o] = np.bincount(of, minlength=len(words))
+        for j in range(n_langs):
+            sums[:, o, j] = np.bincount(of, weights=table[at, j], minlength=len(words))
+    return sums, hits
+
+
+def _longest_known(sums: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Scores from the greatest length of which an n-gram is known; zeros where none is."""
+    first, some = (hits > 0).argmax(axis=1), (hits > 0).any(axis=1)
+    rows = np.arange(len(hits))
+    return np.where(some[:, None], sums[rows, first] / np.maximum(hits[rows, first], 1)[:, None], 0.0)
+
+
 class LanguageModel:
-    """Log frequencies of words and n-grams, a row over the languages for each."""
-
-    def __init__(self, langs: list[str], tables: dict[int, tuple[list[str], np.ndarray]]):
-        self.langs = langs
-        self.tables = tables  # entries and their rows by n-gram length; 0 has the words
-        self.index = {size: {g: k for k, g in enumerate(names)} for size, (names, _) in tables.items()}
-
-    @classmethod
-    def from_counts(cls, rows, totals: dict[tuple[str, int], int]) -> LanguageModel:
-        """rows: (lang, size, gram, n), size 0 for words; totals: sums of n over everything counted."""
-        langs = sorted({lang for lang, _ in totals})[:MAX_LANGS]
-        at = {lang: k for k, lang in enumerate(langs)}
-        seen: dict[int, dict[str, dict[int, int]]] = {size: {} for size in (0, *ORDERS)}
-        for lang, size, gram, n in rows:
-            if lang in at:
-                seen[size].setdefault(gram, {})[at[lang]] = n
-        tables = {}
-        for size, grams in seen.items():
-            counts = np.zeros((len(grams), len(langs)))
-            for k, by_lang in enumerate(grams.values()):
-                for j, n in by_lang.items():
-                    counts[k, j] = n
-            # Where an entry was not counted it is as if seen half a time.
-            total = np.array([totals.get((lang, size), 0) + 2 for lang in langs])
-            tables[size] = (list(grams), np.log(counts + 0.5) - np.log(total))
-        return cls(langs, tables)
+    """Counts of words and n-grams by language, as tables of Spark; the most frequent words are held in memory too.
+
+    words: word, lang, n. grams: size, gram, langs, ns. common: the words in memory and their log frequencies, a row over the languages for each.
+    """
+
+    def __init__(self, langs: list[str], totals: dict | None = None, words: DataFrame | None = None, grams: DataFrame | None = None, common: tuple | None = None):
+        self.langs, self.totals, self.words, self.grams = langs, totals or {}, words, grams
+        self.common = common or ([], np.zeros((0, len(langs))))
+
+    @cached_property
+    def tables(self) -> dict[int, tuple[list[str], np.ndarray]]:
+        """Entries and their rows by n-gram length; 0 has the common words. Brings all n-grams to the driver: for small models."""
+        out = {0: self.common}
+        for size in ORDERS:
+            rows = self.grams.where(F.col("size") == size).collect() if self.grams is not None else []
+            out[size] = [r.gram for r in rows], _log_counts([(r.langs, r.ns) for r in rows], self.langs, self.totals, [size] * len(rows))
+        return out
+
+    @cached_property
+    def index(self) -> dict[int, dict[str, int]]:
+        return {size: {g: k for k, g in enumerate(names)} for size, (names, _) in self.tables.items()}
 
     def vote(self, word: str) -> np.ndarray:
-        """How far each language is behind the best for a word, VOTE at most."""
+        """How far each language is behind the best for a common word or one never seen, VOTE at most. For small models."""
         score, k = None, self.index[0].get(word)
         if k is not None:
             score = self.tables[0][1][k]
@@ -158,137 +208,235 @@ class LanguageModel:
             return np.zeros(len(self.langs))
         return np.maximum(score - score.max(), -VOTE)
 
+    def gram_packs(self):
+        """The n-grams with their log frequencies, in packs of about PACK_VALUES numbers: sorted keys and rows by length."""
+        langs, totals = self.langs, self.totals
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                sizes, names, where, ns = (batch.column(c).to_pylist() for c in ("size", "gram", "langs", "ns"))
+                keys = np.zeros(len(names), np.uint64)
+                for size in set(sizes):
+                    rows = [k for k, x in enumerate(sizes) if x == size]
+                    keys[rows] = _gram_keys([names[k] for k in rows], size)
+                made = _log_counts(list(zip(where, ns, strict=True)), langs, totals, sizes)
+                yield pa.RecordBatch.from_arrays([batch.column("size"), pa.array(keys.view(np.int64)), _binary(made)], names=["size", "key", "logs"])
+
+        n = -(-self.grams.count() * len(langs) // PACK_VALUES)
+        for p in range(n):
+            mine = self.grams.where(F.pmod(F.xxhash64("gram"), F.lit(n)) == p)
+            got = mine.mapInArrow(run, "size int, key long, logs binary").toArrow()
+            sizes, keys = (got.column(c).to_numpy() for c in ("size", "key"))
+            table = np.frombuffer(b"".join(got.column("logs").to_pylist())).reshape(-1, len(langs))
+            pack = {}
+            for size in np.unique(sizes).tolist():
+                k = keys[sizes == size].view(np.uint64)
+                order = np.argsort(k)
+                pack[size] = k[order], table[sizes == size][order]
+            yield pack
 
-class Predictor:
-    """Predicts batches of texts: votes of new words are made together, with array operations, and kept.
 
-    The kept votes are dropped between batches when they are many, so memory stays bounded.
-    """
+class Predictor:
+    """Votes of many words under a small model, made together with array operations."""
 
     def __init__(self, model: LanguageModel):
-        self.model = model
-        self.grams = {}
+        self.model, self.grams = model, {}
         for size in ORDERS:
-            names, table = model.tables.get(size, ([], None))
+            names, table = model.tables[size]
             if names:
-                chars = np.array(names, dtype=f"U{size}").view(np.uint32).reshape(-1, size)
-                keys = textkit.string_keys(list(chars.T))
+                keys = _gram_keys(names, size)
                 order = np.argsort(keys)
                 self.grams[size] = keys[order], table[order]
-        self.rows: dict[str, int] = {}
-        self.votes = np.zeros((0, len(model.langs)))
 
     def scores(self, words: list[str]) -> np.ndarray:
         """What LanguageModel.vote gives, for many words."""
-        n_langs = len(self.model.langs)
-        out, left = np.zeros((len(words), n_langs)), np.ones(len(words), bool)
+        out = _longest_known(*gram_sums(self.grams, words, len(self.model.langs)))
         known = np.array([self.model.index[0].get(w, -1) for w in words])
         out[known >= 0] = self.model.tables[0][1][known[known >= 0]]
-        left[known >= 0] = False
-        for size in ORDERS:
-            rows = np.flatnonzero(left)
-            if not len(rows) or size not in self.grams:
-                continue
-            text = "".join([f" {words[k]} " if size > 1 else words[k] for k in rows])
-            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            owner = np.repeat(np.arange(len(rows)), [len(words[k]) + 2 * (size > 1) for k in rows])
-            end = len(chars) - size + 1
-            if end <= 0:
-                continue
-            inside = owner[:end] == owner[size - 1 :]
-            keys, table = self.grams[size]
-            wanted = textkit.string_keys([chars[k : k + end] for k in range(size)])
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = inside & (keys[at] == wanted)
-            n = np.bincount(owner[:end][hit], minlength=len(rows))
-            some = n > 0
-            for j in range(n_langs):
-                total = np.bincount(owner[:end][hit], weights=table[at[hit], j], minlength=len(rows))
-                out[rows[some], j] = total[some] / n[some]
-            left[rows[some]] = False
-        votes = np.maximum(out - out.max(axis=1, keepdims=True), -VOTE)
-        votes[left] = 0
-        return votes
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
-        counts = [Counter(words_in(t)) for t in texts]
-        if not self.model.langs:
-            return [(UNDETERMINED, 0.0)] * len(texts)
-        if len(self.rows) > CACHE_WORDS:
-            self.rows, self.votes = {}, self.votes[:0]
-        rows = self.rows
-        new = list(dict.fromkeys(w for c in counts for w in c if w not in rows))
-        if new:
-            rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-            self.votes = np.vstack([self.votes, self.scores(new)])
-        return [self._best(c) for c in counts]
-
-    def _best(self, counts: Counter) -> tuple[str, float]:
-        if counts and not any(map(str.isalpha, counts)):
-            counts = {w: n for w, n in counts.items() if has_letter(w)}
-        if not counts:
-            return UNDETERMINED, 0.0
-        rows = np.fromiter(map(self.rows.__getitem__, counts), np.int64, len(counts))
-        total = np.fromiter(counts.values(), float, len(counts)) @ self.votes[rows]
-        share = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.model.langs[best], float(share[best] / share.sum())
+        return _votes(out)
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Count words and n-grams of all rows with a language and a text; keep the most frequent."""
+    """Count words and n-grams of all rows with a language and a text."""
     known = bound_batches(rows).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     words = known.mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = materialize(words, "words")
+    words = materialize(words.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "words")
     grams = words.mapInArrow(_count_grams(), "lang string, size int, gram string, n long")
-    grams = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    every = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n").union(grams)
-    every = materialize(every.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "counts")
-    levels = every.groupBy("lang", "size", "level").agg(F.count("*").alias("entries"), F.sum("n").alias("n")).collect()
+    grams = grams.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    grams = materialize(grams.groupBy("size", "gram").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns")), "grams")
+    levels = words.groupBy("lang", "level").agg(F.count("*").alias("entries"), F.sum("n").alias("n")).collect()
     totals, cuts = {}, {}
+    n_langs = len({r.lang for r in levels})
+    if not n_langs:
+        return LanguageModel([])
+    most = min(MAX_WORDS, COMMON_VALUES // n_langs**2)
     for r in sorted(levels, key=lambda r: -r.level):
-        key = (r.lang, r.size)
-        totals[key] = totals.get(key, 0) + r.n
-        left, cut = cuts.get(key, (MAX_GRAMS if r.size else MAX_WORDS, r.level + 1))
-        cuts[key] = (left - r.entries, r.level) if left >= r.entries else (-1, cut)
-    if not totals:
-        return LanguageModel([], {})
-    least = every.sparkSession.createDataFrame(
-        [(lang, size, cut) for (lang, size), (_, cut) in cuts.items()], "lang string, size int, cut int"
-    )
-    table = every.join(F.broadcast(least), ["lang", "size"]).where("level >= cut").select("lang", "size", "gram", "n").toArrow()
-    return LanguageModel.from_counts(zip(*(table.column(c).to_pylist() for c in ("lang", "size", "gram", "n")), strict=True), totals)
-
-
-def _predictor(shared) -> Predictor:
-    """The predictor of a broadcast model, kept over the tasks of a worker process; only the latest is."""
-    kept = sys.modules.setdefault("_kinlink_predictor", types.ModuleType("_kinlink_predictor"))
+        totals[r.lang, 0] = totals.get((r.lang, 0), 0) + r.n
+        left, cut = cuts.get(r.lang, (most, r.level + 1))
+        cuts[r.lang] = (left - r.entries, r.level) if left >= r.entries else (-1, cut)
+    flat = grams.select("size", F.explode(F.arrays_zip("langs", "ns")).alias("x")).groupBy("size", "x.langs").agg(F.sum("x.ns").alias("n"))
+    totals |= {(r.langs, r.size): r.n for r in flat.collect()}
+    langs = sorted(cuts)
+    # A word that is common in one language is held with its counts in all.
+    least = words.sparkSession.createDataFrame([(lang, cut) for lang, (_, cut) in cuts.items()], "lang string, cut int")
+    chosen = words.join(F.broadcast(least), "lang").where("level >= cut").select("word").distinct()
+    table = words.join(F.broadcast(chosen), "word").select("word", "lang", "n").toArrow()
+    by_word: dict[str, tuple[list, list]] = {}
+    for word, lang, n in zip(*(table.column(c).to_pylist() for c in ("word", "lang", "n")), strict=True):
+        where, ns = by_word.setdefault(word, ([], []))
+        where.append(lang)
+        ns.append(n)
+    common = list(by_word), _log_counts(list(by_word.values()), langs, totals, [0] * len(by_word))
+    return LanguageModel(langs, totals, words.select("word", "lang", "n"), grams, common)
+
+
+def _kept_index(shared) -> tuple[dict[str, int], np.ndarray]:
+    """The broadcast common words and their votes, kept over the tasks of a worker process; only the latest are."""
+    kept = sys.modules.setdefault("_kinlink_common", types.ModuleType("_kinlink_common"))
     if getattr(kept, "of", None) != shared[0]:
-        kept.of, kept.predictor = shared[0], Predictor(LanguageModel(*shared[1].value))
-    return kept.predictor
+        names, votes = shared[1].value
+        kept.of, kept.made = shared[0], ({w: k for k, w in enumerate(names)}, votes)
+    return kept.made
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1) added; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))
-    source = bound_batches(docs).select(*kept, docs[text_col].cast("string").alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def _tally(text: str | None) -> Counter:
+    counts = Counter(words_in(text))
+    if counts and not any(map(str.isalpha, counts)):
+        counts = Counter({w: n for w, n in counts.items() if has_letter(w)})
+    return counts
+
+
+def _sum_common(shared, kept: list[str], n_langs: int):
+    """Rows with the sum of their common words' votes, and their other words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        index, votes = _kept_index(shared)
+        for batch in batches:
+            sums, rare, ns = np.zeros((batch.num_rows, n_langs)), [], []
+            some = []
+            for k, text in enumerate(batch.column("__text").to_pylist()):
+                counts = _tally(text)
+                at = np.fromiter((index.get(w, -1) for w in counts), np.int64, len(counts))
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                known = at >= 0
+                sums[k] = n[known].astype(float) @ votes[at[known]]
+                names = list(counts)
+                rare.append([names[i] for i in np.flatnonzero(~known)])
+                ns.append(n[~known].tolist())
+                some.append(bool(counts))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(some), _binary(sums), pa.array(rare, pa.list_(pa.string())), pa.array(ns, pa.list_(pa.int64()))],
+                names=[*kept, "__some", "__sums", "__rare", "__ns"],
+            )
+
+    return run
+
+
+def _votes_of_counted(langs: list[str], totals: dict):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = list(zip(batch.column("langs").to_pylist(), batch.column("ns").to_pylist(), strict=True))
+            made = _votes(_log_counts(found, langs, totals, [0] * len(found))) if found else np.zeros((0, len(langs)))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _binary(made)], names=["word", "votes"])
+
+    return run
+
+
+def _sums_of_pack(shared, n_langs: int):
+    step = max(1, PACK_VALUES // (4 * len(ORDERS) * n_langs))
 
     def run(batches):
         import pyarrow as pa
 
-        predictor = _predictor(shared)
         for batch in batches:
-            found = predictor.predict(batch.column("__text").to_pylist())
+            for k in range(0, batch.num_rows, step):
+                words = batch.column("word").slice(k, step)
+                sums, hits = gram_sums(shared.value, words.to_pylist(), n_langs)
+                yield pa.RecordBatch.from_arrays([words, _binary(sums), _binary(hits)], names=["word", "sums", "hits"])
+
+    return run
+
+
+def _votes_of_unseen(n_langs: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = np.zeros((batch.num_rows, n_langs))
+            for k, (sums, hits) in enumerate(zip(batch.column("sums").to_pylist(), batch.column("hits").to_pylist(), strict=True)):
+                whole = np.frombuffer(b"".join(sums)).reshape(len(sums), len(ORDERS), n_langs).sum(axis=0)
+                out[k] = _longest_known(whole[None], np.frombuffer(b"".join(hits), np.int64).reshape(len(hits), -1).sum(axis=0)[None])[0]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), _binary(_votes(out))], names=["word", "votes"])
+
+    return run
+
+
+def _rare_votes(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """(word, votes) of distinct words by the whole tables: by their counts, or if never seen by their n-grams."""
+    n_langs, spark = len(model.langs), words.sparkSession
+    counted = words.join(model.words, "word", "left").groupBy("word").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
+    counted = materialize(counted, "looked-up")
+    votes = counted.where(F.size("langs") > 0).mapInArrow(_votes_of_counted(model.langs, model.totals), "word string, votes binary")
+    unseen = counted.where(F.size("langs") == 0).select("word")
+    if unseen.isEmpty():
+        return votes
+    parts = [unseen.mapInArrow(_sums_of_pack(spark.sparkContext.broadcast(pack), n_langs), "word string, sums binary, hits binary") for pack in model.gram_packs()]
+    sums = reduce(DataFrame.union, parts).groupBy("word").agg(F.collect_list("sums").alias("sums"), F.collect_list("hits").alias("hits"))
+    return votes.union(sums.mapInArrow(_votes_of_unseen(n_langs), "word string, votes binary"))
+
+
+def _decide(kept: list[str], langs: list[str]):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for some, sums, ns, votes in zip(*(batch.column(c).to_pylist() for c in ("__some", "__sums", "__n", "__votes")), strict=True):
+                if not some:
+                    found.append((UNDETERMINED, 0.0))
+                    continue
+                total = np.frombuffer(sums)
+                if ns:
+                    total = total + np.array(ns, float) @ np.frombuffer(b"".join(votes)).reshape(len(ns), -1)
+                share = np.exp(total - total.max())
+                best = int(total.argmax())
+                found.append((langs[best], float(share[best] / share.sum())))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
                 names=[*kept, "lang_pred", "score"],
             )
 
-    return source.mapInArrow(run, schema)
+    return run
+
+
+def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred and score (0 to 1) added; columns of these names are replaced.
+
+    Common words are broadcast. The others are written with the columns of docs, joined with the whole tables as distinct words,
+    and their votes joined with the rows, so nothing that is broadcast or held grows with the input.
+    """
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
+    if not model.langs:
+        return docs.select(*kept).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    names, logs = model.common
+    shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((names, _votes(logs) if len(logs) else logs))
+    source = bound_batches(docs).select(*kept, docs[text_col].cast("string").alias("__text"))
+    fields = [docs.schema[c] for c in kept]
+    first = T.StructType([*fields, *T._parse_datatype_string("__some boolean, __sums binary, __rare array<string>, __ns array<long>").fields])
+    partial = source.mapInArrow(_sum_common(shared, kept, len(model.langs)), first)
+    partial = materialize(partial.withColumn("__row", F.monotonically_increasing_id()), "partial")
+    rare = partial.select("__row", F.explode(F.arrays_zip("__rare", "__ns")).alias("x")).select("__row", F.col("x.__rare").alias("word"), F.col("x.__ns").alias("n"))
+    votes = _rare_votes(rare.select("word").distinct(), model)
+    summed = rare.join(votes, "word").groupBy("__row").agg(F.collect_list("n").alias("__n"), F.collect_list("votes").alias("__votes"))
+    whole = partial.drop("__rare", "__ns").join(summed, "__row", "left").select(*kept, "__some", "__sums", "__n", "__votes")
+    return whole.mapInArrow(_decide(kept, model.langs), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):
@@ -299,12 +447,20 @@ def held_out(docs: DataFrame, id_col: str = "doc_id"):
 def language_id_digest(docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", "lang", held_out(docs).alias("held_out"))
     model = train(marked.where("not held_out"))
-    return predict_languages(marked.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict_languages(marked.select("doc_id", "held_out", "text"), model, keep_text=False)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """docs without those whose language stays undetermined or scores below min_score; columns as they are."""
+    """docs without those whose language stays undetermined or scores below min_score; columns as they are.
+
+    Texts are judged by two 64-bit hashes of them, so documents are read again but not shuffled or written, unless very many are dropped.
+    """
     inner = [f"c{k}" for k in range(len(docs.columns))]
-    judged = predict_languages(docs.toDF(*inner), model, inner[docs.columns.index(text_col)])
-    clear = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
-    return judged.where(clear).select(*inner).toDF(*docs.columns)
+    plain = docs.toDF(*inner)
+    text = F.col(inner[docs.columns.index(text_col)]).cast("string")
+    keys = {"__h1": F.xxhash64(F.lit(1), text), "__h2": F.xxhash64(F.lit(2), text)}
+    judged = predict_languages(plain.select(text.alias("text"), *[k.alias(n) for n, k in keys.items()]).select("__h1", "__h2", "text"), model, keep_text=False)
+    unclear = judged.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_score)).select("__h1", "__h2").distinct()
+    unclear = materialize(unclear, "unclear")
+    unclear = F.broadcast(unclear) if unclear.count() <= BROADCAST_TEXTS else unclear
+    return plain.withColumns(keys).join(unclear, ["__h1", "__h2"], "left_anti").select(*inner).toDF(*docs.columns)

@@ -90,3 +90,30 @@ def test_bounds_on_tables(spark, monkeypatch):
     texts = [(k, "alpha alpha alpha alpha beta beta gamma delta") for k in range(4)]
     model = language_id.train(documents(spark, texts))
     assert set(model.tables[0][0]) == {"alpha", "beta"}
+
+
+def test_words_beyond_the_broadcast_count(spark, monkeypatch):
+    """Scores do not depend on how many words are broadcast, nor on the size of the packs of n-grams."""
+    texts, langs = corpus(20)
+    odd = {100: "schule the the garten", 101: "thinkable schulgarten", 102: "nothing", 103: "q"}
+    docs = documents(spark, [*texts, *odd.items()], langs | dict.fromkeys(odd))
+    model = language_id.train(docs)
+    want = {k: sum(model.vote(w) for w in t.split()) for k, t in [*texts, *odd.items()]}
+    monkeypatch.setattr(language_id, "MAX_WORDS", 2)
+    monkeypatch.setattr(language_id, "PACK_VALUES", 60)
+    small = language_id.train(docs)
+    assert len(small.common[0]) <= 4
+    for r in language_id.predict_languages(docs, small).collect():
+        share = np.exp(want[r.doc_id] - want[r.doc_id].max())
+        assert r.lang_pred == ("de", "en")[int(want[r.doc_id].argmax())] and abs(r.score - share.max() / share.sum()) < 1e-9
+
+
+def test_no_cap_on_languages_and_long_runs(spark):
+    langs = {k: f"l{k:03d}" for k in range(203)}
+    texts = [(k, chr(0x4E00 + 2 * k) * 50 + " " + chr(0x4E01 + 2 * k) * 3) for k in range(203)]
+    docs = documents(spark, texts, langs)
+    model = language_id.train(docs)
+    assert len(model.langs) == 203
+    asked = documents(spark, [(1, chr(0x4E00 + 2 * 202) * 7), (2, texts[201][1])], {1: None, 2: None})
+    got = {r.doc_id: r.lang_pred for r in language_id.predict_languages(asked, model).collect()}
+    assert got == {1: "l202", 2: "l201"}
