@@ -1,4 +1,4 @@
-"""Candidate generation: a union of equi-joins on keys, TF-IDF joins and MinHash banding.
+"""Candidate generation: a union of equi-joins on keys, TF-IDF joins and exact joins on trigram sets.
 
 Candidates are rows (s1_id, cand_id); each leg adds its name, so provenance survives the union. Buckets of the gallery
 beyond a cap are dropped before the join, as counts by key.
@@ -93,24 +93,42 @@ def prefix_leg(anchors: DataFrame, gallery: DataFrame, length: int = 6, most: in
     return key_join(anchors, gallery, F.when(F.length(prefix) == length, prefix), "prefix", most)
 
 
-def minhash_leg(anchors: DataFrame, gallery: DataFrame, threshold: float = 0.4, num_perm: int = 128, rows: int = 4) -> DataFrame:
-    """Character shingles of names: MinHash bands join, the estimate from the whole signatures decides.
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(ta, tb) of distinct texts (column t) whose trigram sets have a Jaccard similarity of at least the threshold; none is lost.
 
-    Distinct names are signed once, and candidates counted between distinct names before they are expanded to records.
+    Trigrams are put in order, rarest first. A pair that reaches the threshold shares one of the first
+    n - ceil(threshold * n) + 1 trigrams of both sides, and after the first it shares enough are left on both.
+    """
+    both = left.select("t").union(right.select("t")).distinct()
+    grams = both.select("t", F.explode(F.array_distinct(text.shingles(F.col("t")))).alias("g"))
+    df = grams.groupBy("g").agg(F.count("*").alias("df"))
+    sets = grams.join(df, "g").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
+    sets = sets.select("t", F.transform("s", lambda x: x["g"]).alias("set"), F.size("s").alias("n"))
+    # Rounding up must not shorten the prefix of a pair that just reaches the threshold.
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    first = sets.select("t", "n", F.posexplode(F.slice("set", F.lit(1), length.cast("int"))).alias("at", "g"))
+    sides = []
+    for side, x in ((left, "a"), (right, "b")):
+        mine = first.join(side.select("t").distinct(), "t", "left_semi")
+        sides.append(mine.select("g", F.col("t").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")))
+    least = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    found = sides[0].join(sides[1], "g").where(F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= least)
+    pairs = found.select("ta", "tb").distinct()
+    a, b = (sets.select(F.col("t").alias(f"t{x}"), F.col("set").alias(f"s{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    near = pairs.join(a, "ta").join(b, "tb").where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold)
+    return near.select("ta", "tb")
+
+
+def minhash_leg(anchors: DataFrame, gallery: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """Names whose sets of character trigrams have a Jaccard similarity of at least the threshold, all of them.
+
+    Compared exactly, between distinct names, before they are expanded to records; the leg has the name of the estimate it replaced.
     """
     name = F.lower(_name())
-    both = anchors.select(name.alias("t")).union(gallery.select(name.alias("t"))).where("t <> ''").distinct()
-    grams = text.shingles(F.col("t"))
-    signed = both.select("t", F.array(*[F.array_min(F.transform(grams, lambda g, k=k: F.xxhash64(F.lit(k), g))) for k in range(num_perm)]).alias("sig"))
-    bands = [F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * rows + r)) for r in range(rows)]) for b in range(num_perm // rows)]
-    banded = signed.select("t", "sig", F.explode(F.array(*bands)).alias("band"))
-    names = anchors.select(name.alias("t")).distinct()
-    left = banded.join(names, "t", "left_semi").select("band", F.col("t").alias("ta"), F.col("sig").alias("sa"))
-    right = banded.select("band", F.col("t").alias("tb"), F.col("sig").alias("sb"))
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / num_perm
-    pairs = left.join(right, "band").where(same >= threshold).select("ta", "tb").distinct()
-    a = anchors.select(F.col("entity_id").alias("s1_id"), name.alias("ta"))
-    b = gallery.select(F.col("entity_id").alias("cand_id"), name.alias("tb"))
+    a = anchors.select(F.col("entity_id").alias("s1_id"), name.alias("ta")).where("ta <> ''")
+    b = gallery.select(F.col("entity_id").alias("cand_id"), name.alias("tb")).where("tb <> ''")
+    pairs = similar_sets(a.select(F.col("ta").alias("t")), b.select(F.col("tb").alias("t")), threshold)
     return a.join(pairs, "ta").join(b, "tb").select("s1_id", "cand_id", F.lit("minhash").alias("leg")).distinct()
 
 

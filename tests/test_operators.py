@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kinlink.functions import text
 from kinlink.functions.text import apply_normalization
 from kinlink.operators import blocking, decision, features, metrics, tfidf, training, validate
 from kinlink.sources import tsv
@@ -43,6 +44,20 @@ def test_minhash_leg_finds_close_names(spark):
     assert pairs(blocking.minhash_leg(a, g)) == [("S1-1", "S2-1")]
 
 
+def test_trigram_join_loses_no_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    words = "antique blush coral dodger frosted gainsboro honeydew indian lawn metallic navajo olive peach sienna tomato".split()
+    names = sorted({" ".join(rng.sample(words, 4)) for _ in range(120)})
+    a = records(spark, [(f"S1-{k}", n, "", "") for k, n in enumerate(names[:60])])
+    g = records(spark, [(f"S2-{k}", n, "", "") for k, n in enumerate(names[60:])])
+    sets = {r.t: set(r.s) for r in spark.createDataFrame([(n,) for n in names], "t string").select("t", text.shingles(F.col("t")).alias("s")).collect()}
+    for threshold in (0.3, 0.4, 0.5):
+        want = sorted((f"S1-{i}", f"S2-{j}") for i, x in enumerate(names[:60]) for j, y in enumerate(names[60:]) if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= threshold)
+        assert want and pairs(blocking.minhash_leg(a, g, threshold)) == want
+
+
 def test_adaptive_prune_and_cap(spark):
     rows = [("q", f"c{k}", s) for k, s in enumerate((0.9, 0.85, 0.5, 0.4))]
     scored = spark.createDataFrame(rows, "s1_id string, cand_id string, cos double")
