@@ -616,7 +616,7 @@ def er_pair_metrics(spark, sf_dir):
 
 @query()
 def er_bootstrap_ci(spark, sf_dir):
-    return rounded(metrics.bootstrap_ci(anchor_counts(spark, sf_dir), n_boot=200))
+    return rounded(metrics.bootstrap_ci(anchor_counts(spark, sf_dir)))
 
 
 @query(_LABELLED + ", f as (select label, 'p' as feature, p as v from lab) select feature, round(quantile_cont(v, 0.5) filter (label = 1), 6) as median_match, round(quantile_cont(v, 0.5) filter (label = 0), 6) as median_negative, round(quantile_cont(v, 0.5) filter (label = 1) - quantile_cont(v, 0.5) filter (label = 0), 6) as delta from f group by 1")

@@ -24,3 +24,11 @@ def test_queries_agree_with_sql(spark, name):
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bootstrap_draws_the_default_replicates(spark):
+    from kinlink.operators import metrics
+    from kinlink.plans import catalog
+
+    want = catalog.rounded(metrics.bootstrap_ci(catalog.anchor_counts(spark, DATA), n_boot=1000)).first()
+    assert entry.queries()["er_bootstrap_ci"](spark, DATA).first() == want
