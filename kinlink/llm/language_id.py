@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+import unicodedata
 import uuid
 from collections import Counter
 from functools import cached_property, reduce
@@ -39,12 +40,23 @@ ORDERS = (4, 3, 2, 1)
 VOTE = 4.0  # the most by which one word may part two languages, as a natural logarithm
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+def _letters_and_marks() -> str:
+    """A pattern of runs of letters and combining marks, so that marks do not cut words of scripts that write vowels with them."""
+    inside = [unicodedata.category(chr(k))[0] in "LM" for k in range(sys.maxunicode + 1)]
+    edges = [k for k in range(1, len(inside)) if inside[k] != inside[k - 1]]
+    ranges = zip(edges[::2], [e - 1 for e in edges[1::2]] + [sys.maxunicode] * (len(edges) % 2), strict=False)
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+"
+
+
+_LETTERS = re.compile(_letters_and_marks())
+#: The same for texts without characters from U+0300 on, and much faster.
+_LATIN_LETTERS, _BEYOND = re.compile(r"[^\W\d_²³¹¼½¾]+"), re.compile("[\u0300-\U0010ffff]")
 
 
 def words_in(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased. Fractions, superscripts and the like may be in a run: see has_letter."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters and marks, lower-cased. A run of marks alone is no word: see has_letter."""
+    text = (text or "").lower()
+    return (_LETTERS if _BEYOND.search(text) else _LATIN_LETTERS).findall(text)
 
 
 def has_letter(word: str) -> bool:

@@ -77,6 +77,13 @@ def test_no_training_rows_and_empty(spark):
     assert language_id.language_id_digest(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_words_keep_combining_marks():
+    assert language_id.words_in("हिन्दी भाषा x12y ภาษาไทย e\u0301te\u0301 a_b") == ["हिन्दी", "भाषा", "x", "y", "ภาษาไทย", "e\u0301te\u0301", "a", "b"]
+    latin = "".join(map(chr, range(32, 0x300))).lower().replace("\u0307", "")
+    assert language_id._LETTERS.findall(latin) == language_id._LATIN_LETTERS.findall(latin)
+    assert language_id.words_in("a½b ² ß") == ["a", "b", "ß"] and language_id.words_in(None) == []
+
+
 def test_filter_keeps_columns(spark):
     texts, langs = corpus(12)
     docs = documents(spark, [*texts, (90, "123")], langs).withColumns({"score": F.lit("mine"), "lang_pred": F.lit(3)})
