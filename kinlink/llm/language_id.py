@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from kinlink.llm import textkit
 from kinlink.llm.workdir import bound_batches, materialize
 
-MAX_WORDS = 20_000  # of each language are broadcast; the others are joined
+MAX_WORDS = 100_000  # of each language are broadcast; the others are joined
 COMMON_VALUES = 8_000_000  # most numbers broadcast for them; with many languages fewer words are
 PACK_VALUES = 4_000_000
 BROADCAST_TEXTS = 1_000_000
