@@ -1,24 +1,34 @@
-"""Quality classifier: perplexity under interpolated modified Kneser-Ney character models, one for each language.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney n-gram models of trusted text, one for each language.
 
-Trained on all trusted texts: words are counted by language, character n-grams from the distinct words, then
-continuation counts, discounts (Chen and Goodman 1998) and interpolated probabilities of every order are
-made by grouping and joining count tables in Spark. A word stands between blanks, and each of its characters and its end is
-predicted from at most ORDER - 1 characters before it.
+Trained on all trusted texts: the n-grams are of ORDER characters and run across words, white space being one blank. Continuation
+counts, discounts (Chen and Goodman 1998) and interpolated probabilities of every order are made by grouping and joining
+count tables in Spark; nothing of them is gathered but histograms and a table of bounded size.
 
-Scoring joins documents with the counts shard by shard: entries with the same last character of context make a shard, so
-every predicted character needs one shard alone, and a document's log-probability is the sum over shards. Shards are packed
-up to PACK_ENTRIES entries; each pack is broadcast in turn and the documents read once for each, so memory is bounded however
-large the model grows. A document is kept if its perplexity lies at or below a quantile of the trusted texts of its language.
+Texts fall into two folds by a hash of the text, and each is scored by the models trained on the other fold, so no text is ever
+judged by counts of its own, and the thresholds come from held-out texts. All trusted texts train one of the two models.
 
-Defined results: null, empty and blank texts have no perplexity (null) and are not kept; a language without trusted text
-is scored by the model of all languages together ("*"), as are texts without a language; repeated rows are scored alike; without
-any trusted text nothing has a perplexity and nothing is kept.
+Scoring joins the texts' events (a character and the ORDER - 1 before it) with the counts. The entries of the most frequent contexts, at most
+HOT_ENTRIES of them, are broadcast. An event whose context is not among them is emitted, and the distinct ones of the whole corpus
+are joined with the whole count tables, sharded by model and string. What is broadcast therefore only decides where an event is
+looked up, never its value, and neither the driver nor a task holds more as the model grows.
+
+A document has two figures: its perplexity, and that of its WORST least likely words, which shows single foul or foreign words in
+long texts. It is kept if neither exceeds the quantile of the held-out trusted texts of its language.
+
+Defined results: null, empty and blank texts have no perplexity (null) and are not kept; a language without trusted text in the other
+fold is scored by the model of all languages together ("*"), as are texts without a language, and if the other fold has no
+trusted text at all, its own fold's models serve; repeated rows are scored alike; ties with a threshold are kept; texts of any length are
+read whole, in pieces, and words longer than a piece are cut; without any trusted text nothing has a perplexity and nothing
+is kept; columns of the input other than doc_id, lang and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import operator
-from collections import Counter
+import hashlib
+import sys
+import types
+import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,95 +38,139 @@ from kinlink.llm import textkit
 from kinlink.llm.workdir import bound_batches, materialize
 
 ORDER = 5
-PACK_ENTRIES = 3_000_000
+FOLDS = 2
+HOT_ENTRIES = 2_000_000  # most entries that are broadcast
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 150_000
-MAX_WORD = 60  # longer words are cut into pieces of this length, each a word of its own
+WORST = 4
 QUANTILE = 0.995
-SLACK = 1.15
+PIECE = 1 << 19  # characters worked on at once
+FLUSH = 600_000  # distinct events held while counting
 ANY = "*"
 
 
-def pieces(text: str | None) -> list[str]:
-    """Words at white space; overlong ones in pieces."""
-    words = text.split() if text else []
-    if words and max(map(len, words)) > MAX_WORD:
-        return [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
-    return words
+def pieces(text: str | None):
+    """Parts of a text of bounded length, each led by the ORDER - 1 characters before it and ended by a blank."""
+    before, at = " " * (ORDER - 1), 0
+    text = text or ""
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text):
+            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            end = cut + 1 if cut > at else end
+        body = " ".join(text[at:end].split())
+        if body:
+            part = before + body.replace("\0", "�") + " "
+            yield part
+            before = part[1 - ORDER :]
+        at = end
 
 
-def events(word: str) -> list[tuple[str, str]]:
-    """(context, character) for each character of a word and the blank after it."""
-    framed = f" {word} "
-    return [(framed[max(0, i - ORDER + 1) : i], framed[i]) for i in range(1, len(framed))]
+def _laid_out(rows):
+    """Groups of rows (tag, text) as (tags, owners, code points, events).
 
+    All pieces of a group lie end to end: owners says whose a character is, and events which characters are predicted.
+    """
+    tags, parts, owners, total = [], [], [], 0
+    for tag, text in rows:
+        tags.append(tag)
+        for part in pieces(text):
+            parts.append(part)
+            owners.append(len(tags) - 1)
+            total += len(part)
+            if total >= PIECE:
+                yield _arrays(tags, parts, owners)
+                tags, parts, owners, total = [tag], [], [], 0
+    if parts:
+        yield _arrays(tags, parts, owners)
+
+
+def _arrays(tags: list, parts: list[str], owners: list[int]):
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), dtype=np.uint32)
+    sizes = np.array([len(p) for p in parts])
+    starts = np.cumsum(sizes) - sizes
+    events = np.ones(len(codes), bool)
+    for k in range(ORDER - 1):
+        events[starts + k] = False
+    return tags, np.repeat(np.array(owners), sizes), codes, events
 
-def _count_words(flush_at: int = 200_000):
-    def run(batches):
-        import pyarrow as pa
 
-        counts: dict = {}
+def _fold(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = h * textkit.ODD + c.astype(np.uint64) + np.uint64(1)
+        return h ^ (h >> np.uint64(29))
 
-        def flush():
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-            counts.clear()
-            columns = zip(*rows, strict=True) if rows else ([], [], [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"]
-            )
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(pieces(text))
-                if sum(map(len, counts.values())) > flush_at:
-                    yield flush()
-        yield flush()
+def _seed(models: list[str]) -> np.ndarray:
+    """The key of the empty string of each model."""
+    made = {m: int.from_bytes(hashlib.blake2b(m.encode(), digest_size=8).digest(), "little") for m in set(models)}
+    return np.array([made[m] for m in models], dtype=np.uint64)
 
-    return run
 
+def _chain(seeds: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
+    """Keys of the strings of length 0 to ORDER that end at each character; strings that reach over the start are meaningless."""
+    keys = [seeds]
+    for n in range(ORDER):
+        shifted = codes if not n else np.concatenate([np.zeros(n, codes.dtype), codes[:-n]])
+        keys.append(_fold(keys[-1], shifted))
+    return keys
 
-def _count_events(flush_at: int = 300_000):
-    """Full-length events of distinct words, added up within a task."""
+
+def _string_keys(models: list[str], strings: list[str]) -> np.ndarray:
+    """The keys of whole strings of at most ORDER characters, as _chain makes them."""
+    out = _seed(models)
+    length = np.array([len(s) for s in strings], dtype=np.int64)
+    points = np.array([s[::-1] for s in strings] + ["." * ORDER], dtype=f"U{ORDER}").view(np.uint32).reshape(-1, ORDER)[:-1]
+    for n in range(ORDER):
+        rows = length > n
+        out[rows] = _fold(out[rows], points[rows, n])
+    return out
+
+
+def _count_events(flush_at: int = FLUSH):
+    """(model, ctx, c, n) of the texts of a task, added up before they are sent."""
 
     def run(batches):
         import pyarrow as pa
 
-        counts: Counter = Counter()
+        held: dict[str, list] = {}
+
+        def merged(parts):
+            keys, counts, strings = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            return uniq, np.bincount(inverse, weights=counts).astype(np.int64), strings[first]
 
         def flush():
-            rows = list(counts.items())
-            counts.clear()
-            arrays = [pa.array([k[i] for k, _ in rows], pa.string()) for i in range(3)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, n in rows], pa.int64())], names=["lang", "ctx", "c", "n"])
+            for model, parts in held.items():
+                _, counts, strings = merged(parts)
+                ctx = np.ascontiguousarray(strings[:, :-1]).view(f"U{ORDER - 1}").ravel()
+                c = np.ascontiguousarray(strings[:, -1:]).view("U1").ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([model] * len(counts), pa.string()), pa.array(ctx.tolist(), pa.string()), pa.array(c.tolist(), pa.string()), pa.array(counts)],
+                    names=["model", "ctx", "c", "n"],
+                )
+            held.clear()
 
         for batch in batches:
-            for lang, word, n in zip(*(batch.column(k).to_pylist() for k in ("lang", "word", "n")), strict=True):
-                for ctx, c in events(word):
-                    counts[lang, ctx, c] += n
-                    counts[ANY, ctx, c] += n
-                if len(counts) > flush_at:
-                    yield flush()
-        yield flush()
+            rows = zip(batch.column("model").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            by_model: dict[str, list] = {}
+            for model, text in rows:
+                by_model.setdefault(model, []).append((model, text))
+            for model, mine in by_model.items():
+                for _, _, codes, events in _laid_out(mine):
+                    at = np.flatnonzero(events)
+                    keys, first, counts = np.unique(_chain(np.zeros(len(codes), np.uint64), codes)[ORDER][at], return_index=True, return_counts=True)
+                    strings = codes[at[first][:, None] + np.arange(1 - ORDER, 1)]
+                    parts = held.setdefault(model, [])
+                    parts.append((keys, counts, strings))
+                    if len(parts) > 8:
+                        held[model] = [merged(parts)]
+            if sum(len(p[0]) for parts in held.values() for p in parts) > flush_at:
+                yield from flush()
+        yield from flush()
 
     return run
 
 
-def _orders(top: DataFrame) -> list[DataFrame]:
-    """Count tables (lang, ctx, c, n) by length of context, from none to ORDER - 1.
-
-    Counts are true for full contexts and for ones that begin a word; for others n is the number of different
-    characters that come before (continuation counts).
-    """
-    tables = [top.where(F.length("ctx") == ORDER - 1)]
-    for size in range(ORDER - 2, -1, -1):
-        shorter = tables[0].groupBy("lang", F.substring("ctx", 2, ORDER).alias("ctx"), "c").agg(F.count("*").alias("n"))
-        if size:
-            whole = top.where((F.length("ctx") == size) & F.col("ctx").startswith(" "))
-            shorter = shorter.union(whole).groupBy("lang", "ctx", "c").agg(F.sum("n").alias("n"))
-        tables.insert(0, materialize(shorter, "counts"))
-    return tables
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
     if not n1 or not n2:
@@ -126,276 +180,332 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k + 0.9) for k, x in enumerate(d))
 
 
-def _discount_column(rows: list, n: Column) -> Column:
-    """The discount for a count, by language, as one expression."""
-    out = F.lit(0.5)
-    for lang, d in rows:
-        mine = F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        out = F.when(F.col("lang") == lang, mine).otherwise(out)
-    return out
+def _discounted(table: DataFrame) -> DataFrame:
+    """table (model, ctx, c, n) with the discount d of each count."""
+    steps = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    found = [(r.model, *discounts(r.n1, r.n2, r.n3, r.n4)) for r in table.groupBy("model").agg(*steps).collect()]
+    rates = table.sparkSession.createDataFrame(found, "model string, d1 double, d2 double, d3 double")
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return table.join(F.broadcast(rates), "model").select("model", "ctx", "c", "n", d.alias("d"))
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """The model as a table (lang, shard, ctx, c, value): log-probabilities, and where c is null log back-off weights.
+    """The model tables as one: (model, s, logp, back_off, level).
 
-    trusted: lang, text. shard is the last character of ctx; entries without a context are in shard "".
+    trusted: fold, lang, text. Models are named fold:lang; the one over all languages of a fold is fold:*. For a string s, logp is that
+    of its last character after the others, back_off the weight of s as a context in logarithms; where s is a context and an n-gram
+    it has a row for each. The row of the empty string has the logp of a character never seen. level says how
+    frequent the context is, in eighths of octaves: no shorter ending of a context has a lower one.
     """
-    words = bound_batches(trusted).mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = materialize(words.withColumn("lang", F.coalesce("lang", F.lit(ANY))), "words")
-    top = words.mapInArrow(_count_events(), "lang string, ctx string, c string, n long").groupBy("lang", "ctx", "c").agg(F.sum("n").alias("n"))
-    tables = _orders(materialize(top, "events"))
+    named = bound_batches(trusted).select(F.concat("fold", F.lit(":"), F.coalesce("lang", F.lit(ANY))).alias("model"), "text")
+    top = named.mapInArrow(_count_events(), "model string, ctx string, c string, n long")
+    every = F.explode(F.array_distinct(F.array("model", F.concat(F.substring_index("model", ":", 1), F.lit(":" + ANY)))))
+    top = top.select(every.alias("model"), "ctx", "c", "n").groupBy("model", "ctx", "c").agg(F.sum("n").alias("n"))
+    tables = [materialize(top, "events")]
+    seen = [tables[0].groupBy("model", "ctx").agg(F.sum("n").alias("seen"))]
+    for _ in range(ORDER - 1):
+        shorter = tables[0].groupBy("model", F.substring("ctx", 2, ORDER).alias("ctx"), "c").agg(F.count("*").alias("n"))
+        tables.insert(0, materialize(shorter, "counts"))
+        seen.insert(0, materialize(seen[0].groupBy("model", F.substring("ctx", 2, ORDER).alias("ctx")).agg(F.sum("seen").alias("seen")), "seen"))
     made, below = [], None
     for size, table in enumerate(tables):
-        steps = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        found = [(r.lang, discounts(r.n1, r.n2, r.n3, r.n4)) for r in table.groupBy("lang").agg(*steps).collect()]
-        table = table.withColumn("d", _discount_column(found, F.col("n")))
-        contexts = table.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        own = table.join(contexts, ["lang", "ctx"])
-        own = own.select("lang", "ctx", "c", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), (F.col("mass") / F.col("total")).alias("gamma"))
+        table = _discounted(table)
+        contexts = table.groupBy("model", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
+        contexts = contexts.join(seen[size].select("model", "ctx", F.floor(F.log2("seen") * 8).cast("int").alias("level")), ["model", "ctx"])
+        own = table.join(contexts, ["model", "ctx"])
+        own = own.select("model", "ctx", "c", "level", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), (F.col("mass") / F.col("total")).alias("gamma"))
         if below is None:
             # Below single characters: evenly over those seen and one unseen.
-            kinds = table.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("even"))
-            now = own.join(F.broadcast(kinds), "lang").select("lang", "ctx", "c", (F.col("p") + F.col("gamma") * F.col("even")).alias("p"))
-            unseen = contexts.join(F.broadcast(kinds), "lang").select("lang", "ctx", F.lit("").alias("c"), (F.col("mass") / F.col("total") * F.col("even")).alias("p"))
-            now = now.union(unseen)
+            kinds = table.groupBy("model").agg((1 / (F.count("*") + 1)).alias("even"))
+            now = own.join(F.broadcast(kinds), "model").withColumn("q", F.col("even"))
+            unseen = contexts.join(F.broadcast(kinds), "model").select("model", F.lit("").alias("s"), F.log(F.col("mass") / F.col("total") * F.col("even")).alias("logp"), "level")
+            made.append(unseen.select("model", "s", "logp", F.lit(None).cast("double").alias("back_off"), "level"))
         else:
-            lower = below.select("lang", F.col("ctx").alias("short"), "c", F.col("p").alias("q"))
-            own = own.withColumn("short", F.substring("ctx", 2, ORDER))
-            now = own.join(lower, ["lang", "short", "c"]).select("lang", "ctx", "c", (F.col("p") + F.col("gamma") * F.col("q")).alias("p"))
-            made.append(contexts.select("lang", "ctx", F.lit(None).cast("string").alias("c"), F.log(F.col("mass") / F.col("total")).alias("value")))
-        below = materialize(now, "probabilities")
-        made.append(below.select("lang", "ctx", "c", F.log("p").alias("value")))
-    table = made[0]
-    for more in made[1:]:
-        table = table.union(more)
-    return materialize(table.withColumn("shard", F.substring("ctx", -1, 1)), "model")
-
-
-def pack_shards(model: DataFrame, most: int = PACK_ENTRIES) -> list[list[tuple[str, str]]]:
-    """(language, shard) pairs in packs of at most `most` entries where no single shard is larger."""
-    sizes = model.where("shard <> ''").groupBy("lang", "shard").agg(F.count("*").alias("n")).collect()
-    packs, room = [], 0
-    for r in sorted(sizes, key=lambda r: (r.lang, -r.n, r.shard)):
-        if r.n > room:
-            packs.append([])
-            room = most
-        packs[-1].append((r.lang, r.shard))
-        room -= r.n
-    return packs
+            lower = below.select("model", F.col("ctx").alias("short"), "c", F.col("p").alias("q"))
+            now = own.withColumn("short", F.substring("ctx", 2, ORDER)).join(lower, ["model", "short", "c"])
+            made.append(contexts.select("model", F.col("ctx").alias("s"), F.lit(None).cast("double").alias("logp"), F.log(F.col("mass") / F.col("total")).alias("back_off"), "level"))
+        below = materialize(now.select("model", "ctx", "c", "level", (F.col("p") + F.col("gamma") * F.col("q")).alias("p")), "probabilities")
+        made.append(below.select("model", F.concat("ctx", "c").alias("s"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("back_off"), "level"))
+    logs = [F.col(c).cast("float").alias(c) for c in ("logp", "back_off")]
+    return materialize(reduce(DataFrame.union, made).select("model", "s", *logs, "level"), "model")
+
+
+class KeyTable:
+    """Values of 64-bit keys in arrays, found by open addressing. An empty place has the key 0, which no entry has but by a chance of 2**-64."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
+        left, slot = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.values[slot[won]] = keys[left[won]], values[left[won]]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, slot = left[stay], (slot[stay] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(24)).astype(np.int64) & self.mask
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value) of each key; the value is 0 where none is found."""
+        slot = self._place(keys)
+        there = self.keys[slot]
+        found = there == keys
+        values = np.where(found, self.values[slot], 0)
+        left = np.flatnonzero(~found & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            at = slot[left]
+            there = self.keys[at]
+            hit = there == keys[left]
+            found[left[hit]], values[left[hit]] = True, self.values[at[hit]]
+            left = left[~hit & (there != 0)]
+        return found, values
 
 
-def _fold(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = h * textkit.ODD + c.astype(np.uint64) + np.uint64(1)
-        return h ^ (h >> np.uint64(29))
-
-
-def _keys(chars: list[np.ndarray], kind: int) -> np.ndarray:
-    """64-bit keys of strings given by arrays of their last, next to last, ... character."""
-    h = np.full(len(chars[0]) if chars else 1, np.uint64(kind + 1), dtype=np.uint64)
-    for c in chars:
-        h = _fold(h, c)
-    return textkit.mix(h + np.uint64(len(chars)))
+class Scorer:
+    """Log-probabilities of events by the broadcast entries.
 
+    whole: all entries of the model are there, so what is not found was never seen. begun: those of the empty context are.
+    """
 
-GRAM, BACK_OFF, UNSEEN = 0, 1, 2
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, back_off: np.ndarray, whole: bool, begun: bool):
+        gram, context = ~np.isnan(logp), ~np.isnan(back_off)
+        self.grams, self.contexts = KeyTable(keys[gram], logp[gram]), KeyTable(keys[context], back_off[context])
+        self.whole, self.begun = whole, begun
+
+    def __call__(self, seeds: np.ndarray, codes: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, order) of each event. order is the length of the shortest of its contexts whose entries are not here, and
+        value then what the shorter ones give; it is -1 where value is the event's log-probability.
+        """
+        chain, at = _chain(seeds, codes), np.flatnonzero(events)
+        value, order = np.zeros(len(at)), np.full(len(at), -1, np.int8)
+        left = np.arange(len(at))
+        for n in range(ORDER - 1, -1, -1):
+            found, logp = self.grams.look_up(chain[n + 1][at[left]])
+            value[left] += logp
+            left = left[~found]
+            if n:
+                known, back = self.contexts.look_up(chain[n][at[left] - 1])
+                value[left] += back
+                if not self.whole:
+                    order[left[~known]] = n
+            else:
+                value[left] += self.grams.look_up(seeds[at[left]])[1]
+                if not self.begun:
+                    order[left] = 0
+        return value, order
 
 
-def _hash_entries(batches):
-    """The model's rows with a key instead of their strings."""
+def _with_keys(batches):
     import pyarrow as pa
 
     for batch in batches:
-        ctx, c = batch.column("ctx").to_pylist(), batch.column("c").to_pylist()
-        kinds = np.array([BACK_OFF if x is None else GRAM if x else UNSEEN for x in c], dtype=np.int32)
-        length = np.array([len(x) for x in ctx])
-        points = np.array([x[::-1] for x in ctx] + ["." * ORDER], dtype=f"U{ORDER}").view(np.uint32).reshape(-1, ORDER)[:-1]
-        last = np.array([x or "." for x in c] + ["."], dtype="U1").view(np.uint32)[:-1]
-        keys = np.zeros(len(ctx), dtype=np.uint64)
-        for kind in (GRAM, BACK_OFF):
-            for n in range(ORDER):
-                rows = np.flatnonzero((kinds == kind) & (length == n))
-                if len(rows):
-                    before = [points[rows, k] for k in range(n)]
-                    keys[rows] = _keys([last[rows], *before] if kind == GRAM else before, kind)
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(kinds), pa.array(keys.view(np.int64)), batch.column("value")], names=["lang", "kind", "key", "value"])
-
+        keys = _string_keys(batch.column("model").to_pylist(), batch.column("s").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("logp"), batch.column("back_off")], names=["key", "logp", "back_off"])
 
-class Scorer:
-    """Log-probabilities of words under the shards of one pack: sorted keys and their values for each language.
 
-    others: for each language the shards of other packs. Characters after one that has no shard at all, which the model never
-    saw before another, belong to the first pack of the language, where others is given; elsewhere it is None.
-    """
+def hot_entries(model: DataFrame, most: int) -> tuple:
+    """(keys, logp, back_off, whole, begun) for Scorer: all entries of the contexts from some level up, `most` of them or fewer."""
+    levels = model.where("s <> ''").groupBy("level").count().orderBy(F.desc("level")).collect()
+    cut, room = None, most
+    for r in levels:
+        if r["count"] > room:
+            break
+        cut, room = r.level, room - r["count"]
+    whole = not levels or cut == levels[-1].level
+    chosen = (F.col("s") == "") | (F.col("level") >= F.lit(cut)) if cut is not None else F.col("s") == ""
+    table = model.where(chosen).select("model", "s", "logp", "back_off").mapInArrow(_with_keys, "key long, logp float, back_off float").toArrow()
+    logs = [table.column(c).to_numpy().astype(np.float32) for c in ("logp", "back_off")]
+    return table.column("key").to_numpy().view(np.uint64), *logs, whole, cut is not None
 
-    def __init__(self, tables: dict[str, dict], shards: dict[str, list[str]], others: dict[str, list[str] | None]):
-        self.tables = tables
-        points = lambda chars: np.array([ord(s) for s in chars], dtype=np.uint32)
-        self.shards = {lang: points(mine) for lang, mine in shards.items()}
-        self.others = {lang: None if rest is None else points(rest) for lang, rest in others.items()}
-        self.known: dict[str, dict[str, float]] = {lang: {} for lang in tables}
-
-    @staticmethod
-    def pack(kinds: np.ndarray, keys: np.ndarray, values: np.ndarray) -> dict:
-        """Arrays to look keys up in."""
-        out = {}
-        for kind in (GRAM, BACK_OFF):
-            k, v = keys[kinds == kind].view(np.uint64), values[kinds == kind]
-            order = np.argsort(k)
-            out[kind] = k[order], v[order]
-        out[UNSEEN] = float(values[kinds == UNSEEN][0])
-        return out
-
-    @staticmethod
-    def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value) of each key."""
-        k, v = table
-        if not len(k):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-        return k[at] == keys, v[at]
-
-    def words(self, lang: str, words: list[str]) -> np.ndarray:
-        """For each word the sum over those of its characters whose context ends in one of the pack's shards."""
-        table = self.tables[lang]
-        s = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32)
-        blank = s == 32
-        begun = np.maximum.accumulate(np.where(blank, np.arange(len(s)), 0))
-        owner = np.cumsum(blank)[:-1] - 1  # the word of each event, by its character before
-        at = np.arange(1, len(s))
-        rest = self.others[lang]
-        mine = np.isin(s[:-1], self.shards[lang]) if rest is None else ~np.isin(s[:-1], rest)
-        at, owner = at[mine], owner[mine]
-        length = np.minimum(at - begun[at - 1], ORDER - 1)
-        value, open_ = np.zeros(len(at)), np.ones(len(at), bool)
-        for n in range(ORDER - 1, -1, -1):
-            rows = np.flatnonzero(open_ & (length >= n))
-            if not len(rows):
-                continue
-            before = [s[at[rows] - k] for k in range(1, n + 1)]
-            found, v = self._look_up(table[GRAM], _keys([s[at[rows]], *before], GRAM))
-            value[rows[found]] += v[found]
-            open_[rows[found]] = False
-            left = rows[~found]
-            if n:
-                known, back = self._look_up(table[BACK_OFF], _keys([x[~found] for x in before], BACK_OFF))
-                value[left[known]] += back[known]
-            else:
-                value[left] += table[UNSEEN]
-        return np.bincount(owner, weights=value, minlength=len(words))
 
-    def texts(self, lang: str, texts: list[str | None]) -> list[tuple[float, int]]:
-        """(log-probability, predicted characters) of texts of one language, for this pack."""
-        counts = [Counter(pieces(t)) for t in texts]
-        known = self.known[lang]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for c in counts for w in c if w not in known})
-        if new:
-            known.update(zip(new, self.words(lang, new).tolist(), strict=True))
-        out = []
-        for c in counts:
-            total = sum(map(operator.mul, c.values(), map(known.__getitem__, c)))
-            out.append((total, sum(map(operator.mul, c.values(), map(len, c))) + sum(c.values())))
-        return out
+def _kept_scorer(shared) -> Scorer:
+    """The scorer of a broadcast, kept over the tasks of a worker process; only the latest is."""
+    kept = sys.modules.setdefault("_kinlink_scorer", types.ModuleType("_kinlink_scorer"))
+    if getattr(kept, "of", None) != shared[0]:
+        kept.made = None
+        kept.of, kept.made = shared[0], Scorer(*shared[1].value)
+    return kept.made
 
 
-SCORED = "row long, doc_id long, model_lang string, logp double, n long"
+SCORED = (
+    "doc_id long, trusted boolean, model string, logp double, n long, worst array<double>, "
+    "words array<struct<w:int,logp:double,n:int>>, events array<struct<w:int,s:string,o:int,v:double>>"
+)
 
 
-def score(docs: DataFrame, model: DataFrame, packs: list[list[tuple[str, str]]] | None = None) -> DataFrame:
-    """(row, doc_id, model_lang, logp, n): log-probability and number of predicted characters of each text.
+def _score_rows(shared):
+    """For each row the sum of its events and the rates of its WORST least likely words; then its words that have open events, and these.
 
-    docs: row, doc_id, lang, text. Where a row's language has no model, "*" serves.
+    w numbers words within a batch, o and v are order and value as of Scorer, and v is part of the logp of the word and the row.
     """
-    spark = bound_batches(docs).sparkSession
-    packs = pack_shards(model) if packs is None else packs
-    langs = sorted({lang for p in packs for lang, _ in p})
-    own = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(ANY) if langs else F.lit(ANY)
-    named = docs.select("row", "doc_id", own.alias("model_lang"), "text")
-    hashed = materialize(model.repartition("lang", "shard", "ctx").mapInArrow(_with_shard, "lang string, shard string, kind int, key long, value double"), "entries")
-    parts, begun = [], set()
-    for pack in packs:
-        mine = sorted({lang for lang, _ in pack})
-        shards = {lang: [s for k, s in pack if k == lang] for lang in mine}
-        others = {lang: None if lang in begun else [s for p in packs if p is not pack for k, s in p if k == lang] for lang in mine}
-        begun |= set(mine)
-        chosen = F.col("shard") == ""
-        for lang in mine:
-            chosen = chosen | (F.col("lang") == lang) & F.col("shard").isin(shards[lang])
-        entries = hashed.where(F.col("lang").isin(mine) & chosen).select("lang", "kind", "key", "value").toArrow()
-        of = np.array(entries.column("lang").to_pylist())
-        kinds, keys, values = (entries.column(k).to_numpy() for k in ("kind", "key", "value"))
-        tables = {lang: Scorer.pack(kinds[of == lang], keys[of == lang], values[of == lang].astype(np.float32)) for lang in mine}
-        del entries, of, kinds, keys, values
-        shared = spark.sparkContext.broadcast((tables, shards, others))
-        parts.append(named.where(F.col("model_lang").isin(mine)).mapInArrow(_score_pack(shared), SCORED))
-    if not parts:
-        return named.select("row", "doc_id", "model_lang", F.lit(0.0).alias("logp"), F.lit(0).cast("long").alias("n"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    if len(parts) > 1:
-        whole = whole.groupBy("row", "model_lang").agg(F.first("doc_id").alias("doc_id"), F.sum("logp").alias("logp"), F.max("n").alias("n"))
-    return whole.select("row", "doc_id", "model_lang", "logp", "n")
-
-
-def _with_shard(batches):
-    import pyarrow as pa
 
-    for batch in batches:
-        for out in _hash_entries([batch]):
-            yield pa.RecordBatch.from_arrays([out.column(0), batch.column("shard"), *out.columns[1:]], names=["lang", "shard", "kind", "key", "value"])
-
-
-def _score_pack(shared):
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(*shared.value)
+        scorer = _kept_scorer(shared)
+
+        def lists(of: list[np.ndarray], n_rows: int, names: list[str], columns: list):
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(of), minlength=n_rows) if of else np.zeros(n_rows, int))])
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=names))
+
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         for batch in batches:
-            langs, texts = batch.column("model_lang").to_pylist(), batch.column("text").to_pylist()
-            found: list = [None] * len(texts)
-            for lang in set(langs):
-                rows = [k for k, x in enumerate(langs) if x == lang]
-                for k, result in zip(rows, scorer.texts(lang, [texts[k] for k in rows]), strict=True):
-                    found[k] = result
+            rows, texts = batch.num_rows, batch.column("text").to_pylist()
+            seeds = _seed(batch.column("model").to_pylist())
+            logp, n, numbered = np.zeros(rows), np.zeros(rows, np.int64), 0
+            worst: list[np.ndarray] = [np.zeros(0)] * rows
+            word_of, word_id, word_logp, word_n, event_of, event_word, strings, orders, values = ([] for _ in range(9))
+            for tags, owners, codes, events in _laid_out(enumerate(texts)):
+                tags = np.array(tags)
+                value, order = scorer(seeds[tags[owners]], codes, events)
+                at = np.flatnonzero(events)
+                of, ends = tags[owners[at]], codes[at] == 32
+                logp += np.bincount(of, weights=value, minlength=rows)
+                n += np.bincount(of, minlength=rows)
+                word = np.cumsum(ends) - ends
+                sums, sizes, owner = np.bincount(word, weights=value), np.bincount(word), of[np.flatnonzero(ends)]
+                open_ = order >= 0
+                partly = np.zeros(len(sums), bool)
+                partly[word[open_]] = True
+                rate = np.where(partly, np.inf, sums / sizes)
+                by = np.lexsort((rate, owner))
+                starts = np.flatnonzero(np.diff(owner[by], prepend=-1))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
+                    mine, k = rate[by[a : min(b, a + WORST)]], owner[by[a]]
+                    worst[k] = np.sort(np.concatenate([worst[k], mine[np.isfinite(mine)]]))[:WORST]
+                if not open_.any():
+                    continue
+                some = np.flatnonzero(partly)
+                word_of.append(owner[some])
+                word_id.append(some + numbered)
+                word_logp.append(sums[some])
+                word_n.append(sizes[some])
+                event_of.append(of[open_])
+                event_word.append(word[open_] + numbered)
+                orders.append(order[open_])
+                values.append(value[open_])
+                strings.append(np.ascontiguousarray(codes[at[open_][:, None] + np.arange(1 - ORDER, 1)]).view(f"U{ORDER}").ravel())
+                numbered += len(sums)
+            words = lists(word_of, rows, ["w", "logp", "n"], [join(word_id, pa.int32()), join(word_logp, pa.float64()), join(word_n, pa.int32())])
+            open_events = [join(event_word, pa.int32()), pa.array(np.concatenate(strings).tolist() if strings else [], pa.string()), join(orders, pa.int32()), join(values, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("row", "doc_id", "model_lang")), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())],
-                names=["row", "doc_id", "model_lang", "logp", "n"],
+                [
+                    *(batch.column(c) for c in ("doc_id", "trusted", "model")),
+                    pa.array(logp),
+                    pa.array(n),
+                    pa.array([w.tolist() for w in worst], pa.list_(pa.float64())),
+                    words,
+                    lists(event_of, rows, ["w", "s", "o", "v"], open_events),
+                ],
+                names=["doc_id", "trusted", "model", "logp", "n", "worst", "words", "events"],
             )
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """(doc_id, lang, perplexity, threshold, trusted, kept) of each document.
+def open_values(strings: DataFrame, model: DataFrame) -> DataFrame:
+    """(model, s, whole, gain) of open events (model, s, o) that any of the count tables has more about.
 
-    docs: doc_id, text, lang. labels: doc_id, quality, toxic; trusted are documents of quality 1 that are not toxic. A document is kept if
-    its perplexity is at most `slack` times the quantile of the trusted ones of its language (of all, where none has it), or a little above
-    for short texts: the allowance in logarithms is one over the root of the number of characters.
+    The endings of a string from o + 1 characters on are joined with the tables as n-grams, and its contexts from o characters on. The
+    longest n-gram found gives its log-probability (whole), else what shorter contexts gave stands; the longer contexts give
+    their back-off weights (gain).
+    """
+    chain = strings.select("model", "s", F.explode(F.sequence(F.col("o"), F.lit(ORDER - 1))).alias("k"))
+    grams = chain.select("model", F.col("s").alias("string"), F.expr("right(s, k + 1)").alias("s"), "k")
+    contexts = chain.where("k > 0").select("model", F.col("s").alias("string"), F.expr(f"substring(s, {ORDER} - k, k)").alias("s"), "k")
+    known = grams.join(model.where("logp is not null").select("model", "s", "logp"), ["model", "s"]).withColumn("back_off", F.lit(None).cast("float"))
+    backs = contexts.join(model.where("back_off is not null").select("model", "s", "back_off"), ["model", "s"]).withColumn("logp", F.lit(None).cast("float"))
+    both = known.select("model", "string", "k", "logp", "back_off").union(backs.select("model", "string", "k", "logp", "back_off"))
+    found = both.groupBy("model", F.col("string").alias("s")).agg(
+        F.max(F.when(F.col("logp").isNotNull(), F.struct("k", "logp"))).alias("top"),
+        F.collect_list(F.when(F.col("back_off").isNotNull(), F.struct("k", "back_off"))).alias("backs"),
+    )
+    longer = F.filter("backs", lambda x: x.k > F.coalesce(F.col("top.k"), F.lit(-1)))
+    gain = F.aggregate(longer, F.lit(0.0), lambda a, x: a + x.back_off)
+    return found.select("model", "s", F.col("top.logp").cast("double").alias("whole"), gain.alias("gain"))
+
+
+def score(docs: DataFrame, model: DataFrame, most: int | None = None) -> DataFrame:
+    """(row, doc_id, trusted, model, logp, n, worst): log-probability and number of predicted characters of each text, and the mean
+    log-probability by character of its WORST least likely words.
+
+    docs: doc_id, trusted, model, text. most: how many entries are broadcast (None: HOT_ENTRIES).
+    """
+    *hot, whole, begun = hot_entries(model, HOT_ENTRIES if most is None else most)
+    shared = uuid.uuid4().hex, bound_batches(docs).sparkSession.sparkContext.broadcast((*hot, whole, begun))
+    partial = docs.select("doc_id", "trusted", "model", "text").mapInArrow(_score_rows(shared), SCORED)
+    partial = materialize(partial.withColumn("row", F.monotonically_increasing_id()), "partial")
+    made = ["row", "doc_id", "trusted", "model", "logp", "n", "worst"]
+    if whole:
+        return partial.select(*made[:-1], _mean("worst"))
+    events = partial.select("row", "model", F.explode("events").alias("e")).select("row", "model", "e.w", "e.s", "e.o", "e.v")
+    values = open_values(events.groupBy("model", "s").agg(F.first("o").alias("o")), model)
+    step = F.coalesce("gain", F.lit(0.0)) + F.coalesce(F.col("whole") - F.col("v"), F.lit(0.0))
+    gains = events.join(materialize(values, "open"), ["model", "s"]).groupBy("row", "w").agg(F.sum(step).alias("gain"))
+    words = partial.select("row", F.explode("words").alias("x")).select("row", "x.w", "x.logp", "x.n").join(gains, ["row", "w"], "left")
+    gain = F.coalesce("gain", F.lit(0.0))
+    by_row = words.groupBy("row").agg(F.sum(gain).alias("gain"), F.sort_array(F.collect_list((F.col("logp") + gain) / F.col("n"))).alias("rates"))
+    rates = F.sort_array(F.concat("worst", F.coalesce(F.slice("rates", 1, WORST), F.array().cast("array<double>"))))
+    whole_rows = partial.select(*made).join(by_row, "row", "left")
+    return whole_rows.withColumns({"worst": F.slice(rates, 1, WORST), "logp": F.col("logp") + gain}).select(*made[:-1], _mean("worst"))
+
+
+def _mean(name: str) -> Column:
+    return (F.aggregate(name, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(name), F.lit(1))).alias(name)
+
+
+def choose_models(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """docs (fold, lang, text, ...) with the name of the model that scores each; null where there is no model at all.
+
+    It is the language's of the other fold, or else "*" of that fold; if the other fold has no model, its own fold's serve.
+    """
+    names = materialize(model.where("s = ''").select("model").distinct(), "names")
+    folds = {r.fold for r in names.select(F.substring_index("model", ":", 1).cast("int").alias("fold")).distinct().collect()}
+    serving = F.lit(None).cast("string")
+    for k in range(FOLDS):
+        others = [f for f in (*range(k + 1, FOLDS), *range(k + 1)) if f in folds]
+        if others:
+            serving = F.when(F.col("fold") == k, F.lit(str(others[0]))).otherwise(serving)
+    wanted = F.concat(serving, F.lit(":"), F.col("lang"))
+    inner = docs.withColumns({"__serving": serving, "__wanted": wanted}).join(F.broadcast(names.withColumnRenamed("model", "__known")), F.col("__wanted") == F.col("__known"), "left")
+    return inner.withColumn("model", F.coalesce("__known", F.concat("__serving", F.lit(":" + ANY)))).drop("__serving", "__wanted", "__known")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(doc_id, lang, perplexity, threshold, worst, worst_threshold, trusted, kept) of each document.
+
+    docs: doc_id, text, lang. labels: doc_id, quality, toxic; trusted are documents of quality 1 that are not toxic. worst is the perplexity of the
+    document's WORST least likely words. The thresholds are the quantile of both figures over the trusted documents whose texts
+    the same language's models of the other fold scored (over all trusted ones, where there are none).
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
     good = good.where("q = 1 and x = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted"))
     good = materialize(good, "trusted")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # Ids of texts are broadcast up to a checked number; beyond it the texts are shuffled to them.
-    few = good.count() <= BROADCAST_IDS
-    near = F.broadcast(good) if few else good
-    trusted = plain.join(near, "doc_id", "left_semi").where("text is not null").select("lang", "text")
-    model = train(trusted)
-    rows = plain.withColumn("row", F.monotonically_increasing_id())
-    scored = materialize(score(rows, model), "scored")
-    ppl = F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n")))
-    marked = scored.select("doc_id", "model_lang", "n", ppl.alias("perplexity")).join(near, "doc_id", "left")
-    marked = materialize(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "marked")
-    limits = marked.where("trusted and perplexity is not null").groupBy("model_lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
-    overall = marked.where("trusted and perplexity is not null").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("t")).first().t
-    judged = marked.join(F.broadcast(limits), "model_lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
-    # The fewer characters, the further a text may be off by chance.
-    allowed = F.col("threshold") * F.exp(1 / F.sqrt(F.greatest("n", F.lit(1))))
-    kept = F.coalesce(F.col("perplexity") <= allowed, F.lit(False))
-    return judged.select("doc_id", F.col("model_lang").alias("lang"), "perplexity", "threshold", "trusted", kept.alias("kept"))
+    near = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    plain = plain.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    model = train(plain.join(near, "doc_id", "left_semi").where("text is not null").select("fold", "lang", "text"))
+    named = choose_models(plain.join(near, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), model)
+    modelled = F.coalesce("model", F.lit("0:" + ANY))
+    scored = score(named.select("doc_id", "trusted", modelled.alias("model"), F.when(F.col("model").isNotNull(), F.col("text")).alias("text")), model)
+    lang = F.expr("substring(model, length(substring_index(model, ':', 1)) + 2)")
+    judged = scored.select("doc_id", "trusted", lang.alias("lang"), F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"), F.when(F.col("n") > 0, F.exp(-F.col("worst"))).alias("worst"))
+    judged = materialize(judged, "judged")
+    least = [F.percentile_approx(c, quantile, 10_000).alias(t) for c, t in (("perplexity", "threshold"), ("worst", "worst_threshold"))]
+    held = judged.where("trusted and perplexity is not null")
+    limits, overall = held.groupBy("lang").agg(*least), held.agg(*least).first()
+    judged = judged.join(F.broadcast(limits), "lang", "left")
+    for name in ("threshold", "worst_threshold"):
+        judged = judged.withColumn(name, F.coalesce(name, F.lit(overall[name]).cast("double")))
+    kept = F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold")), F.lit(False))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "worst", "worst_threshold", "trusted", kept.alias("kept"))
 
 
 def quality_lm_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
