@@ -69,4 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {
+        "op7_line_dedup": line_dedup.ORACLE,
+        "op8_quality_rules": quality_rules.ORACLE,
+        "op9_html_extract": html_extract.ORACLE,
+    }

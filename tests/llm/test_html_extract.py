@@ -42,6 +42,65 @@ def test_broken_pages():
     assert text("<" * 5000 + f"<article>{P(LONG)}</article>").endswith(LONG)
 
 
+def test_names_that_say_nothing():
+    assert text(f'<article><h1>T</h1><div class="share-price">{P(LONG)}</div><section id="top-story">{P(LONG)}</section></article>') == f"T {LONG} {LONG}"
+    assert text(f'<article>{P(LONG)}<div class="ad-slot">{P(LONG)}</div><div class="newsletter-box">{P("Sign up")}</div></article>') == LONG
+    assert text(f'<div class=site-header>{P("My site")}</div><div class=content><div class=header><h1>A title</h1></div>{P(LONG)}</div>') == f"A title {LONG}"
+
+
+def test_links_within_an_article():
+    notes = "<ol><li><a href=r>Smith, A study of rivers and stones</a> 2010</li><li><a href=r>Jones, On light and gardens in winter</a></li></ol>"
+    want = f"{LONG} Read the full report of the office here {LONG} Smith, A study of rivers and stones 2010 Jones, On light and gardens in winter"
+    assert text(f"<article>{P(LONG)}{P('<a href=x>Read the full report of the office here</a>')}{P(LONG)}{notes}</article>") == want
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Sport today</a></li></ul>"
+    assert text(f"<article>{P(LONG)}{menu}{P(LONG)}</article>") == f"{LONG} {LONG}"
+
+
+def test_only_scripts_and_the_like_are_cut():
+    assert text(f"<article>{P(LONG)}<p>A sum <math><mi>x</mi><mo>+</mo><mn>2</mn></math> <object>of two</object></p></article>") == f"{LONG} A sum x+2 of two"
+    assert text(f"<article>{P(LONG)}<form><textarea>Write</textarea><button>Send</button></form><p hidden>{LONG}</p></article>") == LONG
+
+
+#: Pages written by hand, with other words and names than the labelled ones: what is between the brackets is article text.
+OTHER_PAGES = (
+    "<body><ul class=topnav><li><a href=/>Start</a><li><a href=/w>Weather</a><li><a href=/s>Sports</a></ul><div id=primary><h1>[The old mill burns down]</h1>"
+    "<p>[A fire destroyed the old mill by the river on Sunday night, and the fire service worked until the morning to save the houses beside it.]"
+    "<p>[Nobody was hurt, said the head of the fire service, but the cause is still unknown and an inquiry has begun in the town hall.]</div>"
+    "<div id=colophon><p>All rights reserved</p></div>",
+    "<header><h2>City paper</h2></header><main><h1>[Rain]</h1><p>[Short news.]</p><p>[More rain is expected in the coming days, as a front moves in from the west.]</p>"
+    "<blockquote>[<a href=q>We have seen nothing like it in forty years, said the keeper of the weir</a>]</blockquote>"
+    "<aside><p>The ten wettest places of the country in one long table to look at.</p></aside></main><footer><p>Imprint and contact</p></footer>",
+    "<nav><a href=1>One</a> <a href=2>Two</a></nav><article class='hentry'><p>[First.]</p><table><tr><td>[Year]<td>[Tons]<tr><td>[1990]<td>[12]</table>"
+    "<p>[The second paragraph is somewhat longer than the first one was.]</p></article><section id=comments><p>I do not believe a single word of this long article at all.</p></section>",
+)
+
+
+def test_pages_of_other_makers():
+    import re
+
+    for page in OTHER_PAGES:
+        want = [re.sub("<[^>]*>", "", x) for x in re.findall(r"\[(.*?)\]", page)]
+        assert text(page.replace("[", "").replace("]", "")) == " ".join(want)
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    rows = [(k, f"u{k}", f"{NAV}<article><h1>T {k}</h1><p>a &amp; <b>b{k}</b><p>{LONG} &lt; 2</article><footer>{LONG}</footer>") for k in range(30)]
+    rows += [(40, "x", None), (41, None, ""), (42, "y", f"<div class=ad>{P(LONG)}</div><article>{P(LONG)}")]
+    pages = spark.createDataFrame(rows, PAGE)
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    got = sorted(map(tuple, html_extract.html_extract_digest(pages).collect()))
+    assert [r[2:] for r in got] == [r[2:] for r in sorted(con.sql(html_extract.ORACLE).fetchall())]
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article>{P(LONG)}</article>", "a", "b")], "page_id long, url string, html string, page string, c0 string")
+    got = html_extract.extract_text(pages).first()
+    assert (got.page, got.c0, got.text) == ("a", "b", LONG)
+
+
 def test_tree_on_other_pages():
     tree = html_extract.train_tree()
     right = total = 0
