@@ -4,16 +4,19 @@ Rules judge the pages they fit. Hosts with allowed pages seed trust, hosts with
 personalised PageRank along links between hosts; distrust is the same against the links, since who links to bad hosts is suspect. A page without
 a rule is blocked if its host's distrust exceeds its trust by more than a margin, else allowed.
 
-Links are absolute ones (with a host) in the pages' html, between different hosts, each pair counted once. Scores that flow
-into a host without links are not passed on. Rounds end when scores move by less than TOLERANCE in all, or after MAX_ROUNDS.
+Links are absolute ones (with a host) in the pages' html, between different hosts, each pair counted once; relative links stay within
+their host. Scores that flow into a host without links go back to the seeds, so trust and distrust each add up to one. Rounds go on until
+no more than TOLERANCE can still move; with a damping below one their number follows from it, and nothing else ends them.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; hosts that no
-seed reaches are allowed; repeated pages are judged alike but count each as a page; null html has no links; columns
-of the input with the names of the results are replaced.
+seed reaches are allowed, and so are those whose distrust only equals their trust; among rules of equal length the first by
+text, then verdict, wins; repeated pages are judged alike but count each as a page; null html has no links; urls and pages of any length
+are read whole; columns of the input with the names of the results are replaced, others stay.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,7 @@ from kinlink.llm.workdir import materialize
 
 DAMPING = 0.85
 TOLERANCE = 1e-6
-MAX_ROUNDS = 40
+LOOK_EVERY = 6  # rounds from one look at what still moves to the next
 INLINE_RULES = 256
 
 
@@ -97,30 +100,37 @@ def match_rules(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(src, dst): distinct links between different hosts. pages: host, html."""
-    found = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""), 1)
+    found = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)(?<![\w-])href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""), 1)
     links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(found, ascii_lower))).alias("dst"))
     return links.where("src <> dst").distinct()
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(kind, host, score): PageRank of each kind of seed, restarted at the seeds.
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, score): PageRank of each kind of seed, restarted at the seeds, and adding up to one.
 
-    links: kind, src, dst (distinct). seeds: kind, host, share, the shares of a kind adding up to one.
+    links: kind, src, dst (distinct). seeds: kind, host, share, the shares of a kind adding up to one. Restarting what reaches a host
+    without links is the same as dividing by the sum at the end. All that still moves shrinks by the damping in each round.
     """
-    degree = links.groupBy("kind", "src").agg(F.count("*").alias("degree"))
+    links = materialize(links, "links")
+    if links.isEmpty():
+        return seeds.select("kind", "host", F.col("share").alias("score"))
+    # Written first, so that the join may split a host with very many links.
+    degree = materialize(links.groupBy("kind", "src").agg(F.count("*").alias("degree")), "degrees")
     weighted = materialize(links.join(degree, ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("degree")).alias("weight")), "links")
     start = materialize(seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("score")), "seeds")
-    now = start
-    for _ in range(max_rounds):
+    now, rounds = start, math.ceil(math.log(tolerance) / math.log(damping))
+    for k in range(1, rounds + 1):
         flow = weighted.join(now.withColumnRenamed("host", "src"), ["kind", "src"])
         flow = flow.select("kind", F.col("dst").alias("host"), (F.col("weight") * F.col("score") * damping).alias("score"))
         then = materialize(flow.union(start).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
-        change = then.union(now.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d"))
-        moved = change.agg(F.sum("d")).first()[0] or 0.0
+        if k % LOOK_EVERY == 0:
+            change = then.union(now.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d"))
+            if (change.agg(F.sum("d")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
+                now = then
+                break
         now = then
-        if moved < TOLERANCE:
-            break
-    return now
+    sums = now.groupBy("kind").agg(F.sum("score").alias("whole"))
+    return now.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("whole")).alias("score"))
 
 
 def judge_hosts(matched: DataFrame, links: DataFrame, margin: float = 0.0) -> DataFrame:
@@ -164,3 +174,28 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str
 
 def url_filter_digest(pages: DataFrame) -> DataFrame:
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: For pages whose links all stay within their host, as those of the given tables: there the seeds alone have scores.
+ORACLE = """
+WITH rules(rule, host, path, verdict) AS (VALUES
+  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+  ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
+), located AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), best AS (
+  SELECT l.r, arg_max(x.rule, length(x.rule)) AS rule, arg_max(x.verdict, length(x.rule)) AS verdict
+  FROM located l JOIN rules x ON (l.host = x.host OR l.host LIKE '%.' || x.host) AND starts_with(l.path, x.path) GROUP BY l.r
+), matched AS (
+  SELECT l.*, b.rule, b.verdict AS judged FROM located l LEFT JOIN best b USING (r)
+), shares AS (
+  SELECT host, count(*) FILTER (judged = 'allow') / sum(count(*) FILTER (judged = 'allow')) OVER () AS trust,
+    count(*) FILTER (judged = 'block') / sum(count(*) FILTER (judged = 'block')) OVER () AS distrust
+  FROM matched WHERE judged IS NOT NULL AND host <> '' GROUP BY host
+)
+SELECT page_id, m.host, path, rule, coalesce(judged, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM matched m LEFT JOIN shares s ON m.host = s.host
+"""
