@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm.line_dedup import ascii_lower
-from kinlink.llm.workdir import materialize
+from kinlink.llm.workdir import materialize, release
 
 DAMPING = 0.85
 TOLERANCE = 1e-6
@@ -128,6 +128,8 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
             if (change.agg(F.sum("d")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
                 now = then
                 break
+        if now is not start:
+            release(now)
         now = then
     sums = now.groupBy("kind").agg(F.sum("score").alias("whole"))
     return now.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("score") / F.col("whole")).alias("score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,13 +27,18 @@ def bound_batches(df: DataFrame) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 
-    Where the setting is missing (local tests) a temporary folder is set once per session.
+    Where the setting is missing, a session within one machine gets a temporary folder of its own, removed at its end; on a
+    cluster that is an error, as executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="kinlink-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="kinlink-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -45,4 +53,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write a DataFrame to shared storage and read it back: cuts lineage, survives lost executors."""
     path = fresh_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.kept_in = path
+    return made
+
+
+def release(made: DataFrame) -> None:
+    """Delete what materialize wrote. Only for tables that nothing still to be computed reads."""
+    spark = made.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(made.kept_in)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
