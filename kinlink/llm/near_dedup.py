@@ -5,20 +5,26 @@
 2. Bands of the signature are grouped by value. Buckets with the same members are taken once.
 3. Members of a bucket are compared in blocks of bounded size: signatures first, then the full
    sets. A block reports a spanning forest of its links, never all pairs of a group.
-4. Alternating large-star and small-star turns links into components.
+4. Buckets of several blocks go on with components: one member of each component is compared with those of the others, as long as
+   that joins most of them. What then still lies outside the largest component of its bucket is compared with all of the
+   bucket, block by block. A group of near copies thus costs rows in proportion to its size; only texts that share a
+   band and are not linked cost more, as each of them has to be compared with the whole bucket.
+5. Alternating large-star and small-star turns links into components.
 
-The only probabilistic step is the banding: a pair at the threshold itself shares no bucket
-with a probability below 1e-5 (see plan_bands), and pairs above it still less.
+Two steps are probabilistic: a pair at the threshold itself shares no bucket with a probability below 1e-5 (see plan_bands),
+and pairs above it still less; and sets are not compared where signatures agree in six standard deviations less than they would at the
+threshold, which a linked pair does with a probability of about 1e-9.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing, even
 with other empty ones; a text with fewer words than the shingle width is one shingle of all its
-words; repeated rows share one id and hence one result; a row without a doc_id is linked
-with nothing, has a null component and is kept.
+words; texts of any length are read whole; repeated rows share one id and hence one result; a row without a doc_id is linked
+with nothing, has a null component and is kept; columns of the input other than the id and the text stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,8 +38,11 @@ N_HASHES = 252
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 200_000
 SEED = 20_11
-#: Sizes of the bitmaps that are broadcast, 2 MB each at most.
-BITMAP_BITS = 1 << 24
+#: Most bits of the bitmaps that are broadcast (16 MB), and bits for each entry below that.
+BITMAP_BITS, BITS_AN_ENTRY = 1 << 27, 16
+#: Going on with heads of components pays while it leaves at most this share of them.
+WORTH = 0.5
+BROADCAST_IDS = 1_000_000
 
 
 def plan_bands(threshold: float, n_hashes: int = N_HASHES, miss: float = 1e-5) -> tuple[int, int]:
@@ -151,8 +160,8 @@ def _setter(width: int, bits):
     return run
 
 
-def link_block(reps: list[int], sides: list[int], sigs: list[bytes], items: list[bytes], percent: int, cross: bool):
-    """Links of a block as a spanning forest: pairs with 100 * common >= percent * united.
+def link_block(reps: list[int], sides: list[int], comps: list[int], sigs: list[bytes], items: list[bytes], percent: int, cross: bool):
+    """Links of a block as a spanning forest: pairs of different components with 100 * common >= percent * united.
 
     cross: only pairs from different sides count.
     """
@@ -164,7 +173,7 @@ def link_block(reps: list[int], sides: list[int], sigs: list[bytes], items: list
     starts = np.concatenate([[0], np.cumsum(sizes)])
     t = percent / 100
     least = sig.shape[1] * (t - 6 * math.sqrt(t * (1 - t) / sig.shape[1]))
-    root, side, links = np.arange(n), np.array(sides), []
+    root, side, links = np.unique(comps, return_inverse=True)[1], np.array(sides), []
     flag = np.zeros(int(ids.max()) + 1, dtype=np.int8)
     for i in range(n - 1):
         later = np.arange(i + 1, n)
@@ -186,7 +195,7 @@ def link_block(reps: list[int], sides: list[int], sigs: list[bytes], items: list
 
 
 def _linker(percent: int):
-    """Streams rows sorted by bucket and block pair; each such group has a bounded size."""
+    """Streams rows sorted by bucket and block pair; each such group has a bounded size. b2 is -1 for a block by itself."""
 
     def run(batches):
         import pyarrow as pa
@@ -197,35 +206,91 @@ def _linker(percent: int):
         def done():
             if len(rows) < 2:
                 return None
-            got = list(rows.values())
-            links = link_block(list(rows), *map(list, zip(*got, strict=True)), percent, now[1] != now[2])
+            sides, reps = zip(*rows, strict=True)
+            links = link_block(list(reps), list(sides), *map(list, zip(*rows.values(), strict=True)), percent, now[2] >= 0)
             return pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [y for _, y in links]}, schema=schema) if links else None
 
         for batch in batches:
-            for key, b1, b2, rep, blk, sig, items in zip(*(batch.column(c).to_pylist() for c in ("key", "b1", "b2", "rep", "blk", "sig", "items")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("key", "b1", "b2", "side", "rep", "comp", "sig", "items"))
+            for key, b1, b2, side, rep, comp, sig, items in zip(*columns, strict=True):
                 if (key, b1, b2) != now:
                     if (out := done()) is not None:
                         yield out
                     now, rows = (key, b1, b2), {}
-                rows[rep] = (blk, sig, items)
+                rows[side, rep] = (comp, sig, items)
         if (out := done()) is not None:
             yield out
 
     return run
 
 
+def _bits(rows: DataFrame, column: str):
+    """A broadcast bitmap of a written column, sized by its number of rows."""
+    n = min(BITMAP_BITS, 1 << max(16, (BITS_AN_ENTRY * rows.count()).bit_length()))
+    return rows.sparkSession.sparkContext.broadcast(bitmap.build(rows, column, n))
+
+
+def _blocks(n, total):
+    """How many blocks n sets with total shingles make."""
+    return F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK_ROWS, total / BLOCK_SHINGLES))).cast("int")
+
+
+def _place(salt: int, blocks: str):
+    return F.pmod(F.xxhash64("rep", "key", F.lit(salt)), F.col(blocks)).cast("int")
+
+
+def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows (key, b1, b2, side, rep, comp), of which each (key, b1, b2) is compared in one place."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    grouped = rows.join(sets, "rep").select("key", "b1", "b2", "side", "rep", "comp", "sig", "items")
+    grouped = grouped.repartition(parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    return grouped.mapInArrow(_linker(percent), "a long, b long")
+
+
+def _link_large(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between the blocks of buckets with several, beside those known within them.
+
+    members: key, rep, n, of such buckets only. links: those within the blocks (salt 0).
+    """
+    made, salt, before = [links], 0, None
+    while True:
+        nodes = connected_components(reduce(DataFrame.union, made)).select(F.col("node").alias("rep"), "component")
+        named = materialize(members.join(nodes, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "members")
+        heads = named.groupBy("key", "comp").agg(F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"), F.count("*").alias("members"))
+        several = heads.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("total"), F.max(F.struct("members", "comp")).alias("most"), F.sum("members").alias("size"))
+        several = materialize(several.where("comps > 1"), "several")
+        left = several.agg(F.sum("comps")).first()[0] or 0
+        if not left:
+            return reduce(DataFrame.union, made)
+        if left > WORTH * (before or several.agg(F.sum("size")).first()[0]):
+            break
+        before, salt = left, salt + 1
+        chosen = heads.join(several.select("key", _blocks(F.col("comps"), F.col("total")).alias("blocks")), "key")
+        chosen = chosen.select("key", _place(salt, "blocks").alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("side"), "rep", "comp")
+        made.append(materialize(_compared(chosen, sets, percent), "links"))
+    # Whatever is not in the largest component of its bucket meets all of the bucket.
+    named = named.join(several.select("key", F.col("most.comp").alias("largest")), "key").withColumn("minor", F.col("comp") != F.col("largest"))
+    minor_n = F.when(F.col("minor"), F.col("n"))
+    counts = named.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.count(minor_n).alias("minors"), F.coalesce(F.sum(minor_n), F.lit(0)).alias("minor_total"))
+    plan = counts.select("key", _blocks(F.col("size"), F.col("total")).alias("all_blocks"), _blocks(F.col("minors"), F.col("minor_total")).alias("minor_blocks"))
+    planned = named.join(materialize(plan, "plan"), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = planned.select("key", _place(0, "all_blocks").alias("b1"), every("minor_blocks").alias("b2"), F.lit(0).alias("side"), "rep", "comp")
+    two = planned.where("minor").select("key", every("all_blocks").alias("b1"), _place(0, "minor_blocks").alias("b2"), F.lit(1).alias("side"), "rep", "comp")
+    made.append(materialize(_compared(one.union(two), sets, percent), "links"))
+    return reduce(DataFrame.union, made)
+
+
 def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b): links between class representatives; enough of them to connect all that are linked.
 
     docs: doc_id, text. classes: rep, n, k1, k2, bands.
     """
-    context = docs.sparkSession.sparkContext
     shared = materialize(
         classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"),
         "shared",
     )
-    bits = context.broadcast(bitmap.build(shared, "key", BITMAP_BITS))
-    banded = classes.select("rep", "n", "bands").mapInArrow(_band_filter(bits), "rep long, n long, key long")
+    banded = classes.select("rep", "n", "bands").mapInArrow(_band_filter(_bits(shared, "key")), "rep long, n long, key long")
     members = materialize(banded.join(shared, "key"), "members")
     # The same members often meet in several bands; one such bucket is enough.
     buckets = (
@@ -234,25 +299,20 @@ def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
         .groupBy("size", "lo", "hi", "fp", "total")
         .agg(F.min("key").alias("key"))
     )
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = materialize(
-        members.select("key", "rep").join(buckets.select("key", blocks.alias("blocks")), "key"), "members"
-    )
-    wanted = members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep")
-    doc_bits = context.broadcast(bitmap.build(members.select(F.xxhash64("rep").alias("h")), "h", BITMAP_BITS))
+    blocks = _blocks(F.col("size"), F.col("total")).alias("blocks")
+    members = materialize(members.select("key", "rep", "n").join(buckets.select("key", blocks), "key"), "members")
+    wanted = materialize(members.select("rep").distinct(), "wanted")
+    doc_bits = _bits(wanted.select(F.xxhash64("rep").alias("h")), "h")
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     sets = hashed.mapInArrow(_setter(width, doc_bits), "rep long, c1 long, c2 long, sig binary, items binary")
-    sets = sets.join(wanted, "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
-    blk = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
-    paired = (
-        members.withColumn("blk", blk)
-        .join(sets, "rep")
-        .select("key", "rep", "blk", "sig", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-        .select("key", F.least("blk", "o").alias("b1"), F.greatest("blk", "o").alias("b2"), "rep", "blk", "sig", "items")
-    )
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    grouped = paired.repartition(parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    return grouped.mapInArrow(_linker(percent), "a long, b long")
+    sets = sets.join(wanted.join(classes.select("rep", "k1", "k2"), "rep"), "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
+    large = members.where("blocks > 1")
+    some = not large.isEmpty()
+    if some:  # read several times
+        sets = materialize(sets, "sets")
+    first = members.select("key", _place(0, "blocks").alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("side"), "rep", F.col("rep").alias("comp"))
+    links = materialize(_compared(first, sets, percent), "links")
+    return _link_large(large.select("key", "rep", "n"), sets, links, percent) if some else links
 
 
 def near_duplicates(
@@ -274,8 +334,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")),
         "classes",
     )
-    links = materialize(find_links(plain, classes, percent, width), "links")
-    parts = connected_components(links).select(F.col("node").alias("rep"), "component")
+    parts = connected_components(find_links(plain, classes, percent, width)).select(F.col("node").alias("rep"), "component")
     named = classes.select("n", "k1", "k2", "rep").join(parts, "rep", "left")
     named = named.select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
@@ -289,10 +348,53 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs without the documents that are not the first of their component."""
+    """docs without the documents that are not the first of their component; columns as they are."""
     found = near_duplicates(docs, id_col, text_col, percent)
-    return docs.join(found.where("not kept").select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    dropped = materialize(found.where("not kept").select(F.col(id_col).alias("dropped")).distinct(), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*inner)
+    ids = F.col(inner[docs.columns.index(id_col)]).cast("long")
+    return plain.join(dropped, ids == F.col("dropped"), "left_anti").toDF(*docs.columns)
 
 
 def near_dedup_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, percent=85)
+
+
+#: The exact set join. Pairs are sought by their rarest shingles only: of two sets with 85 in 100 alike, each has one of the other's
+#: among its first, by rarity, n - ceil(85 n / 100) + 1.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(s) AS s FROM (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM words)
+), classes AS (
+  SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s
+), items AS (
+  SELECT rep, n, unnest(s) AS x FROM classes
+), ranked AS (
+  SELECT rep, n, x, row_number() OVER (PARTITION BY rep ORDER BY f, x) AS place FROM (SELECT *, count(*) OVER (PARTITION BY x) AS f FROM items)
+), prefixes AS (
+  SELECT rep, n, x FROM ranked WHERE place <= n - CAST(ceil(n * 85 / 100) AS BIGINT) + 1
+), pairs AS (
+  SELECT DISTINCT a.rep AS a, b.rep AS b FROM prefixes a JOIN prefixes b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), links AS (
+  SELECT a, b FROM pairs p JOIN classes c ON c.rep = p.a JOIN classes d ON d.rep = p.b
+  WHERE 100 * len(list_intersect(c.s, d.s)) >= 85 * (c.n + d.n - len(list_intersect(c.s, d.s)))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(node, least) AS (
+  SELECT rep, rep FROM classes
+  UNION
+  SELECT e.b, r.least FROM reached r JOIN both_ways e ON e.a = r.node WHERE r.least < e.b
+), components AS (
+  SELECT node, min(least) AS component FROM reached GROUP BY node
+), named AS (
+  SELECT c.s, k.component FROM classes c JOIN components k ON k.node = c.rep
+)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(m.component, t.doc_id) AS component_id, coalesce(m.component, t.doc_id) IS NOT DISTINCT FROM t.doc_id AS kept
+FROM sets t LEFT JOIN named m ON m.s = t.s AND t.doc_id IS NOT NULL
+"""

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinlink.llm import components, near_dedup, textkit
+from kinlink.llm import bitmap, components, near_dedup, textkit
 
 from .texts import DOCS, documents, prose, swap_words
 
@@ -64,6 +64,48 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(texts, 85)
 
 
+def test_work_on_a_large_group_grows_in_proportion(spark, monkeypatch):
+    """Rows compared for a bucket of near copies stay in proportion to its size, and the components are whole."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    counts, plain = [], near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda rows, *a: counts.append(rows.count()) or plain(rows, *a))
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = prose(150, 3, vocabulary)
+    texts = [(k, swap_words(base, 1, k)) for k in range(1, 401)]
+    got = near_dedup.near_duplicates(documents(spark, texts).repartition(5), percent=85).collect()
+    assert {r.component_id for r in got} == {1}
+    assert counts[0] <= 400 * near_dedup.plan_bands(0.85)[1] and sum(counts[1:]) < counts[0] / 8
+
+
+def test_texts_that_share_a_band_only(spark, monkeypatch):
+    """A bucket of several blocks whose texts are mostly not linked: whatever is, is found."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "plan_bands", lambda threshold: (1, 200))
+    vocabulary = [f"w{k}" for k in range(3000)]
+    common = prose(60, 1, vocabulary)
+    texts = [(k, f"{common} {prose(60 if k % 3 else 8, k // 2, vocabulary)}" + (" x" if k % 2 else "")) for k in range(1, 60)]
+    got = near_dedup.near_duplicates(documents(spark, texts).repartition(3), percent=85).collect()
+    assert sorted(map(tuple, got)) == brute(texts, 85)
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    texts = corpus()
+    docs = documents(spark, texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = sorted(map(tuple, near_dedup.near_dedup_digest(docs).collect()))
+    assert got == sorted(con.sql(near_dedup.ORACLE).fetchall()) == brute(texts, 85)
+
+
+def test_bitmap(spark):
+    rng = np.random.default_rng(0)
+    values = rng.integers(-(1 << 63), 1 << 63, 2000)
+    made = bitmap.build(spark.createDataFrame([(int(v),) for v in values], "v long"), "v", 1 << 16)
+    assert bitmap.holds(made, values).all() and bitmap.holds(made, rng.integers(-(1 << 63), 1 << 63, 20_000)).mean() < 0.01
+
+
 def test_exact_copies_form_one_class(spark):
     texts = [(k, "the same words in every one of these copies") for k in range(300)]
     got = near_dedup.near_duplicates(documents(spark, texts)).collect()
