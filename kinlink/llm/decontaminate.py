@@ -34,7 +34,7 @@ from kinlink.llm.workdir import bound_batches, materialize
 #: Fixed masks, 1 for a position that counts, by the least number of words of the items that have them.
 MASKS = {1: ("1",), 2: ("11",), 3: ("111", "1101", "1011"), 13: ("11111", "1101011", "110010101", "1010011001")}
 #: Bits of the bitmap for each seed of the benchmark, and in all; a fuller one makes more regions, never other results.
-BITS_A_SEED, BITMAP_BITS = 32, 1 << 27
+BITS_A_SEED, BITMAP_BITS = 128, 1 << 27
 NEAR = 40  # words kept on both sides of a hit
 BROADCAST_TEXTS = 1_000_000
 
