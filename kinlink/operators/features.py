@@ -23,6 +23,8 @@ FUZZY_FEATURES = (
     "addr_token_sort_ratio", "addr_partial_ratio", "addr_WRatio", "name_addr_WRatio_avg", "name_addr_WRatio_max",
     "name_addr_WRatio_min", "name_phonetic_vote",
 )
+#: Ratios that one Arrow pass over both sides makes.
+RATIOS = {"token_sort_ratio": "token_sort", "partial_ratio": "partial", "WRatio": "weighted"}
 #: The fixed order of the 35 features.
 FEATURE_NAMES = (
     "name_token_sort_ratio", "name_partial_ratio", "name_WRatio", "name_jaro_winkler", "name_jaccard", "name_edit_ratio",
@@ -124,17 +126,12 @@ def set_features() -> dict[str, Column]:
 
 
 def fuzzy_features() -> dict[str, Column]:
-    """The features that need Arrow functions, over structs a and b."""
+    """The features that need Arrow functions, over structs a and b, and name_ratios and addr_ratios as of fuzzy.ratios_column."""
     a, b = F.col("a"), F.col("b")
-    return {
-        "name_token_sort_ratio": fuzzy.token_sort_ratio_column(a["name"], b["name"]),
-        "name_partial_ratio": fuzzy.partial_ratio_column(a["name"], b["name"]),
-        "name_WRatio": fuzzy.weighted_ratio_column(a["name"], b["name"]),
+    ratios = {f"{side}_{name}": F.col(f"{side}_ratios")[part] for side in ("name", "addr") for name, part in RATIOS.items()}
+    return ratios | {
         "name_jaro_winkler": fuzzy.jaro_winkler_column(a["name"], b["name"]),
         "name_metaphone_match": phonetic.agree(a["metaphone"], b["metaphone"]).cast("double"),
-        "addr_token_sort_ratio": fuzzy.token_sort_ratio_column(a["addr"], b["addr"]),
-        "addr_partial_ratio": fuzzy.partial_ratio_column(a["addr"], b["addr"]),
-        "addr_WRatio": fuzzy.weighted_ratio_column(a["addr"], b["addr"]),
         "name_phonetic_vote": phonetic.vote([(a[k], b[k]) for k in ("soundex", "metaphone", "nysiis")]),
     }
 
@@ -142,7 +139,9 @@ def fuzzy_features() -> dict[str, Column]:
 def compute_features(pairs: DataFrame, anchors: DataFrame, gallery: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """s1_id, cand_id, the kept columns and all 35 features as doubles, in their fixed order."""
     paired = pair_up(pairs, record_parts(anchors), record_parts(gallery))
-    made = paired.select("s1_id", "cand_id", *keep, "a", "b", *[c.alias(n) for n, c in fuzzy_features().items()])
+    ratios = [fuzzy.ratios_column(f"a.{part}", f"b.{part}").alias(f"{part}_ratios") for part in ("name", "addr")]
+    made = paired.select("s1_id", "cand_id", *keep, "a", "b", *ratios)
+    made = made.select("s1_id", "cand_id", *keep, "a", "b", *[c.alias(n) for n, c in fuzzy_features().items()])
     w = F.col("name_WRatio"), F.col("addr_WRatio")
     cross = {
         "name_addr_WRatio_avg": (w[0] + w[1]) / 2,

@@ -104,3 +104,25 @@ def test_lcs_against_dynamic_programming():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert fuzzy.lcs_length(a, b) == row[-1]
+
+
+def test_ratios_of_many_pairs_equal_those_of_one():
+    import random
+
+    rng = random.Random(5)
+    words = "alpha beta gamma services private pvt ltd rose café नमस्ते 12 main street co. x 漢字".split()
+    phrase = lambda: " ".join(rng.choice(words) if rng.random() < 0.8 else "".join(rng.choice("abcdeho ") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, rng.choice((3, 6, 18)))))
+    a = [phrase() for _ in range(600)] + ["", "", "x" * 80, "y" * 63]
+    b = [phrase() if rng.random() < 0.5 else "".join(c for c in a[k] if rng.random() < 0.9) for k in range(600)] + ["", "a", "x" * 70 + "y", "y" * 64]
+    for name in ("ratio", "partial_ratio", "token_sort_ratio", "weighted_ratio", "jaro_winkler"):
+        many = getattr(fuzzy, f"{name}_many")(a, b)
+        assert many == pytest.approx([getattr(fuzzy, name)(x, y) for x, y in zip(a, b, strict=True)], abs=1e-12), name
+    sort, partial = fuzzy.token_sort_ratio_many(a, b), fuzzy.partial_ratio_many(a, b)
+    assert (fuzzy.weighted_ratio_many(a, b, sort, partial) == fuzzy.weighted_ratio_many(a, b)).all()
+
+
+def test_more_letters_than_a_chunk_takes(monkeypatch):
+    monkeypatch.setattr(fuzzy, "LETTERS", 8)
+    a = ["".join(map(chr, range(97 + 3 * k, 103 + 3 * k))) for k in range(6)]
+    b = [x[::2] + "zz" for x in a]
+    assert fuzzy.ratio_many(a, b) == pytest.approx([fuzzy.ratio(x, y) for x, y in zip(a, b, strict=True)])
