@@ -11,11 +11,12 @@ FIRST, LAST, BLOCK = 0x0900, 0x0D7F, 0x80
 
 # ITRANS letters by offset in a block.
 _VOWELS = {
-    0x05: "a", 0x06: "A", 0x07: "i", 0x08: "I", 0x09: "u", 0x0A: "U", 0x0B: "RRi", 0x0C: "LLi", 0x0E: "e", 0x0F: "e", 0x10: "ai", 0x12: "o",
-    0x13: "o", 0x14: "au",
+    0x05: "a", 0x06: "A", 0x07: "i", 0x08: "I", 0x09: "u", 0x0A: "U", 0x0B: "RRi", 0x0C: "LLi", 0x0D: "e", 0x0E: "e", 0x0F: "e", 0x10: "ai",
+    0x11: "o", 0x12: "o", 0x13: "o", 0x14: "au",
 }
 _SIGNS = {
-    0x3E: "A", 0x3F: "i", 0x40: "I", 0x41: "u", 0x42: "U", 0x43: "RRi", 0x46: "e", 0x47: "e", 0x48: "ai", 0x4A: "o", 0x4B: "o", 0x4C: "au",
+    0x3E: "A", 0x3F: "i", 0x40: "I", 0x41: "u", 0x42: "U", 0x43: "RRi", 0x45: "e", 0x46: "e", 0x47: "e", 0x48: "ai", 0x49: "o",
+    0x4A: "o", 0x4B: "o", 0x4C: "au",
 }
 _CONSONANTS = {
     0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "~N", 0x1A: "ch", 0x1B: "Ch", 0x1C: "j", 0x1D: "jh", 0x1E: "~n", 0x1F: "T", 0x20: "Th",
@@ -64,3 +65,8 @@ def _run_to_latin(m: re.Match) -> str:
 def transliterate(text: str) -> str:
     """text with every run of Indic script in Latin letters; joiners within runs are dropped."""
     return _RUN.sub(_run_to_latin, text) if text else text
+
+
+_KNOWN = _VOWELS.keys() | _SIGNS.keys() | _CONSONANTS.keys() | _OTHERS.keys() | {_VIRAMA, _NUKTA} | set(range(0x66, 0x70))
+#: Characters of the nine blocks that have no letters of their own here and are dropped.
+UNMAPPED = "".join(chr(k) for k in range(FIRST, LAST + 1) if (k - FIRST) % BLOCK not in _KNOWN)

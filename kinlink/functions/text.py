@@ -102,6 +102,19 @@ def has_indic(c: Column) -> Column:
     return F.coalesce(c.rlike(r"[ऀ-ൿ]"), F.lit(False))
 
 
+def has_unmapped(c: Column) -> Column:
+    """Whether transliteration drops a character of an Indic script, as it has no letters for it."""
+    return F.coalesce(c.rlike(f"[{indic.UNMAPPED}]"), F.lit(False))
+
+
+def untransliterated(df: DataFrame, columns: tuple[str, ...] = ("business_name", "business_address")) -> DataFrame:
+    """(column, rows, indic_rows, unmapped_rows): how many rows have Indic script, and how many lose characters of it."""
+    count = lambda test: F.coalesce(F.sum(test.cast("int")), F.lit(0))
+    each = [F.struct(F.lit(c).alias("column"), count(has_indic(F.col(c))).alias("indic_rows"), count(has_unmapped(F.col(c))).alias("unmapped_rows")) for c in columns]
+    found = df.agg(F.count("*").alias("rows"), F.array(*each).alias("s")).select("rows", F.explode("s").alias("s"))
+    return found.select("s.column", "rows", "s.indic_rows", "s.unmapped_rows")
+
+
 def apply_normalization(df: DataFrame, fold: Callable[[Column], Column] = to_latin) -> DataFrame:
     """df with clean columns and script flags beside the raw ones, for those columns that exist."""
     made = {}

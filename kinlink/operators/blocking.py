@@ -93,14 +93,20 @@ def prefix_leg(anchors: DataFrame, gallery: DataFrame, length: int = 6, most: in
     return key_join(anchors, gallery, F.when(F.length(prefix) == length, prefix), "prefix", most)
 
 
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float, scoped: bool = False) -> DataFrame:
     """(ta, tb) of distinct texts (column t) whose trigram sets have a Jaccard similarity of at least the threshold; none is lost.
 
+    scoped: t is a scope, U+0001 and the text, and only texts of one scope are compared.
+
     Trigrams are put in order, rarest first. A pair that reaches the threshold shares one of the first
     n - ceil(threshold * n) + 1 trigrams of both sides, and after the first it shares enough are left on both.
     """
     both = left.select("t").union(right.select("t")).distinct()
-    grams = both.select("t", F.explode(F.array_distinct(text.shingles(F.col("t")))).alias("g"))
+    bare = F.substring_index("t", "\u0001", -1)
+    made = F.array_distinct(text.shingles(bare))
+    if scoped:
+        made = F.transform(made, lambda g: F.concat(F.substring_index("t", "\u0001", 1), F.lit("\u0001"), g))
+    grams = both.select("t", F.explode(made).alias("g"))
     df = grams.groupBy("g").agg(F.count("*").alias("df"))
     sets = grams.join(df, "g").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
     sets = sets.select("t", F.transform("s", lambda x: x["g"]).alias("set"), F.size("s").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinlink.functions import fuzzy, phonetic, text
+from kinlink.functions.wordlists import STREET_WORDS
 
 SET_FEATURES = (
     "name_jaccard", "name_edit_ratio", "name_trigram_jaccard", "name_soundex_match", "name_length_ratio", "addr_jaccard",
@@ -60,10 +61,22 @@ def record_parts(records: DataFrame, fuzzy_parts: bool = True) -> DataFrame:
     return base.withColumns(parts)
 
 
-def pair_up(pairs: DataFrame, anchors: DataFrame, gallery: DataFrame) -> DataFrame:
-    """pairs (s1_id, cand_id, ...) with structs a and b of record_parts; pairs with unknown ids are dropped."""
+def pair_up(pairs: DataFrame, anchors: DataFrame, gallery: DataFrame, unknown: str = "drop") -> DataFrame:
+    """pairs (s1_id, cand_id, ...) with structs a and b of record_parts.
+
+    unknown: "drop" leaves pairs with unknown ids out, "empty" takes empty texts for what is not known.
+    """
+    if unknown not in ("drop", "empty"):
+        raise ValueError("unknown is drop or empty")
     as_struct = lambda df, key, name: df.select(F.col("entity_id").alias(key), F.struct(*df.columns).alias(name))
-    return pairs.join(as_struct(anchors, "s1_id", "a"), "s1_id").join(as_struct(gallery, "cand_id", "b"), "cand_id")
+    how = "inner" if unknown == "drop" else "left"
+    joined = pairs.join(as_struct(anchors, "s1_id", "a"), "s1_id", how).join(as_struct(gallery, "cand_id", "b"), "cand_id", how)
+    if unknown == "drop":
+        return joined
+    blank = pairs.sparkSession.createDataFrame([("", "", "", "")], "entity_id string, business_name_clean string, business_address_clean string, country_clean string")
+    empty = record_parts(blank, "metaphone" in anchors.columns).first()
+    filler = lambda df: F.struct(*[F.lit(empty[c]).cast(t).alias(c) for c, t in df.dtypes])
+    return joined.withColumns({"a": F.coalesce("a", filler(anchors)), "b": F.coalesce("b", filler(gallery))})
 
 
 def jaccard(x: Column, y: Column) -> Column:
@@ -136,9 +149,9 @@ def fuzzy_features() -> dict[str, Column]:
     }
 
 
-def compute_features(pairs: DataFrame, anchors: DataFrame, gallery: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """s1_id, cand_id, the kept columns and all 35 features as doubles, in their fixed order."""
-    paired = pair_up(pairs, record_parts(anchors), record_parts(gallery))
+def compute_features(pairs: DataFrame, anchors: DataFrame, gallery: DataFrame, keep: tuple[str, ...] = (), unknown: str = "drop") -> DataFrame:
+    """s1_id, cand_id, the kept columns and all 35 features as doubles, in their fixed order. unknown: see pair_up."""
+    paired = pair_up(pairs, record_parts(anchors), record_parts(gallery), unknown)
     ratios = [fuzzy.ratios_column(f"a.{part}", f"b.{part}").alias(f"{part}_ratios") for part in ("name", "addr")]
     made = paired.select("s1_id", "cand_id", *keep, "a", "b", *ratios)
     made = made.select("s1_id", "cand_id", *keep, "a", "b", *[c.alias(n) for n, c in fuzzy_features().items()])
@@ -220,3 +233,63 @@ def weighted_jaccard(pairs: DataFrame, left: DataFrame, right: DataFrame, weight
 def text_frequency(records: DataFrame, column: str, out: str) -> DataFrame:
     """records with the number of records of the same country and text."""
     return records.withColumn(out, F.count("*").over(Window.partitionBy("country", column)))
+
+
+def _conflict(x: Column, y: Column) -> Column:
+    """1 where both sides have members and share none."""
+    return ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)).cast("double")
+
+
+def street_words(addr: Column) -> Column:
+    """The words of a clean address between its first number and the first short street word behind it; none without either."""
+    ends = "|".join(sorted({short for _, short in STREET_WORDS}))
+    return F.filter(F.split(F.regexp_extract(addr, rf"\d+\S*\s+(.*?)\s+(?:{ends})\b", 1), " "), lambda x: x != "")
+
+
+def address_conflicts(a: Column, b: Column) -> dict[str, Column]:
+    """Conflicts of postal keys, house numbers and streets, where both sides tell; and how many, with that of the towns."""
+    first = lambda s: F.slice(F.regexp_extract_all(s["addr"], F.lit(r"\d+"), 0), 1, 1)
+    f = {
+        "postal_conflict": _conflict(text.pin_keys(a["addr"]), text.pin_keys(b["addr"])),
+        "house_conflict": _conflict(first(a), first(b)),
+        "street_conflict": _conflict(street_words(a["addr"]), street_words(b["addr"])),
+    }
+    return f | {"confident_contradictions": f["postal_conflict"] + f["house_conflict"] + f["street_conflict"] + set_features()["city_conflict"]}
+
+
+def word_evidence(pairs: DataFrame, left: DataFrame, right: DataFrame, records: DataFrame, column: str = "name_words", rare_df: int = 20, generic_share: float = 0.01) -> DataFrame:
+    """(s1_id, cand_id, rare_token_overlap, distinctive_token_count, generic_token_ratio, idf_match) of pairs with words.
+
+    Words in at most rare_df of records are rare; in more than generic_share of them generic; the others of either side are distinctive. idf_match
+    adds up the weights of the shared words.
+    """
+    n = records.count()
+    df = records.select(F.explode(F.array_distinct(column)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+    def side(table: DataFrame, key: str, flag: str) -> DataFrame:
+        return table.select(F.col("entity_id").alias(key), F.explode(F.array_distinct(column)).alias("word")).withColumn(flag, F.lit(1))
+
+    a = pairs.select("s1_id", "cand_id").join(side(left, "s1_id", "x"), "s1_id").withColumn("y", F.lit(0))
+    b = pairs.select("s1_id", "cand_id").join(side(right, "cand_id", "y"), "cand_id").withColumn("x", F.lit(0))
+    words = a.unionByName(b).groupBy("s1_id", "cand_id", "word").agg(F.max("x").alias("x"), F.max("y").alias("y")).join(df, "word", "left").na.fill(0, ["df"])
+    both, generic = F.col("x") * F.col("y"), F.col("df") > generic_share * n
+    idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+    return words.groupBy("s1_id", "cand_id").agg(
+        F.sum(both * (F.col("df") <= rare_df).cast("int")).alias("rare_token_overlap"),
+        F.sum((~generic).cast("int")).alias("distinctive_token_count"),
+        F.avg(generic.cast("double")).alias("generic_token_ratio"),
+        F.sum(both * idf).alias("idf_match"),
+    )
+
+
+def region_overlap(pairs: DataFrame, regions: DataFrame) -> DataFrame:
+    """pairs with region_overlap: 1 where the sides share a region, 0 where not, -1 where a side has none. regions: entity_id, region."""
+    lists = regions.groupBy("entity_id").agg(F.collect_set("region").alias("r"))
+    x, y = (lists.select(F.col("entity_id").alias(k), F.col("r").alias(f"_{k}")) for k in ("s1_id", "cand_id"))
+    joined = pairs.join(x, "s1_id", "left").join(y, "cand_id", "left")
+    return joined.withColumn("region_overlap", F.coalesce(F.arrays_overlap("_s1_id", "_cand_id").cast("double"), F.lit(-1.0))).drop("_s1_id", "_cand_id")
+
+
+def script_flag(records: DataFrame, name: str = "business_name") -> DataFrame:
+    """(entity_id, r_nonlatin): 1 for raw names with letters that are not Latin."""
+    return records.select("entity_id", text.is_non_latin(F.col(name)).alias("r_nonlatin"))

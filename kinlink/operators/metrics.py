@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinlink.functions.text import has_indic
+
 ERROR_KINDS = (
     "retrieval_error", "matching_error", "decision_policy_error", "integrity_error", "matching_error_unattributed",
     "matching_error_unattributed_fp",
@@ -22,14 +24,17 @@ def _flag(df: DataFrame, name: str) -> DataFrame:
 
 
 def pair_status(truth: DataFrame, predicted: DataFrame, candidates: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """(s1_id, cand_id, in_truth, in_pred[, in_cand][, score]) for pairs of truth or prediction of anchors in the truth."""
+    """(s1_id, cand_id, in_truth, in_pred[, in_cand][, score]) for pairs of truth or prediction of anchors in the truth.
+
+    Of repeated scores of a pair the highest counts.
+    """
     roster = truth.select("s1_id").distinct()
     pairs = _flag(truth, "in_truth").join(_flag(predicted, "in_pred").join(roster, "s1_id", "left_semi"), ["s1_id", "cand_id"], "full_outer")
     if candidates is not None:
         pairs = pairs.join(_flag(candidates, "in_cand"), ["s1_id", "cand_id"], "left")
     if scores is not None:
-        last = scores.select("s1_id", "cand_id", "score").dropDuplicates(["s1_id", "cand_id"])
-        pairs = pairs.join(last, ["s1_id", "cand_id"], "left")
+        best = scores.groupBy("s1_id", "cand_id").agg(F.max("score").alias("score"))
+        pairs = pairs.join(best, ["s1_id", "cand_id"], "left")
     return pairs.na.fill(0, [c for c in ("in_truth", "in_pred", "in_cand") if c in pairs.columns])
 
 
@@ -231,6 +236,13 @@ def best_macro_threshold(pairs: DataFrame) -> DataFrame:
     return macro_sweep(pairs).select("threshold", F.round("macro_f05", 4).alias("macro_f05")).orderBy(F.desc("macro_f05"), "threshold").limit(1)
 
 
+def macro_at(pairs: DataFrame, threshold: float) -> float:
+    """The mean F0.5 of the anchors of pairs (s1_id, label, p) with p >= threshold chosen; 0 without any."""
+    hit, real = (F.col("p") >= threshold).cast("int"), F.col("label")
+    each = pairs.groupBy("s1_id").agg(F.sum(hit * real).alias("tp"), F.sum(hit * (1 - real)).alias("fp"), F.sum((1 - hit) * real).alias("fn"))
+    return each.agg(F.avg(entity_f(F.col("tp"), F.col("fp"), F.col("fn")))).first()[0] or 0.0
+
+
 def bootstrap_ci(values: DataFrame, column: str = "f05", n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: point, low, high, n. A percentile interval of the mean; anchors are resampled with Poisson weights.
 
@@ -281,3 +293,46 @@ def dud_features(features: DataFrame, names: tuple[str, ...], near: float = 0.99
     found = stats.select("feature", problem.alias("problem")).where("problem is not null")
     lost = [(n, "missing") for n in names if n not in features.columns]
     return found.union(features.sparkSession.createDataFrame(lost, "feature string, problem string")) if lost else found
+
+
+#: What feature_evidence shows of a pair.
+EVIDENCE = ("name_WRatio", "addr_WRatio", "name_jaccard", "same_country", "contradiction_count", "both_addrs_present")
+
+
+def feature_evidence(worst: DataFrame, predicted: DataFrame, features: DataFrame, most: int = 3, names: tuple[str, ...] = EVIDENCE) -> DataFrame:
+    """(s1_id, rank, cand_id, score, names to four places): the best `most` predictions of the worst anchors and why they look alike.
+
+    worst: s1_id. predicted: s1_id, cand_id, score. features: s1_id, cand_id and the names.
+    """
+    mine = predicted.join(F.broadcast(worst.select("s1_id").distinct()), "s1_id", "left_semi")
+    w = Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
+    top = mine.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return top.join(features, ["s1_id", "cand_id"]).select("s1_id", "rank", "cand_id", "score", *[F.round(n, 4).alias(n) for n in names])
+
+
+def split_statistics(s1: DataFrame, gallery: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of what a labelled split looks like: sizes, matches of an anchor, blank addresses, shared and Indic names, in percent.
+
+    truth: long, over the anchors of s1.
+    """
+    share = lambda c: F.round(100 * F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 2)
+    real = truth.where("cand_id is not null").groupBy("s1_id").agg(F.count("*").alias("n"))
+    name = F.coalesce("business_name", F.lit("")).alias("name")
+    copies = s1.select(name).groupBy("name").agg(F.count("*").alias("copies"))
+    n = F.coalesce("n", F.lit(0))
+    one = s1.select(F.col("entity_id").alias("s1_id"), name).join(real, "s1_id", "left").join(copies, "name", "left")
+    left = one.agg(
+        F.count("*").alias("n_s1"), share(n >= 2).alias("multi_match_pct"), share(n == 0).alias("singleton_pct"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 4).alias("mean_matches"),
+        F.coalesce(F.max(n), F.lit(0)).alias("max_matches"), F.coalesce(F.sum(n), F.lit(0)).alias("total_matches"), share(F.col("copies") > 1).alias("shared_name_pct"),
+    )
+    right = gallery.agg(
+        F.count("*").alias("n_gallery"), share(F.trim(F.coalesce("business_address", F.lit(""))) == "").alias("blank_gallery_addr_pct"), share(has_indic(F.col("business_name"))).alias("indic_name_pct_gallery")
+    )
+    return left.withColumn("k", F.lit(1)).join(right.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def country_mix(records: DataFrame, key: str = "country") -> DataFrame:
+    """(country, share): each country's share of the records, to four places."""
+    whole = records.agg(F.count("*").alias("whole"))
+    counts = records.groupBy(F.col(key).alias("country")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(whole), F.lit(True)).select("country", F.round(F.col("n") / F.col("whole"), 4).alias("share"))

@@ -104,3 +104,27 @@ def tfidf_bidirectional(
     there = adaptive_prune(scored, *forward)
     back = adaptive_prune(scored, *reverse, by="cand_id", other="s1_id")
     return there.unionByName(back).groupBy("s1_id", "cand_id").agg(F.max("cos").alias("cos"))
+
+
+def bm25_join(anchors: DataFrame, gallery: DataFrame, text: Column, k1: float = 1.2, b: float = 0.75, top_k: int | None = 20, max_df: int | None = None) -> DataFrame:
+    """(s1_id, cand_id, bm25): Okapi BM25 of gallery texts for the words of each anchor's text, the best top_k of each.
+
+    Words weigh ln(1 + (n - df + 0.5) / (df + 0.5)) over gallery records. Distinct texts are scored once and expanded to records at the end. max_df
+    leaves words of more records out of the join (None: none), for text whose common words say nothing.
+    """
+    a = anchors.select(F.col("entity_id").alias("s1_id"), text.alias("ta")).where("length(ta) > 0")
+    g = gallery.select(F.col("entity_id").alias("cand_id"), text.alias("tb")).where("length(tb) > 0")
+    words = lambda c: terms(F.col(c), 1)
+    copies = g.groupBy("tb").agg(F.count("*").alias("copies"), F.first(F.size(words("tb"))).alias("size"))
+    whole = copies.agg(F.sum("copies").alias("n"), (F.sum(F.col("size") * F.col("copies")) / F.sum("copies")).alias("mean")).first()
+    n, mean = whole.n or 0, whole.mean or 1.0
+    tf = copies.select("tb", "copies", "size", F.explode(words("tb")).alias("term")).groupBy("tb", "copies", "size", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
+    if max_df is not None:
+        df = df.where(F.col("df") <= max_df)
+    weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(float(mean))))
+    scored = tf.join(df, "term").select("tb", "term", weight.alias("w"))
+    asked = a.select("ta").distinct().select("ta", F.explode(F.array_distinct(words("ta"))).alias("term"))
+    sums = asked.join(scored, "term").groupBy("ta", "tb").agg(F.sum("w").alias("bm25"))
+    rows = sums.join(a, "ta").join(g, "tb").select("s1_id", "cand_id", F.round("bm25", 9).alias("bm25"))
+    return cap_candidates(rows, top_k, "bm25")

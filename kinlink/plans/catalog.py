@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.functions import phonetic, text
-from kinlink.operators import blocking, decision, features, metrics, tfidf, training, validate
+from kinlink.functions import fuzzy, phonetic, registry, text
+from kinlink.functions.wordlists import STREET_WORDS
+from kinlink.operators import blocking, clusters, decision, features, metrics, scan, tfidf, training, validate, vectors
 from kinlink.plans import oracle, views
 from kinlink.sources import tsv
 
@@ -176,7 +177,7 @@ def er_digit_runs(spark, sf_dir):
     return views.clean_gallery(spark, sf_dir).select("entity_id", F.array_join(F.array_sort(text.digit_runs(F.col("business_address_clean"))), "|").alias("digits"))
 
 
-@query()
+@query(B + f"select entity_id, {oracle.SOUNDEX} as soundex from g")
 def er_soundex(spark, sf_dir):
     return views.clean_gallery(spark, sf_dir).select("entity_id", phonetic.soundex(F.col("business_name_clean")).alias("soundex"))
 
@@ -187,7 +188,10 @@ def er_phonetic_codes(spark, sf_dir):
     return views.clean_gallery(spark, sf_dir).select("entity_id", phonetic.metaphone(n).alias("metaphone"), phonetic.nysiis(n).alias("nysiis"))
 
 
-@query()
+@query(
+    B
+    + rf"select s.entity_id, trim(regexp_replace(lower(s.business_name), '\s+', ' ', 'g')) as light, n as aggressive, array_to_string(string_split_regex(s.business_address, '\s*,\s*'), '|') as parsed, case when regexp_matches(n, '^[A-Za-z]') then {oracle.soundex('n')} else n end as phonetic from gallery s join g using (entity_id)"
+)
 def er_views(spark, sf_dir):
     v = text.views(views.gallery(spark, sf_dir))
     return v.select("entity_id", "light", "aggressive", F.array_join("parsed_components", "|").alias("parsed"), "phonetic")
@@ -210,6 +214,8 @@ _leg_query("address", blocking.address_key)
 _leg_query("name_core", blocking.name_core)
 _leg_query("pin", blocking.pin)
 _leg_query("initialism", blocking.initialism_leg)
+_leg_query("soundex", blocking.soundex_leg)
+_leg_query("prefix", blocking.prefix_leg)
 
 
 @query()
@@ -217,7 +223,13 @@ def er_block_phonetic(spark, sf_dir):
     return blocking.phonetic_legs(*clean(spark, sf_dir))
 
 
-@query()
+@query(
+    B
+    + f""", sq as (select n, {oracle.SHINGLES} as s from (select distinct n from q where n <> '')), sg as (select n, {oracle.SHINGLES} as s from (select distinct n from g where n <> '')),
+xq as (select n, len(s) as c, unnest(s) as x from sq), xg as (select n, len(s) as c, unnest(s) as x from sg),
+near as (select xq.n as a, xg.n as b from xq join xg using (x) group by xq.n, xg.n, xq.c, xg.c having count(*) / (xq.c + xg.c - count(*)) >= 0.4)
+select distinct q.entity_id as s1_id, g.entity_id as cand_id, 'minhash' as leg from near join q on q.n = near.a join g on g.n = near.b"""
+)
 def er_block_minhash(spark, sf_dir):
     return blocking.minhash_leg(*clean(spark, sf_dir))
 
@@ -324,18 +336,38 @@ def er_without_candidates(spark, sf_dir):
     return blocking.without_candidates(views.s1(spark, sf_dir).select(F.col("entity_id").alias("s1_id")), candidates(spark, sf_dir))
 
 
-@query()
+@query(
+    """with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 50 = 0),
+c as (select query_id, vec_id, round(list_cosine_similarity(e, embedding::double[]), 6) as cos from q join embeddings on vec_id <> query_id)
+select query_id, vec_id, cos from c qualify row_number() over (partition by query_id order by cos desc, vec_id) <= 5"""
+)
 def er_embedding_topk(spark, sf_dir):
     """The five nearest vectors by cosine of every fiftieth one."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = e.select("vec_id", F.transform(v, lambda x: x / norm).alias("u"))
-    q = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("uq"), F.lit(1).alias("k"))
-    pairs = unit.withColumn("k", F.lit(1)).join(F.broadcast(q) if q.count() <= 20_000 else q, "k").where("vec_id <> query_id")
-    dot = F.aggregate(F.zip_with("u", "uq", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    named = pairs.select(F.col("query_id").alias("s1_id"), F.col("vec_id").alias("cand_id"), F.round(dot, 6).alias("cos"))
-    return blocking.cap_candidates(named, 5, "cos").select(F.col("s1_id").alias("query_id"), F.col("cand_id").alias("vec_id"), "cos")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.dense_top_k(e, e.where("id % 50 = 0"), 5).select("query_id", F.col("id").alias("vec_id"), "cos")
+
+
+@query(
+    B
+    + r""", t as (select entity_id, regexp_extract_all(lower(a), '[\p{L}\p{N}_]{2,}') as w from g where a <> ''), st as (select count(*) as n, avg(len(w)) as mean from t),
+tf as (select entity_id, size, term, count(*) as tf from (select entity_id, len(w) as size, unnest(w) as term from t) group by all), df as (select term, count(*) as df from tf group by 1),
+w as (select entity_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) as w from tf join df using (term), st),
+qt as (select distinct entity_id as s1_id, unnest(regexp_extract_all(lower(a), '[\p{L}\p{N}_]{2,}')) as term from q where a <> ''),
+s as (select s1_id, entity_id as cand_id, round(sum(w), 9) as s from qt join w using (term) group by 1, 2)
+select s1_id, cand_id, round(s, 6) as bm25 from s qualify row_number() over (partition by s1_id order by s desc, cand_id) <= 5"""
+)
+def er_bm25(spark, sf_dir):
+    """The five best gallery addresses of each anchor's address by Okapi BM25."""
+    return rounded(tfidf.bm25_join(*clean(spark, sf_dir), F.col(ADDRESS), top_k=5))
+
+
+@query()
+def er_fuzzy_scan(spark, sf_dir):
+    """The fallback scan of anchors that neither key found anything for, within their country."""
+    a, g = clean(spark, sf_dir)
+    lost = blocking.without_candidates(a.select(F.col("entity_id").alias("s1_id")), candidates(spark, sf_dir))
+    mine = a.join(lost.withColumnRenamed("s1_id", "entity_id"), "entity_id", "left_semi")
+    return rounded(scan.fuzzy_scan(mine, g, 0.4, 5, F.col("country_clean")))
 
 
 # Features
@@ -399,12 +431,83 @@ for _name, _columns in FEATURE_SQL.items():
     query(_feature_sql(_columns))(_run)
 
 
-@query(C + "select s1_id, cand_id, round(jaro_winkler_similarity(na, nb), 6) as name_jaro_winkler from paired where na <> '' and nb <> ''")
+_JARO_WINKLER = C + "select s1_id, cand_id, round(case when na = '' or nb = '' then cast(na = nb as integer) else jaro_winkler_similarity(na, nb) end, 6) as name_jaro_winkler from paired"
+
+
+@query(_JARO_WINKLER)
 def er_feat_jaro_winkler(spark, sf_dir):
-    from kinlink.functions.fuzzy import jaro_winkler_column
+    return paired(spark, sf_dir).select("s1_id", "cand_id", F.round(fuzzy.jaro_winkler_column(F.col("a.name"), F.col("b.name")), 6).alias("name_jaro_winkler"))
+
+
+@query(_JARO_WINKLER)
+def er_sql_functions(spark, sf_dir):
+    """A registered function, called by name in SQL."""
+    registry.register(spark)
+    names = paired(spark, sf_dir).select("s1_id", "cand_id", F.col("a.name").alias("na"), F.col("b.name").alias("nb"))
+    return spark.sql("select s1_id, cand_id, round(kin_jaro_winkler(na, nb), 6) as name_jaro_winkler from {names}", names=names)
+
+
+_SHORT = "|".join(sorted({short for _, short in STREET_WORDS}))
+_HOUSE = lambda e: rf"list_slice(regexp_extract_all({e}, '\d+'), 1, 1)"
+_STREET = lambda e: rf"list_filter(string_split(regexp_extract({e}, '\d+\S*\s+(.*?)\s+(?:{_SHORT})\b', 1), ' '), lambda x: x <> '')"
+_PIN = lambda e: rf"regexp_extract_all({e}, '\b\d{{5,6}}\b')"
+_APART = lambda f: _FLAG(f"len({f('aa')}) > 0 and len({f('ab')}) > 0 and not list_has_any({f('aa')}, {f('ab')})")
+
+
+@query(C + f", k as (select s1_id, cand_id, {_APART(_PIN)} as postal_conflict, {_APART(_HOUSE)} as house_conflict, {_APART(_STREET)} as street_conflict, {_CITY_CONFLICT} as city from paired) select s1_id, cand_id, postal_conflict, house_conflict, street_conflict, postal_conflict + house_conflict + street_conflict + city as confident_contradictions from k")
+def er_feat_address_conflicts(spark, sf_dir):
+    made = features.address_conflicts(F.col("a"), F.col("b"))
+    return paired(spark, sf_dir).select("s1_id", "cand_id", *[c.alias(n) for n, c in made.items()])
+
+
+@query(
+    C
+    + f""", u as (select unnest(list_distinct({_W('n')})) as w from g), df as (select w, count(*) as df from u group by 1), nn as (select count(*) as n from g),
+x as (select s1_id, cand_id, unnest(list_distinct({_W('na')})) as w, 1 as x, 0 as y from paired union all select s1_id, cand_id, unnest(list_distinct({_W('nb')})), 0, 1 from paired),
+m as (select s1_id, cand_id, w, max(x) as x, max(y) as y from x group by 1, 2, 3), j as (select m.*, coalesce(df, 0) as df, n from m left join df using (w), nn)
+select s1_id, cand_id, sum(x * y * cast(df <= 300 as integer))::bigint as rare_token_overlap, sum(cast(df <= 0.1 * n as integer))::bigint as distinctive_token_count,
+round(avg(cast(df > 0.1 * n as integer)), 6) as generic_token_ratio, round(sum(x * y * (ln((1 + n) / (1 + df)) + 1)), 6) as idf_match from j group by 1, 2"""
+)
+def er_feat_word_evidence(spark, sf_dir):
+    a, g = (features.record_parts(x, fuzzy_parts=False) for x in clean(spark, sf_dir))
+    return rounded(features.word_evidence(candidates(spark, sf_dir), a, g, g, rare_df=300, generic_share=0.1))
+
+
+@query(
+    C
+    + r""", r as (select entity_id, c, trim(unnest(string_split(lower(business_address), ','))) as region, 1 as side from q union all select entity_id, c, trim(unnest(string_split(lower(business_address), ','))), 2 from g),
+rd as (select distinct entity_id, c, region, side from r where region <> ''), sz as (select c, count(*) as n from q group by 1),
+common as (select rd.c, region from rd join sz using (c) where side = 1 group by rd.c, region, n having count(*) >= 0.02 * n),
+l as (select entity_id, list(region) as rs from rd join common using (c, region) group by 1)
+select s1_id, cand_id, case when x.rs is null or y.rs is null then -1.0 else cast(list_has_any(x.rs, y.rs) as integer)::double end as region_overlap
+from cand left join l x on x.entity_id = s1_id left join l y on y.entity_id = cand_id"""
+)
+def er_feat_region_overlap(spark, sf_dir):
+    return features.region_overlap(candidates(spark, sf_dir), blocking.region_leg(*clean(spark, sf_dir), share=0.02))
+
+
+@query(B + r"select entity_id, cast(regexp_matches(regexp_replace(business_name, '\p{Latin}', '', 'g'), '\p{L}') as integer) as r_nonlatin from g")
+def er_feat_script(spark, sf_dir):
+    return features.script_flag(views.clean_gallery(spark, sf_dir))
+
+
+@query("select unnest(['business_name', 'business_address']) as \"column\", n as rows, 0::bigint as indic_rows, 0::bigint as unmapped_rows from (" + B + " select count(*) as n from g)")
+def er_untransliterated(spark, sf_dir):
+    """The views hold ASCII text, so nothing is left of other scripts; tests hold the counts on Indic text."""
+    return text.untransliterated(views.clean_gallery(spark, sf_dir))
+
+
+_LINKED = C + ", e as (select s1_id as a, cand_id as b from scored where p >= 0.6 union select cand_id, s1_id from scored where p >= 0.6)"
 
-    p = paired(spark, sf_dir).where("a.name <> '' and b.name <> ''")
-    return p.select("s1_id", "cand_id", F.round(jaro_winkler_column(F.col("a.name"), F.col("b.name")), 6).alias("name_jaro_winkler"))
+
+@query(_LINKED.replace("with s1 as", "with recursive s1 as", 1) + ", reach as (select distinct a as id, a as least from e union select e.b, r.least from reach r join e on e.a = r.id where r.least < e.b) select id, min(least) as cluster from reach group by 1")
+def er_components(spark, sf_dir):
+    return clusters.components(scored(spark, sf_dir).where("p >= 0.6"))
+
+
+@query()
+def er_pivot_clusters(spark, sf_dir):
+    return clusters.pivots(scored(spark, sf_dir).where("p >= 0.6"))
 
 
 @query()
@@ -624,13 +727,57 @@ def er_separation(spark, sf_dir):
     return rounded(metrics.separation(labelled(spark, sf_dir), ("p",)))
 
 
-@query()
+_ALL_SETS = {n: e for columns in FEATURE_SQL.values() for n, e in columns.items()} | {
+    "name_soundex_match": _FLAG(f"({oracle.SOUNDEX.replace('(n,', '(na,').replace('(n)', '(na)')}) = ({oracle.SOUNDEX.replace('(n,', '(nb,').replace('(n)', '(nb)')}) and regexp_matches(na, '^[A-Za-z]')")
+}
+
+
+@query(
+    C
+    + ", f as (select s1_id, cand_id, "
+    + ", ".join(f"({e})::double as {n}" for n, e in _ALL_SETS.items())
+    + f" from paired), l as (unpivot f on {', '.join(_ALL_SETS)} into name feature value v), k as (select feature, v, count(*) as c from l group by 1, 2), t as (select feature, sum(c) as rows, count(*) as kinds, max(c) as most from k group by 1),"
+    + " s as (select feature, md5(string_agg(v::varchar, ',' order by s1_id, cand_id)) as print from l group by 1), d as (select feature, min(feature) over (partition by print) as first from s)"
+    + " select feature, case when kinds = 1 then 'constant' when most >= 0.995 * rows then 'near_constant' else 'duplicate_of ' || first end as problem from t join d using (feature) where kinds = 1 or most >= 0.995 * rows or first <> feature union all select 'not_there', 'missing'"
+)
 def er_dud_features(spark, sf_dir):
     f = features.set_features()
     rows = paired(spark, sf_dir).select(*[f[n].alias(n) for n in features.SET_FEATURES])
     return metrics.dud_features(rows, (*features.SET_FEATURES, "not_there"))
 
 
+@query(
+    _COUNTS
+    + _ERRORS
+    + f""", worst as (select s1_id from cf where f05 < 1 order by f05, n_true desc, s1_id limit 20),
+top as (select c.s1_id, c.cand_id, p, row_number() over (partition by c.s1_id order by p desc, c.cand_id) as rank from chosen c join worst using (s1_id) qualify rank <= 3)
+select s1_id, rank, cand_id, p as score, round({_NAME_JACCARD}, 4) as name_jaccard, {_FLAG('ca = cb')} as same_country, {_COUNTRY_CONFLICT} + {_NUMBER_CONFLICT} + {_CITY_CONFLICT} as contradiction_count,
+{_FLAG("trim(aa) <> '' and trim(ab) <> ''")} as both_addrs_present from top join paired using (s1_id, cand_id)"""
+)
+def er_feature_evidence(spark, sf_dir):
+    names = ("name_jaccard", "same_country", "contradiction_count", "both_addrs_present")
+    f = features.set_features()
+    made = paired(spark, sf_dir).select("s1_id", "cand_id", *[f[n].alias(n) for n in names])
+    chosen = decision.select_expected_f(scored(spark, sf_dir)).withColumnRenamed("p", "score")
+    worst = metrics.worst_entities(anchor_counts(spark, sf_dir), _errors(spark, sf_dir), 20)
+    return metrics.feature_evidence(worst, chosen, made, names=names)
+
+
+@query(
+    B
+    + """, m as (select entity_id, business_name, count(cand_id) as n, count(*) over (partition by business_name) as same from s1 left join truth_long on s1_id = entity_id group by 1, 2),
+l as (select count(*) as n_s1, round(100 * avg(cast(n >= 2 as integer)), 2) as multi_match_pct, round(100 * avg(cast(n = 0 as integer)), 2) as singleton_pct, round(avg(n), 4) as mean_matches, max(n) as max_matches, sum(n)::bigint as total_matches, round(100 * avg(cast(same > 1 as integer)), 2) as shared_name_pct from m)
+select l.*, n_gallery, blank_gallery_addr_pct, indic_name_pct_gallery from l, (select count(*) as n_gallery, round(100 * avg(cast(trim(coalesce(business_address, '')) = '' as integer)), 2) as blank_gallery_addr_pct, 0.0 as indic_name_pct_gallery from gallery)"""
+)
+def er_split_statistics(spark, sf_dir):
+    return metrics.split_statistics(views.s1(spark, sf_dir), views.gallery(spark, sf_dir), truth_pairs(spark, sf_dir))
+
+
+@query(B + "select country, round(count(*) / (select count(*) from s1), 4) as share from s1 group by 1")
+def er_country_mix(spark, sf_dir):
+    return metrics.country_mix(views.s1(spark, sf_dir))
+
+
 # Validation
 
 
@@ -665,9 +812,9 @@ def er_candidate_negatives(spark, sf_dir):
 @query()
 def er_hard_negatives(spark, sf_dir):
     a, g = clean(spark, sf_dir)
-    return training.hard_negatives(a, g, truth_pairs(spark, sf_dir), pool=candidates(spark, sf_dir))
+    return training.hard_negatives(a, g, truth_pairs(spark, sf_dir))
 
 
-@query()
+@query(_LABELLED + " select s1_id, cand_id, p, label, ('0x' || left(md5('42:' || s1_id), 8))::ubigint % 100 < 80 as is_train from lab")
 def er_split(spark, sf_dir):
     return training.split_by_anchor(labelled(spark, sf_dir))

@@ -69,12 +69,16 @@ PINS = r"list_distinct(regexp_extract_all(a, '\b\d{5,6}\b'))"
 
 
 def soundex(e: str) -> str:
-    """American Soundex by translation: codes, H and W between equal codes joined, vowels dropped."""
-    letters = f"regexp_replace(upper({e}), '[^A-Z]', '', 'g')"
-    codes = f"translate(regexp_replace({letters}, '[HW]', '', 'g'), 'AEIOUYBFPVCGJKQSXZDTLMNR', '00000011112222222233' || '4556')"
+    """American Soundex of a string that begins with a letter: the letter and the codes of the others, equal ones in a row once.
+
+    H and W do not part equal codes, vowels and everything that is no letter do; 7 is the code of a first H or W.
+    """
+    u = f"upper({e})"
+    rest = f"regexp_replace(regexp_replace(substr({u}, 2), '[HW]', '', 'g'), '[^A-Z]', 'A', 'g')"
+    codes = f"translate(left({u}, 1) || {rest}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
     for d in "123456":
         codes = f"regexp_replace({codes}, '{d}+', '{d}', 'g')"
-    return codes
+    return f"(left({u}, 1) || rpad(left(replace(substr({codes}, 2), '0', ''), 3), 3, '0'))"
 
 
 def key_join(key: str, leg: str, most: int | None, many: bool = False) -> str:
@@ -85,7 +89,12 @@ def key_join(key: str, leg: str, most: int | None, many: bool = False) -> str:
     select distinct s1_id, cand_id, '{leg}' as leg from qk join gk using (k) where k is not null and k <> '' {cap}"""
 
 
+SOUNDEX = f"case when regexp_matches(n, '^[A-Za-z]') then {soundex('n')} else '' end"
+SHINGLES = grams(r"regexp_replace(lower(n), '[^\p{L}\p{N}_]', '', 'g')")
+
 KEY_LEGS = {
+    "soundex": (SOUNDEX, 30, False),
+    "prefix": ("case when length(replace(n, ' ', '')) >= 6 then left(replace(n, ' ', ''), 6) end", 30, False),
     "exact": ("n", None, False),
     "address": ("case when length(a) >= 12 then a end", 200, False),
     "name_core": (CORE_KEY, 30, False),

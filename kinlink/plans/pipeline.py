@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from kinlink.functions.text import apply_normalization
 from kinlink.operators import blocking, decision, features, metrics, models, tfidf, training
 from kinlink.sources import tsv
+from kinlink.sources.store import keep
 
 NAME, ADDRESS = blocking.CLEAN_NAME, blocking.CLEAN_ADDRESS
 
@@ -89,32 +91,107 @@ def report(truth: DataFrame, selected: DataFrame, candidates: DataFrame, scores:
     return out
 
 
-def country_holdout(anchors: DataFrame, gallery: DataFrame, truth: DataFrame, first: str, second: str, pool: DataFrame | None = None, target: float = 0.95, seed: int = 42) -> dict:
+def oof_hard_negatives(pairs: DataFrame, spare: DataFrame, rounds: int = 3, k: int = 3, most: int | None = None, cut: float = 0.5, seed: int = 42, names: tuple[str, ...] = features.FEATURE_NAMES) -> tuple[DataFrame, list[dict]]:
+    """Training rows with hard negatives added in rounds, and what each round did. Nothing outside the training part is looked at.
+
+    pairs: s1_id, cand_id, label and features of the training part. spare: negatives of its anchors that are not in pairs. In each round spare
+    negatives are scored by models that have not seen their anchor; those above `cut` (the `most` highest, None: all) join the training rows. It
+    ends when none is found or average precision out of fold no longer rises.
+    """
+    fold = F.pmod(training.hash_key(seed, "s1_id"), F.lit(k))
+    now, left, best, log = pairs, spare, -1.0, []
+    for r in range(rounds):
+        rows, rest = (keep(models.assemble(x, names).withColumn("fold", fold)) for x in (models.balanced(now), left))
+        scored, found = [], []
+        for f in range(k):
+            train = rows.where(F.col("fold") != f)
+            if train.select("label").distinct().count() < 2:
+                continue
+            model = models.fit_assembled(train, seed)
+            scored.append(models.probability(rows.where(F.col("fold") == f), model, "p").select("label", "p"))
+            found.append(models.probability(rest.where(F.col("fold") == f), model, "p").where(F.col("p") >= cut).select("s1_id", "cand_id", "p"))
+        if not scored:
+            break
+        ap = models.average_precision(reduce(DataFrame.union, scored))
+        hard = reduce(DataFrame.union, found)
+        hard = keep(hard.orderBy(F.desc("p"), "s1_id", "cand_id").limit(most) if most is not None else hard)
+        n = hard.count()
+        log.append({"round": r + 1, "average_precision": ap, "added": n if ap > best else 0})
+        if not n or ap <= best:
+            break
+        best = ap
+        more = left.join(hard.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_semi")
+        now = keep(now.unionByName(more.select(*now.columns)))
+        left = keep(left.join(hard.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti"))
+    return now, log
+
+
+def _two(x: float | None) -> float | None:
+    return None if x is None else round(x, 4)
+
+
+def country_holdout(anchors: DataFrame, gallery: DataFrame, truth: DataFrame, first: str, second: str, pool: DataFrame | None = None, target: float = 0.95, seed: int = 42, full: bool = True, least: int = 5) -> dict:
     """Train on one country, evaluate on the other, both ways; and the cutoff for countries never seen.
 
-    A direction's margin is how far the threshold that keeps precision in the new country lies above that of the own one.
+    Each direction is judged against hard negatives, and with `full` also against every other record of the gallery (for small data). Its margin is
+    how far the threshold that keeps precision in the new country lies above the own one. The cutoff is the threshold of a
+    model of both countries plus the larger margin, 0.95 at most. Records of other countries never train, not even as negatives.
     """
-    out, margins = {}, []
-    own_thresholds = []
+    of = lambda *cs: truth.join(anchors.where(F.col("country_clean").isin(list(cs))).select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
+    others = sorted(r.c for r in gallery.select(F.col("country_clean").alias("c")).distinct().collect())
+
+    def rows(t: DataFrame, mode: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+        made = training.build_pairs(anchors, gallery, t, mode, seed, exclude_countries=exclude, pool=pool)
+        return keep(features.compute_features(made, anchors, gallery, keep=("label",)))
+
+    def fitted(*home: str) -> tuple:
+        """A model of some countries, and the part of their anchors that it has not seen."""
+        mine = training.split_by_anchor(of(*home), seed)
+        fit, check = (keep(mine.where(c).drop("is_train")) for c in ("is_train", "not is_train"))
+        model = models.fit_single(rows(fit, "train", tuple(c for c in others if c not in home)), seed)
+        return (lambda t, mode: keep(models.probability(models.assemble(rows(t, mode)), model, "p").select("s1_id", "cand_id", "label", "p"))), check
+
+    out: dict = {"directions": {}}
+    margins, unreachable = [], []
     for home, away in ((first, second), (second, first)):
-        cohort = lambda c: truth.join(anchors.where(F.col("country_clean") == c).select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
-        mine = training.split_by_anchor(cohort(home), seed)
-        fit, check = (mine.where(k).drop("is_train") for k in ("is_train", "not is_train"))
-        feats = lambda t, mode, exclude=(): features.compute_features(training.build_pairs(anchors, gallery, t, mode, seed, exclude_countries=exclude, pool=pool), anchors, gallery, keep=("label",))
-        model = models.fit_single(feats(fit, "train", (away,)).persist(), seed)
-        score = lambda rows: models.probability(models.assemble(rows), model, "p").select("s1_id", "cand_id", "label", "p").persist()
-        near, far = score(feats(check, "eval_hard")), score(feats(cohort(away), "eval_hard"))
-        t_near, t_far = (metrics.precision_threshold(x, target).first().threshold for x in (near, far))
-        cut = t_near if t_near is not None else 0.95
-        out[f"{home}->{away}"] = {
-            "threshold": cut,
-            "in_country": metrics.pair_metrics(near, cut).first().asDict(),
-            "transfer": metrics.pair_metrics(far, cut).first().asDict(),
-            "margin": None if t_far is None else t_far - cut,
-        }
-        own_thresholds.append(cut)
-        margins.append(max(0.0, (t_far if t_far is not None else 0.95) - cut))
-    out["unseen_country_cutoff"] = min(max(own_thresholds) + max(margins), 0.95)
+        name, sizes = f"{home}->{away}", [of(c).select("s1_id").distinct().count() for c in (home, away)]
+        if min(sizes) < least:
+            out["directions"][name] = {"skipped": f"too few anchors ({sizes[0]} and {sizes[1]})"}
+            continue
+        score, check = fitted(home)
+        near = score(check, "eval_hard")
+        cut = metrics.precision_threshold(near, target).first().threshold
+        cut = cut if cut is not None else 0.95
+        found = {"threshold": cut, "in_country": metrics.pair_metrics(near, cut).first().asDict(), "in_country_macro": _two(metrics.macro_at(near, cut))}
+        for regime in ("hard", "full") if full else ("hard",):
+            far = score(of(away), f"eval_{regime}")
+            kept = metrics.precision_threshold(far, target).first().threshold
+            best = metrics.best_macro_threshold(far).first()
+            found[f"transfer_{regime}"] = {
+                **metrics.pair_metrics(far, cut).first().asDict(),
+                "macro_f05": _two(metrics.macro_at(far, cut)),
+                "threshold_preserving": kept,
+                "threshold_best": best.threshold,
+                "best_macro_f05": best.macro_f05,
+            }
+        hard = found["transfer_hard"]
+        found["gaps"] = {"precision": _two(hard["precision"] - found["in_country"]["precision"]), "macro_f05": _two(hard["macro_f05"] - found["in_country_macro"])}
+        found["margin"] = _two(hard["threshold_preserving"] - cut) if hard["threshold_preserving"] is not None else None
+        if found["margin"] is None:
+            unreachable.append(name)
+        else:
+            margins.append(found["margin"])
+        out["directions"][name] = found
+    if of(first, second).select("s1_id").distinct().count() < 2 * least:
+        out["pooled"] = {"skipped": "too few anchors"}
+    else:
+        score, check = fitted(first, second)
+        near = score(check, "eval_hard")
+        best = metrics.best_macro_threshold(near).first()
+        out["pooled"] = {"threshold": best.threshold, "macro_f05": best.macro_f05, **metrics.pair_metrics(near, best.threshold).first().asDict()}
+    start = out["pooled"].get("threshold")
+    uncapped = None if start is None or not margins else _two(start + max(margins))
+    out |= {"uncapped_cutoff": uncapped, "unseen_country_cutoff": None if uncapped is None else min(uncapped, 0.95), "capped": uncapped is not None and uncapped > 0.95, "unreachable": unreachable}
     return out
 
 

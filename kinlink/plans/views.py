@@ -69,8 +69,8 @@ def clean_s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written once in a session, so records are normalised once, and the chain of replacements is not copied into every
     expression that uses a clean column.
     """
-    return written(spark, f"clean-s1 {sf_dir}", lambda: apply_normalization(s1(spark, sf_dir), fold_latin))
+    return written(spark, f"clean-s1 {sf_dir}", lambda: apply_normalization(s1(spark, sf_dir), fold_latin), f"{sf_dir}/part.parquet")
 
 
 def clean_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(spark, f"clean-gallery {sf_dir}", lambda: apply_normalization(gallery(spark, sf_dir), fold_latin))
+    return written(spark, f"clean-gallery {sf_dir}", lambda: apply_normalization(gallery(spark, sf_dir), fold_latin), f"{sf_dir}/part.parquet")

@@ -102,6 +102,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("n") != F.lit(first)).select(F.trim(F.split("value", "\t")[0]).alias("id")).where("id <> ''").distinct()
 
 
+def head(df: DataFrame, n: int = 3) -> DataFrame:
+    """The first rows of a table, to look at."""
+    return df.limit(n)
+
+
+def country_counts(df: DataFrame, key: str = "country") -> DataFrame:
+    """(country, n), the most frequent first, ties by name; a missing one is null."""
+    return df.groupBy(F.col(key).alias("country")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country")
+
+
 def profile(df: DataFrame) -> DataFrame:
     """(column, rows, nulls) of each column; one scan."""
     stats = df.select(F.count("*").alias("rows"), F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.when(F.col(c).isNull(), 1)).alias("nulls")) for c in df.columns]).alias("s"))
