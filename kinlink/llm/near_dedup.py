@@ -4,9 +4,10 @@
    form a class that from then on is represented by its smallest document id.
 2. Bands of the signature are grouped by value. Buckets with the same members are taken once.
 3. Members of a bucket are compared in blocks of bounded size: signatures first, then the full
-   sets. A block reports a spanning forest of its links, never all pairs of a group.
-4. Buckets of several blocks go on with components: one member of each component is compared with those of the others, as long as
-   that joins most of them. What then still lies outside the largest component of its bucket is compared with all of the
+   sets. A block reports a head for each of its members, never all pairs of a group. Every class is first compared in the
+   largest of its buckets; the other buckets then only matter where their members have different heads.
+4. Buckets of several blocks go on with heads: one member of each group is compared with those of the others, as long as
+   that joins most of them. What then still lies outside the largest group of its bucket is compared with all of the
    bucket, block by block. A group of near copies thus costs rows in proportion to its size; only texts that share a
    band and are not linked cost more, as each of them has to be compared with the whole bucket.
 5. Alternating large-star and small-star turns links into components.
@@ -160,8 +161,8 @@ def _setter(width: int, bits):
     return run
 
 
-def link_block(reps: list[int], sides: list[int], comps: list[int], sigs: list[bytes], items: list[bytes], percent: int, cross: bool):
-    """Links of a block as a spanning forest: pairs of different components with 100 * common >= percent * united.
+def link_block(reps: list[int], sides: list[int], labels: list[int], sigs: list[bytes], items: list[bytes], percent: int, cross: bool) -> list[int]:
+    """For each row the least rep that it is connected with: by equal labels, or links, pairs with 100 * common >= percent * united.
 
     cross: only pairs from different sides count.
     """
@@ -173,7 +174,7 @@ def link_block(reps: list[int], sides: list[int], comps: list[int], sigs: list[b
     starts = np.concatenate([[0], np.cumsum(sizes)])
     t = percent / 100
     least = sig.shape[1] * (t - 6 * math.sqrt(t * (1 - t) / sig.shape[1]))
-    root, side, links = np.unique(comps, return_inverse=True)[1], np.array(sides), []
+    root, side = np.unique(labels, return_inverse=True)[1], np.array(sides)
     flag = np.zeros(int(ids.max()) + 1, dtype=np.int8)
     for i in range(n - 1):
         later = np.arange(i + 1, n)
@@ -188,10 +189,11 @@ def link_block(reps: list[int], sides: list[int], comps: list[int], sigs: list[b
         for j in later:
             common = int(flag[ids[starts[j] : starts[j + 1]]].sum(dtype=np.int64))
             if 100 * common >= percent * (sizes[i] + sizes[j] - common) and root[i] != root[j]:
-                links.append((reps[i], reps[j]))
                 root[root == root[j]] = root[i]
         flag[ids[starts[i] : starts[i + 1]]] = 0
-    return links
+    heads = np.full(int(root.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(heads, root, np.array(reps))
+    return heads[root].tolist()
 
 
 def _linker(percent: int):
@@ -200,26 +202,24 @@ def _linker(percent: int):
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("head", pa.int64())])
         now, rows = None, {}
 
         def done():
-            if len(rows) < 2:
-                return None
             sides, reps = zip(*rows, strict=True)
-            links = link_block(list(reps), list(sides), *map(list, zip(*rows.values(), strict=True)), percent, now[2] >= 0)
-            return pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [y for _, y in links]}, schema=schema) if links else None
+            heads = link_block(list(reps), list(sides), *map(list, zip(*rows.values(), strict=True)), percent, now[2] >= 0) if len(rows) > 1 else list(reps)
+            return pa.RecordBatch.from_pydict({"key": [now[0]] * len(reps), "rep": list(reps), "head": heads}, schema=schema)
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("key", "b1", "b2", "side", "rep", "comp", "sig", "items"))
-            for key, b1, b2, side, rep, comp, sig, items in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("key", "b1", "b2", "side", "rep", "label", "sig", "items"))
+            for key, b1, b2, side, rep, label, sig, items in zip(*columns, strict=True):
                 if (key, b1, b2) != now:
-                    if (out := done()) is not None:
-                        yield out
+                    if rows:
+                        yield done()
                     now, rows = (key, b1, b2), {}
-                rows[side, rep] = (comp, sig, items)
-        if (out := done()) is not None:
-            yield out
+                rows[side, rep] = (label, sig, items)
+        if rows:
+            yield done()
 
     return run
 
@@ -240,49 +240,68 @@ def _place(salt: int, blocks: str):
 
 
 def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (key, b1, b2, side, rep, comp), of which each (key, b1, b2) is compared in one place."""
+    """(key, rep, head) of rows (key, b1, b2, side, rep, label), of which each (key, b1, b2) is compared in one place."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    grouped = rows.join(sets, "rep").select("key", "b1", "b2", "side", "rep", "comp", "sig", "items")
+    grouped = rows.join(sets, "rep").select("key", "b1", "b2", "side", "rep", "label", "sig", "items")
     grouped = grouped.repartition(parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    return grouped.mapInArrow(_linker(percent), "a long, b long")
+    return materialize(grouped.mapInArrow(_linker(percent), "key long, rep long, head long"), "heads")
 
 
-def _link_large(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the blocks of buckets with several, beside those known within them.
+def _alone(rows: DataFrame, salt: int) -> DataFrame:
+    """rows (key, rep, label, blocks) dealt to the blocks of their bucket."""
+    return rows.select("key", _place(salt, "blocks").alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("side"), "rep", "label")
 
-    members: key, rep, n, of such buckets only. links: those within the blocks (salt 0).
+
+def _bucket_heads(members: DataFrame, sets: DataFrame, percent: int, salt: int, made: list[DataFrame], compare_all: bool) -> DataFrame:
+    """(key, rep, n, label) of members (key, rep, n, label, blocks): label is a head of the group that the comparisons of its bucket put it in.
+
+    Members of equal labels count as connected from the start. First all members are compared within their blocks (compare_all), or only those of
+    buckets with one block; then buckets of several blocks go on with one head for each group while that joins most of
+    them. Each comparison's (rep, head) is added to made.
     """
-    made, salt, before = [links], 0, None
+    one = members if compare_all else members.where("blocks = 1")
+    found = _compared(_alone(one, salt), sets, percent)
+    made.append(found)
+    # Members in no comparison yet keep their label.
+    now = members.join(found, ["key", "rep"], "left").select("key", "rep", "n", "blocks", F.coalesce("head", "label").alias("label"))
+    now, before = materialize(now, "labels"), None
     while True:
-        nodes = connected_components(reduce(DataFrame.union, made)).select(F.col("node").alias("rep"), "component")
-        named = materialize(members.join(nodes, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "members")
-        heads = named.groupBy("key", "comp").agg(F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"), F.count("*").alias("members"))
-        several = heads.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("total"), F.max(F.struct("members", "comp")).alias("most"), F.sum("members").alias("size"))
-        several = materialize(several.where("comps > 1"), "several")
-        left = several.agg(F.sum("comps")).first()[0] or 0
-        if not left:
-            return reduce(DataFrame.union, made)
-        if left > WORTH * (before or several.agg(F.sum("size")).first()[0]):
-            break
-        before, salt = left, salt + 1
-        chosen = heads.join(several.select("key", _blocks(F.col("comps"), F.col("total")).alias("blocks")), "key")
-        chosen = chosen.select("key", _place(salt, "blocks").alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("side"), "rep", "comp")
-        made.append(materialize(_compared(chosen, sets, percent), "links"))
-    # Whatever is not in the largest component of its bucket meets all of the bucket.
-    named = named.join(several.select("key", F.col("most.comp").alias("largest")), "key").withColumn("minor", F.col("comp") != F.col("largest"))
+        large = now.where("blocks > 1").groupBy("key", "label").agg(F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"), F.count("*").alias("members"))
+        several = large.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.sum("members").alias("size")).where("groups > 1")
+        left = several.agg(F.sum("groups"), F.sum("size")).first()
+        if not left[0] or left[0] > WORTH * (before or left[1]):
+            return now
+        before, salt = left[0], salt + 1
+        heads = large.join(several.select("key", _blocks(F.col("groups"), F.col("total")).alias("blocks")), "key").select("key", "rep", F.col("label"), "blocks")
+        found = _compared(_alone(heads, salt), sets, percent)
+        made.append(found)
+        renamed = heads.select("key", "rep", "label").join(found, ["key", "rep"]).select("key", "label", F.col("head").alias("next"))
+        now = materialize(now.join(renamed, ["key", "label"], "left").select("key", "rep", "n", "blocks", F.coalesce("next", "label").alias("label")), "labels")
+
+
+def _rest_of_large(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(key, rep, head): whatever is not in the largest group of its bucket of several blocks meets all of the bucket.
+
+    named: key, rep, n, label, blocks.
+    """
+    groups = named.where("blocks > 1").groupBy("key", "label").agg(F.count("*").alias("members"))
+    several = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("members", "label")).alias("most")).where("groups > 1")
+    several = materialize(several.select("key", F.col("most.label").alias("largest")), "several")
+    if several.isEmpty():
+        return None
+    named = named.drop("blocks").join(several, "key").withColumn("minor", F.col("label") != F.col("largest"))
     minor_n = F.when(F.col("minor"), F.col("n"))
     counts = named.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.count(minor_n).alias("minors"), F.coalesce(F.sum(minor_n), F.lit(0)).alias("minor_total"))
     plan = counts.select("key", _blocks(F.col("size"), F.col("total")).alias("all_blocks"), _blocks(F.col("minors"), F.col("minor_total")).alias("minor_blocks"))
-    planned = named.join(materialize(plan, "plan"), "key")
+    planned = named.join(plan, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = planned.select("key", _place(0, "all_blocks").alias("b1"), every("minor_blocks").alias("b2"), F.lit(0).alias("side"), "rep", "comp")
-    two = planned.where("minor").select("key", every("all_blocks").alias("b1"), _place(0, "minor_blocks").alias("b2"), F.lit(1).alias("side"), "rep", "comp")
-    made.append(materialize(_compared(one.union(two), sets, percent), "links"))
-    return reduce(DataFrame.union, made)
+    one = planned.select("key", _place(0, "all_blocks").alias("b1"), every("minor_blocks").alias("b2"), F.lit(0).alias("side"), "rep", "label")
+    two = planned.where("minor").select("key", every("all_blocks").alias("b1"), _place(0, "minor_blocks").alias("b2"), F.lit(1).alias("side"), "rep", "label")
+    return _compared(one.union(two), sets, percent)
 
 
 def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b): links between class representatives; enough of them to connect all that are linked.
+    """(a, b): pairs of class representatives that connect all that are linked, and nothing else.
 
     docs: doc_id, text. classes: rep, n, k1, k2, bands.
     """
@@ -300,19 +319,25 @@ def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
         .agg(F.min("key").alias("key"))
     )
     blocks = _blocks(F.col("size"), F.col("total")).alias("blocks")
-    members = materialize(members.select("key", "rep", "n").join(buckets.select("key", blocks), "key"), "members")
-    wanted = materialize(members.select("rep").distinct(), "wanted")
-    doc_bits = _bits(wanted.select(F.xxhash64("rep").alias("h")), "h")
+    members = materialize(members.select("key", "rep", "n").join(buckets.select("key", "size", blocks), "key"), "members")
+    # The largest bucket of each class comes first.
+    largest = F.max(F.struct("size", "key", "n", "blocks")).alias("m")
+    home = materialize(members.groupBy("rep").agg(largest).select("rep", "m.key", "m.n", "m.blocks", F.col("rep").alias("label")), "home")
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = hashed.mapInArrow(_setter(width, doc_bits), "rep long, c1 long, c2 long, sig binary, items binary")
-    sets = sets.join(wanted.join(classes.select("rep", "k1", "k2"), "rep"), "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
-    large = members.where("blocks > 1")
-    some = not large.isEmpty()
-    if some:  # read several times
-        sets = materialize(sets, "sets")
-    first = members.select("key", _place(0, "blocks").alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("side"), "rep", F.col("rep").alias("comp"))
-    links = materialize(_compared(first, sets, percent), "links")
-    return _link_large(large.select("key", "rep", "n"), sets, links, percent) if some else links
+    sets = hashed.mapInArrow(_setter(width, _bits(home.select(F.xxhash64("rep").alias("h")), "h")), "rep long, c1 long, c2 long, sig binary, items binary")
+    sets = sets.join(home.select("rep").join(classes.select("rep", "k1", "k2"), "rep"), "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
+    sets, made = materialize(sets, "sets"), []
+    named = _bucket_heads(home, sets, percent, 0, made, True)
+    # Buckets whose members all have one head need no more.
+    labels = named.select("rep", "label")
+    known = materialize(members.join(labels, "rep").select("key", "rep", "n", "blocks", "label"), "known")
+    open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    known = materialize(known.join(open_, "key", "left_semi"), "known")
+    if not known.isEmpty():
+        named = _bucket_heads(known, sets, percent, 100, made, False)
+        if (rest := _rest_of_large(named, sets, percent)) is not None:
+            made.append(rest)
+    return reduce(DataFrame.union, made).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
 
 def near_duplicates(
