@@ -25,6 +25,7 @@ is kept; columns of the input other than doc_id, lang and text are not read, wha
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 import types
 import uuid
@@ -34,12 +35,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm import textkit
-from kinlink.llm.workdir import bound_batches, materialize
+from kinlink.llm import bitmap, textkit
+from kinlink.llm.workdir import bound_batches, materialize, release
 
 ORDER = 5
 FOLDS = 2
-HOT_ENTRIES = 2_000_000  # most entries that are broadcast
+HOT_ENTRIES = 3_000_000  # most entries that are broadcast
+FIRST_ENTRIES = 1 << 16  # n-grams looked up first, in a table that fits a processor's cache
+BITMAP_BITS = 1 << 26
 BROADCAST_IDS = 1_000_000
 WORST = 4
 QUANTILE = 0.995
@@ -96,8 +99,11 @@ def _arrays(tags: list, parts: list[str], owners: list[int]):
 
 def _fold(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = h * textkit.ODD + c.astype(np.uint64) + np.uint64(1)
-        return h ^ (h >> np.uint64(29))
+        h = h * textkit.ODD
+        h += c
+        h += np.uint64(1)
+        h ^= h >> np.uint64(29)
+        return h
 
 
 def _seed(models: list[str]) -> np.ndarray:
@@ -108,10 +114,9 @@ def _seed(models: list[str]) -> np.ndarray:
 
 def _chain(seeds: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
     """Keys of the strings of length 0 to ORDER that end at each character; strings that reach over the start are meaningless."""
-    keys = [seeds]
+    keys, padded = [seeds], np.concatenate([np.zeros(ORDER, np.uint64), codes])
     for n in range(ORDER):
-        shifted = codes if not n else np.concatenate([np.zeros(n, codes.dtype), codes[:-n]])
-        keys.append(_fold(keys[-1], shifted))
+        keys.append(_fold(keys[-1], padded[ORDER - n : len(padded) - n]))
     return keys
 
 
@@ -181,37 +186,56 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def _discounted(table: DataFrame) -> DataFrame:
-    """table (model, ctx, c, n) with the discount d of each count."""
+    """table (model, ctx, c, n, seen) with the discount d of each count."""
     steps = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
     found = [(r.model, *discounts(r.n1, r.n2, r.n3, r.n4)) for r in table.groupBy("model").agg(*steps).collect()]
     rates = table.sparkSession.createDataFrame(found, "model string, d1 double, d2 double, d3 double")
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return table.join(F.broadcast(rates), "model").select("model", "ctx", "c", "n", d.alias("d"))
+    return table.join(F.broadcast(rates), "model").select("model", "ctx", "c", "n", "seen", d.alias("d"))
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """The model tables as one: (model, s, logp, back_off, level).
+def count(trusted: DataFrame) -> DataFrame:
+    """(model, ctx, c, n): how often each character follows each context of ORDER - 1 characters.
 
-    trusted: fold, lang, text. Models are named fold:lang; the one over all languages of a fold is fold:*. For a string s, logp is that
-    of its last character after the others, back_off the weight of s as a context in logarithms; where s is a context and an n-gram
-    it has a row for each. The row of the empty string has the logp of a character never seen. level says how
-    frequent the context is, in eighths of octaves: no shorter ending of a context has a lower one.
+    trusted: fold, lang, text. Models are named fold:lang, and those of texts without a language fold:*.
     """
     named = bound_batches(trusted).select(F.concat("fold", F.lit(":"), F.coalesce("lang", F.lit(ANY))).alias("model"), "text")
     top = named.mapInArrow(_count_events(), "model string, ctx string, c string, n long")
-    every = F.explode(F.array_distinct(F.array("model", F.concat(F.substring_index("model", ":", 1), F.lit(":" + ANY)))))
-    top = top.select(every.alias("model"), "ctx", "c", "n").groupBy("model", "ctx", "c").agg(F.sum("n").alias("n"))
-    tables = [materialize(top, "events")]
-    seen = [tables[0].groupBy("model", "ctx").agg(F.sum("n").alias("seen"))]
+    return materialize(top.groupBy("model", "ctx", "c").agg(F.sum("n").alias("n")), "events")
+
+
+def count_for(top: DataFrame, used: DataFrame) -> DataFrame:
+    """The counts of the used models (model) only, where fold:* has those of all languages of the fold."""
+    fold = F.concat(F.substring_index("model", ":", 1), F.lit(":" + ANY))
+    wanted = F.broadcast(used)
+    own = top.where(F.col("model") != fold).join(wanted, "model", "left_semi")
+    if used.where(F.col("model").endswith(":" + ANY)).isEmpty():
+        return own
+    every = top.withColumn("model", fold).join(wanted, "model", "left_semi").groupBy("model", "ctx", "c").agg(F.sum("n").alias("n"))
+    return materialize(own.union(every), "counts")
+
+
+def train(top: DataFrame) -> DataFrame:
+    """The model tables as one: (model, s, logp, back_off, level), from counts (model, ctx, c, n).
+
+    For a string s, logp is that of its last character after the others, back_off the weight of s as a context in logarithms; where s
+    is a context and an n-gram it has a row for each. The row of the empty string has the logp of a character never seen. level says
+    how frequent the context is, in eighths of octaves: no shorter ending of a context has a lower one.
+    """
+    tables, written = [top.withColumn("seen", F.col("n"))], []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        written.append(materialize(df, what))
+        return written[-1]
+
+    # n is how often an n-gram counts, in shorter ones how many different characters come before it; seen is how often it stands in the texts.
     for _ in range(ORDER - 1):
-        shorter = tables[0].groupBy("model", F.substring("ctx", 2, ORDER).alias("ctx"), "c").agg(F.count("*").alias("n"))
-        tables.insert(0, materialize(shorter, "counts"))
-        seen.insert(0, materialize(seen[0].groupBy("model", F.substring("ctx", 2, ORDER).alias("ctx")).agg(F.sum("seen").alias("seen")), "seen"))
+        shorter = tables[0].groupBy("model", F.substring("ctx", 2, ORDER).alias("ctx"), "c").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
+        tables.insert(0, kept(shorter, "counts"))
     made, below = [], None
-    for size, table in enumerate(tables):
+    for table in tables:
         table = _discounted(table)
-        contexts = table.groupBy("model", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        contexts = contexts.join(seen[size].select("model", "ctx", F.floor(F.log2("seen") * 8).cast("int").alias("level")), ["model", "ctx"])
+        contexts = table.groupBy("model", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"), F.floor(F.log2(F.sum("seen")) * 8).cast("int").alias("level"))
         own = table.join(contexts, ["model", "ctx"])
         own = own.select("model", "ctx", "c", "level", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), (F.col("mass") / F.col("total")).alias("gamma"))
         if below is None:
@@ -224,10 +248,13 @@ def train(trusted: DataFrame) -> DataFrame:
             lower = below.select("model", F.col("ctx").alias("short"), "c", F.col("p").alias("q"))
             now = own.withColumn("short", F.substring("ctx", 2, ORDER)).join(lower, ["model", "short", "c"])
             made.append(contexts.select("model", F.col("ctx").alias("s"), F.lit(None).cast("double").alias("logp"), F.log(F.col("mass") / F.col("total")).alias("back_off"), "level"))
-        below = materialize(now.select("model", "ctx", "c", "level", (F.col("p") + F.col("gamma") * F.col("q")).alias("p")), "probabilities")
+        below = kept(now.select("model", "ctx", "c", "level", (F.col("p") + F.col("gamma") * F.col("q")).alias("p")), "probabilities")
         made.append(below.select("model", F.concat("ctx", "c").alias("s"), F.log("p").alias("logp"), F.lit(None).cast("double").alias("back_off"), "level"))
     logs = [F.col(c).cast("float").alias(c) for c in ("logp", "back_off")]
-    return materialize(reduce(DataFrame.union, made).select("model", "s", *logs, "level"), "model")
+    model = materialize(reduce(DataFrame.union, made).select("model", "s", *logs, "level"), "model")
+    for table in written:
+        release(table)
+    return model
 
 
 class KeyTable:
@@ -235,7 +262,7 @@ class KeyTable:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
-        self.mask = (1 << bits) - 1
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
         left, slot = np.arange(len(keys)), self._place(keys)
         while len(left):
@@ -248,7 +275,8 @@ class KeyTable:
             left, slot = left[stay], (slot[stay] + 1) & self.mask
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(24)).astype(np.int64) & self.mask
+        with np.errstate(over="ignore"):
+            return (keys * np.uint64(0xBF58476D1CE4E5B9) >> self.shift).astype(np.int64)
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of each key; the value is 0 where none is found."""
@@ -270,30 +298,36 @@ class KeyTable:
 class Scorer:
     """Log-probabilities of events by the broadcast entries.
 
-    whole: all entries of the model are there, so what is not found was never seen. begun: those of the empty context are.
+    rest: a bitmap of the contexts that have entries elsewhere (None: there are none); what is neither here nor there was
+    never seen. begun: the entries of the empty context are here.
     """
 
-    def __init__(self, keys: np.ndarray, logp: np.ndarray, back_off: np.ndarray, whole: bool, begun: bool):
+    def __init__(self, keys: np.ndarray, logp: np.ndarray, back_off: np.ndarray, rest: bytes | None, begun: bool):
         gram, context = ~np.isnan(logp), ~np.isnan(back_off)
+        first = np.flatnonzero(gram)[:FIRST_ENTRIES]
+        self.first = KeyTable(keys[first], logp[first])
         self.grams, self.contexts = KeyTable(keys[gram], logp[gram]), KeyTable(keys[context], back_off[context])
-        self.whole, self.begun = whole, begun
+        self.rest, self.begun = rest, begun
 
     def __call__(self, seeds: np.ndarray, codes: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, order) of each event. order is the length of the shortest of its contexts whose entries are not here, and
+        """(value, order) of each event. order is the length of the shortest of its contexts whose entries may be elsewhere, and
         value then what the shorter ones give; it is -1 where value is the event's log-probability.
         """
         chain, at = _chain(seeds, codes), np.flatnonzero(events)
         value, order = np.zeros(len(at)), np.full(len(at), -1, np.int8)
-        left = np.arange(len(at))
+        found, value[:] = self.first.look_up(chain[ORDER][at])
+        left = np.flatnonzero(~found)
         for n in range(ORDER - 1, -1, -1):
             found, logp = self.grams.look_up(chain[n + 1][at[left]])
             value[left] += logp
             left = left[~found]
             if n:
-                known, back = self.contexts.look_up(chain[n][at[left] - 1])
+                keys = chain[n][at[left] - 1]
+                known, back = self.contexts.look_up(keys)
                 value[left] += back
-                if not self.whole:
-                    order[left[~known]] = n
+                if self.rest is not None:
+                    unknown = np.flatnonzero(~known)
+                    order[left[unknown[bitmap.holds(self.rest, keys[unknown])]]] = n
             else:
                 value[left] += self.grams.look_up(seeds[at[left]])[1]
                 if not self.begun:
@@ -306,22 +340,34 @@ def _with_keys(batches):
 
     for batch in batches:
         keys = _string_keys(batch.column("model").to_pylist(), batch.column("s").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("logp"), batch.column("back_off")], names=["key", "logp", "back_off"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns[2:]], names=["key", *batch.schema.names[2:]])
 
 
 def hot_entries(model: DataFrame, most: int) -> tuple:
-    """(keys, logp, back_off, whole, begun) for Scorer: all entries of the contexts from some level up, `most` of them or fewer."""
-    levels = model.where("s <> ''").groupBy("level").count().orderBy(F.desc("level")).collect()
+    """(keys, logp, back_off, rest, begun) for Scorer: all entries of the contexts from some level up, `most` of them or fewer,
+    and a bitmap of the other contexts, of 8 MB or less. A full bitmap only makes more events open.
+    """
+    levels = model.where("s <> ''").groupBy("level").agg(F.count("*").alias("entries"), F.count("back_off").alias("contexts")).orderBy(F.desc("level")).collect()
     cut, room = None, most
     for r in levels:
-        if r["count"] > room:
+        if r.entries > room:
             break
-        cut, room = r.level, room - r["count"]
-    whole = not levels or cut == levels[-1].level
+        cut, room = r.level, room - r.entries
     chosen = (F.col("s") == "") | (F.col("level") >= F.lit(cut)) if cut is not None else F.col("s") == ""
-    table = model.where(chosen).select("model", "s", "logp", "back_off").mapInArrow(_with_keys, "key long, logp float, back_off float").toArrow()
-    logs = [table.column(c).to_numpy().astype(np.float32) for c in ("logp", "back_off")]
-    return table.column("key").to_numpy().view(np.uint64), *logs, whole, cut is not None
+    keyed = "key long, logp float, back_off float, often float"
+    # How often a whole n-gram is seen, in logarithms; the most frequent ones are put first.
+    often = F.when((F.length("s") == ORDER) & F.col("logp").isNotNull(), F.col("logp") + F.col("level") * (math.log(2) / 8)).otherwise(-1e9).cast("float").alias("often")
+    table = model.where(chosen).select("model", "s", "logp", "back_off", often).mapInArrow(_with_keys, keyed).toArrow()
+    rank = -table.column("often").to_numpy()
+    order = np.argpartition(rank, min(FIRST_ENTRIES, len(rank) - 1)) if len(rank) else np.zeros(0, np.int64)
+    keys, logs = table.column("key").to_numpy().view(np.uint64)[order], [table.column(c).to_numpy().astype(np.float32)[order] for c in ("logp", "back_off")]
+    rest = None
+    if levels and cut != levels[-1].level:
+        others = sum(r.contexts for r in levels if cut is None or r.level < cut)
+        bits = min(BITMAP_BITS, 1 << max(6, (16 * others).bit_length()))
+        cold = model.where(~chosen & F.col("back_off").isNotNull()).select("model", "s", "logp", "back_off", often)
+        rest = bitmap.build(cold.mapInArrow(_with_keys, keyed), "key", bits)
+    return keys, *logs, rest, cut is not None
 
 
 def _kept_scorer(shared) -> Scorer:
@@ -437,12 +483,12 @@ def score(docs: DataFrame, model: DataFrame, most: int | None = None) -> DataFra
 
     docs: doc_id, trusted, model, text. most: how many entries are broadcast (None: HOT_ENTRIES).
     """
-    *hot, whole, begun = hot_entries(model, HOT_ENTRIES if most is None else most)
-    shared = uuid.uuid4().hex, bound_batches(docs).sparkSession.sparkContext.broadcast((*hot, whole, begun))
+    hot = hot_entries(model, HOT_ENTRIES if most is None else most)
+    shared = uuid.uuid4().hex, bound_batches(docs).sparkSession.sparkContext.broadcast(hot)
     partial = docs.select("doc_id", "trusted", "model", "text").mapInArrow(_score_rows(shared), SCORED)
     partial = materialize(partial.withColumn("row", F.monotonically_increasing_id()), "partial")
     made = ["row", "doc_id", "trusted", "model", "logp", "n", "worst"]
-    if whole:
+    if hot[-2] is None:
         return partial.select(*made[:-1], _mean("worst"))
     events = partial.select("row", "model", F.explode("events").alias("e")).select("row", "model", "e.w", "e.s", "e.o", "e.v")
     values = open_values(events.groupBy("model", "s").agg(F.first("o").alias("o")), model)
@@ -460,21 +506,21 @@ def _mean(name: str) -> Column:
     return (F.aggregate(name, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(name), F.lit(1))).alias(name)
 
 
-def choose_models(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs (fold, lang, text, ...) with the name of the model that scores each; null where there is no model at all.
+def choose_models(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """docs (fold, lang, ...) with the name of the model that scores each; null where there is no model at all.
 
-    It is the language's of the other fold, or else "*" of that fold; if the other fold has no model, its own fold's serve.
+    names: model. A text's model is its language's of the other fold, or else "*" of that fold; if the other fold has no model, its
+    own fold's serve.
     """
-    names = materialize(model.where("s = ''").select("model").distinct(), "names")
     folds = {r.fold for r in names.select(F.substring_index("model", ":", 1).cast("int").alias("fold")).distinct().collect()}
     serving = F.lit(None).cast("string")
     for k in range(FOLDS):
         others = [f for f in (*range(k + 1, FOLDS), *range(k + 1)) if f in folds]
         if others:
             serving = F.when(F.col("fold") == k, F.lit(str(others[0]))).otherwise(serving)
-    wanted = F.concat(serving, F.lit(":"), F.col("lang"))
-    inner = docs.withColumns({"__serving": serving, "__wanted": wanted}).join(F.broadcast(names.withColumnRenamed("model", "__known")), F.col("__wanted") == F.col("__known"), "left")
-    return inner.withColumn("model", F.coalesce("__known", F.concat("__serving", F.lit(":" + ANY)))).drop("__serving", "__wanted", "__known")
+    known = F.broadcast(names.select(F.col("model").alias("__known")))
+    joined = docs.join(known, F.concat(serving, F.lit(":"), "lang") == F.col("__known"), "left")
+    return joined.withColumn("model", F.coalesce("__known", F.concat(serving, F.lit(":" + ANY)))).drop("__known")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -491,8 +537,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     near = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     plain = plain.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
-    model = train(plain.join(near, "doc_id", "left_semi").where("text is not null").select("fold", "lang", "text"))
-    named = choose_models(plain.join(near, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), model)
+    top = count(plain.join(near, "doc_id", "left_semi").where("text is not null").select("fold", "lang", "text"))
+    names = materialize(top.select("model").distinct(), "names")
+    asked = docs.select(F.col("lang").cast("string").alias("lang")).distinct().withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS)))))
+    used = materialize(choose_models(asked, names).where("model is not null").select("model").distinct(), "used")
+    model = train(count_for(top, used))
+    named = choose_models(plain.join(near, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), names)
     modelled = F.coalesce("model", F.lit("0:" + ANY))
     scored = score(named.select("doc_id", "trusted", modelled.alias("model"), F.when(F.col("model").isNotNull(), F.col("text")).alias("text")), model)
     lang = F.expr("substring(model, length(substring_index(model, ':', 1)) + 2)")

@@ -61,18 +61,23 @@ TRAIN = [prose(200, k) for k in range(3)] + ["a zig zag", "bridge! over, river"]
 TEXTS = ["the river", "river of stone zebra", "Ünseen wörds", "x", "light-quiet! 12 \t a\n\nb", prose(300, 8), "", "### ### zig", "a\0b"]
 
 
+def trained(spark, rows):
+    return quality_lm.train(quality_lm.count(spark.createDataFrame(rows, "fold int, lang string, text string")))
+
+
 @pytest.fixture(scope="module")
 def model(spark):
-    return quality_lm.train(spark.createDataFrame([(0, "en", t) for t in TRAIN], "fold int, lang string, text string"))
+    return trained(spark, [(0, "en", t) for t in TRAIN])
 
 
-@pytest.mark.parametrize("most", [None, 400, 60, 1])
-def test_against_brute_force(spark, model, most):
-    """Whatever is broadcast, all, some or nothing, the figures are the same."""
+@pytest.mark.parametrize(("most", "bits"), [(None, 64), (400, 1 << 20), (400, 64), (60, 1 << 20), (1, 64)])
+def test_against_brute_force(spark, model, most, bits, monkeypatch):
+    """Whatever is broadcast, all, some or nothing, and however full the bitmap is, the figures are the same."""
+    monkeypatch.setattr(quality_lm, "BITMAP_BITS", bits)
     rows = spark.createDataFrame([(k, False, "0:en", t) for k, t in enumerate(TEXTS)], "doc_id long, trusted boolean, model string, text string")
     got = {r.doc_id: (r.logp, r.n, r.worst) for r in quality_lm.score(rows, model, most).collect()}
     logs = brute_model(TRAIN)
-    assert quality_lm.hot_entries(model, most or quality_lm.HOT_ENTRIES)[-2] is (most is None)
+    assert (quality_lm.hot_entries(model, most or quality_lm.HOT_ENTRIES)[-2] is None) == (most is None)
     for k, t in enumerate(TEXTS):
         assert got[k] == pytest.approx(figures(logs(t), t), rel=1e-5)
 
@@ -84,11 +89,11 @@ def test_probabilities_add_up_and_levels_nest(model):
     assert all(level[s[1:]] >= n for s, n in level.items() if len(s) > 1)
 
 
-def test_words_out_of_order_score_worse(spark, model):
+def test_words_out_of_order_score_worse(spark):
     text = "winter market silver road music evening letter bridge"
-    train = spark.createDataFrame([(0, "en", f"{text} {text}")] * 4, "fold int, lang string, text string")
+    model = trained(spark, [(0, "en", f"{text} {text}")] * 4)
     rows = [(1, False, "0:en", text), (2, False, "0:en", " ".join(sorted(text.split()))), (3, False, "0:en", "road " * 8)]
-    got = {r.doc_id: r.logp / r.n for r in quality_lm.score(spark.createDataFrame(rows, "doc_id long, trusted boolean, model string, text string"), quality_lm.train(train)).collect()}
+    got = {r.doc_id: r.logp / r.n for r in quality_lm.score(spark.createDataFrame(rows, "doc_id long, trusted boolean, model string, text string"), model).collect()}
     assert got[1] > got[2] + 0.05 and got[1] > got[3] + 0.05
 
 
@@ -102,13 +107,22 @@ def test_long_texts_in_pieces(monkeypatch):
     assert "".join(p[N - 1 :] for p in parts).replace(" ", "") == text.replace(" ", "")
 
 
+def test_counts_of_used_models(spark):
+    top = quality_lm.count(spark.createDataFrame([(0, "en", "ab"), (0, "de", "ab"), (1, "en", "ab"), (0, None, "cd")], "fold int, lang string, text string"))
+    used = spark.createDataFrame([("0:de",), ("0:*",)], "model string")
+    got = {(r.model, r.ctx, r.c): r.n for r in quality_lm.count_for(top, used).collect()}
+    assert {m for m, _, _ in got} == {"0:de", "0:*"}
+    assert got["0:de", "   a", "b"] == 1 and got["0:*", "   a", "b"] == 2 and got["0:*", "   c", "d"] == 1
+
+
 def test_key_table():
     keys = np.random.default_rng(1).integers(1, 1 << 63, 5000).astype(np.uint64)
-    keys[1000:1400] = (np.uint64(5) << np.uint64(24)) + np.arange(400, dtype=np.uint64)  # one place for all
+    inverse = np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    keys[1000:1400] = np.arange(1, 401, dtype=np.uint64) * inverse  # one place for all
     table = quality_lm.KeyTable(keys, np.arange(5000.0))
     found, values = table.look_up(keys)
     assert found.all() and (values == np.arange(5000)).all()
-    assert not table.look_up(keys ^ np.uint64(1 << 23))[0].any()
+    assert not table.look_up(keys ^ np.uint64(1 << 50))[0].any()
     assert not quality_lm.KeyTable(keys[:0], np.zeros(0)).look_up(keys)[0].any()
 
 
