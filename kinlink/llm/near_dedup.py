@@ -4,8 +4,7 @@
    form a class that from then on is represented by its smallest document id.
 2. Bands of the signature are grouped by value. Buckets with the same members are taken once.
 3. Members of a bucket are compared in blocks of bounded size: signatures first, then the full
-   sets. A block reports a head for each of its members, never all pairs of a group. Every class is first compared in the
-   largest of its buckets; the other buckets then only matter where their members have different heads.
+   sets. A block reports a head for each of its members, never all pairs of a group.
 4. Buckets of several blocks go on with heads: one member of each group is compared with those of the others, as long as
    that joins most of them. What then still lies outside the largest group of its bucket is compared with all of the
    bucket, block by block. A group of near copies thus costs rows in proportion to its size; only texts that share a
@@ -25,6 +24,7 @@ with nothing, has a null component and is kept; columns of the input other than
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -239,10 +239,10 @@ def _place(salt: int, blocks: str):
     return F.pmod(F.xxhash64("rep", "key", F.lit(salt)), F.col(blocks)).cast("int")
 
 
-def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, head) of rows (key, b1, b2, side, rep, label), of which each (key, b1, b2) is compared in one place."""
+def _compared(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(key, rep, head) of written rows (key, b1, b2, side, rep, label), of which each (key, b1, b2) is compared in one place."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    grouped = rows.join(sets, "rep").select("key", "b1", "b2", "side", "rep", "label", "sig", "items")
+    grouped = rows.join(sets_of(materialize(rows.select("rep").distinct(), "wanted")), "rep").select("key", "b1", "b2", "side", "rep", "label", "sig", "items")
     grouped = grouped.repartition(parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
     return materialize(grouped.mapInArrow(_linker(percent), "key long, rep long, head long"), "heads")
 
@@ -252,44 +252,38 @@ def _alone(rows: DataFrame, salt: int) -> DataFrame:
     return rows.select("key", _place(salt, "blocks").alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("side"), "rep", "label")
 
 
-def _bucket_heads(members: DataFrame, sets: DataFrame, percent: int, salt: int, made: list[DataFrame], compare_all: bool) -> DataFrame:
-    """(key, rep, n, label) of members (key, rep, n, label, blocks): label is a head of the group that the comparisons of its bucket put it in.
+def _bucket_heads(large: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, made: list[DataFrame]) -> DataFrame:
+    """(key, rep, n, label) of members (key, rep, n) of buckets with several blocks: label is the head of the group they are put in.
 
-    Members of equal labels count as connected from the start. First all members are compared within their blocks (compare_all), or only those of
-    buckets with one block; then buckets of several blocks go on with one head for each group while that joins most of
-    them. Each comparison's (rep, head) is added to made.
+    found: (key, rep, head) of the comparisons within blocks. One head of each group goes on to be compared, while that
+    joins most of them; each comparison's (key, rep, head) is added to made.
     """
-    one = members if compare_all else members.where("blocks = 1")
-    found = _compared(_alone(one, salt), sets, percent)
-    made.append(found)
-    # Members in no comparison yet keep their label.
-    now = members.join(found, ["key", "rep"], "left").select("key", "rep", "n", "blocks", F.coalesce("head", "label").alias("label"))
-    now, before = materialize(now, "labels"), None
+    now, before, salt = materialize(large.join(found, ["key", "rep"]).select("key", "rep", "n", F.col("head").alias("label")), "labels"), None, 0
     while True:
-        large = now.where("blocks > 1").groupBy("key", "label").agg(F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"), F.count("*").alias("members"))
-        several = large.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.sum("members").alias("size")).where("groups > 1")
+        groups = now.groupBy("key", "label").agg(F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"), F.count("*").alias("members"))
+        several = groups.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("total"), F.sum("members").alias("size")).where("groups > 1")
         left = several.agg(F.sum("groups"), F.sum("size")).first()
         if not left[0] or left[0] > WORTH * (before or left[1]):
             return now
         before, salt = left[0], salt + 1
-        heads = large.join(several.select("key", _blocks(F.col("groups"), F.col("total")).alias("blocks")), "key").select("key", "rep", F.col("label"), "blocks")
-        found = _compared(_alone(heads, salt), sets, percent)
-        made.append(found)
-        renamed = heads.select("key", "rep", "label").join(found, ["key", "rep"]).select("key", "label", F.col("head").alias("next"))
-        now = materialize(now.join(renamed, ["key", "label"], "left").select("key", "rep", "n", "blocks", F.coalesce("next", "label").alias("label")), "labels")
+        heads = groups.join(several.select("key", _blocks(F.col("groups"), F.col("total")).alias("blocks")), "key").select("key", "rep", "label", "blocks")
+        again = _compared(materialize(_alone(heads, salt), "asked"), sets_of, percent)
+        made.append(again)
+        renamed = heads.select("key", "rep", "label").join(again, ["key", "rep"]).select("key", "label", F.col("head").alias("next"))
+        now = materialize(now.join(renamed, ["key", "label"], "left").select("key", "rep", "n", F.coalesce("next", "label").alias("label")), "labels")
 
 
-def _rest_of_large(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _rest_of_large(named: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
     """(key, rep, head): whatever is not in the largest group of its bucket of several blocks meets all of the bucket.
 
-    named: key, rep, n, label, blocks.
+    named: key, rep, n, label, of buckets with several blocks.
     """
-    groups = named.where("blocks > 1").groupBy("key", "label").agg(F.count("*").alias("members"))
+    groups = named.groupBy("key", "label").agg(F.count("*").alias("members"))
     several = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("members", "label")).alias("most")).where("groups > 1")
     several = materialize(several.select("key", F.col("most.label").alias("largest")), "several")
     if several.isEmpty():
         return None
-    named = named.drop("blocks").join(several, "key").withColumn("minor", F.col("label") != F.col("largest"))
+    named = named.join(several, "key").withColumn("minor", F.col("label") != F.col("largest"))
     minor_n = F.when(F.col("minor"), F.col("n"))
     counts = named.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.count(minor_n).alias("minors"), F.coalesce(F.sum(minor_n), F.lit(0)).alias("minor_total"))
     plan = counts.select("key", _blocks(F.col("size"), F.col("total")).alias("all_blocks"), _blocks(F.col("minors"), F.col("minor_total")).alias("minor_blocks"))
@@ -297,7 +291,7 @@ def _rest_of_large(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = planned.select("key", _place(0, "all_blocks").alias("b1"), every("minor_blocks").alias("b2"), F.lit(0).alias("side"), "rep", "label")
     two = planned.where("minor").select("key", every("all_blocks").alias("b1"), _place(0, "minor_blocks").alias("b2"), F.lit(1).alias("side"), "rep", "label")
-    return _compared(one.union(two), sets, percent)
+    return _compared(materialize(one.union(two), "asked"), sets_of, percent)
 
 
 def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
@@ -319,24 +313,24 @@ def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
         .agg(F.min("key").alias("key"))
     )
     blocks = _blocks(F.col("size"), F.col("total")).alias("blocks")
-    members = materialize(members.select("key", "rep", "n").join(buckets.select("key", "size", blocks), "key"), "members")
-    # The largest bucket of each class comes first.
-    largest = F.max(F.struct("size", "key", "n", "blocks")).alias("m")
-    home = materialize(members.groupBy("rep").agg(largest).select("rep", "m.key", "m.n", "m.blocks", F.col("rep").alias("label")), "home")
+    members = materialize(members.select("key", "rep", "n").join(buckets.select("key", blocks), "key"), "members")
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = hashed.mapInArrow(_setter(width, _bits(home.select(F.xxhash64("rep").alias("h")), "h")), "rep long, c1 long, c2 long, sig binary, items binary")
-    sets = sets.join(home.select("rep").join(classes.select("rep", "k1", "k2"), "rep"), "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
-    sets, made = materialize(sets, "sets"), []
-    named = _bucket_heads(home, sets, percent, 0, made, True)
-    # Buckets whose members all have one head need no more.
-    labels = named.select("rep", "label")
-    known = materialize(members.join(labels, "rep").select("key", "rep", "n", "blocks", "label"), "known")
-    open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    known = materialize(known.join(open_, "key", "left_semi"), "known")
-    if not known.isEmpty():
-        named = _bucket_heads(known, sets, percent, 100, made, False)
-        if (rest := _rest_of_large(named, sets, percent)) is not None:
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """(rep, sig, items) of some classes, made anew from the texts: nothing of the size of the corpus is written or shuffled."""
+        made = hashed.mapInArrow(_setter(width, _bits(reps.select(F.xxhash64("rep").alias("h")), "h")), "rep long, c1 long, c2 long, sig binary, items binary")
+        return made.join(reps.join(classes.select("rep", "k1", "k2"), "rep"), "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
+
+    made = [_compared(_alone(members.withColumn("label", F.col("rep")), 0), sets_of, percent)]
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        named = _bucket_heads(large, made[0], sets_of, percent, made)
+        if (rest := _rest_of_large(named, sets_of, percent)) is not None:
             made.append(rest)
+    return _pairs(made)
+
+
+def _pairs(made: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, made).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
 
 
