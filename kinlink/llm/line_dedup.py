@@ -8,8 +8,8 @@ texts move once, in the final join, and only where the list of positions is too
 Defined results: a null or empty text is one empty line; rows without a doc_id count together as
 one further document, ranked below all ids; repeated rows (same id and text) are one document and
 all get the same result; a line that occurs several times in the largest document stays
-there every time; columns of the input other than the id and the text pass through untouched,
-except that columns named like the results are replaced.
+there every time; texts of any length are read whole; a text that loses all its lines becomes empty; columns of the input other than
+the id and the text pass through untouched, whatever their names, except that columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -80,20 +80,21 @@ def dedup_lines(
     A line's key (see line_key) of at least min_chars code points found in at least min_docs
     documents is dropped from all but the largest document id that holds it.
     """
-    drops = find_repeated_lines(docs, id_col, text_col, min_chars, min_docs)
-    r1, r2 = row_hashes(docs, id_col, text_col)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    marked = docs.select(*kept, r1.alias("__r1"), r2.alias("__r2"))
-    joined = marked.join(
-        drops.withColumnsRenamed({"r1": "__r1", "r2": "__r2", "drops": "__drops"}), ["__r1", "__r2"], "left"
-    )
-    lines = split_lines(F.col(text_col))
-    left = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__drops"), i))
-    new_text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    # Inner names, so that no column of docs clashes with the ones made here; the text goes through the join as its lines.
+    inner = {c: f"c{k}" for k, c in enumerate(kept)}
+    plain = docs.select(*[F.col(c).alias(n) for c, n in inner.items()])
+    drops = find_repeated_lines(plain, inner[id_col], inner[text_col], min_chars, min_docs)
+    text = F.col(inner[text_col])
+    marked = plain.select(*[c for c in inner.values() if c != inner[text_col]], F.split(text, "\n", -1).alias("lines"), *row_hashes(plain, inner[id_col], inner[text_col]))
+    joined = marked.join(drops, ["r1", "r2"], "left")
+    size = F.greatest(F.size("lines"), F.lit(1))
+    places = F.array_except(F.sequence(F.lit(0), size - 1), F.coalesce("drops", F.array().cast("array<int>")))
+    left = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i)))
     return joined.select(
-        *[new_text.alias(c) if c == text_col else F.col(c) for c in kept],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[(F.array_join(left, "\n") if c == text_col else F.col(n)).alias(c) for c, n in inner.items()],
+        size.cast("long").alias("n_lines"),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
