@@ -23,8 +23,6 @@ STOP_WORDS = (
     "el los y las se del por con no su para lo es"
 ).split()
 
-_POS_BITS = 26  # a text of more than 67 million words would exceed Spark's row limit
-_POS_MASK = (1 << _POS_BITS) - 1
 _SPACE = r"[ \t\n\x0B\f\r]+"
 _SPACE_CHARS = " \t\n\x0b\x0c\r"
 
@@ -65,23 +63,21 @@ def _window_hashes(words: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _covered_words(words: Column, packed: Column) -> Column:
+def _covered_words(words: Column, sorted_windows: Column) -> Column:
     """How many words lie in a three-word window that occurs again in the text.
 
-    packed: the high bits of each window's hash over its position, sorted, so that equal windows
-    are neighbours. Neighbours count only if their words are equal, so hash collisions do no harm.
+    sorted_windows: (hash, place) of each window in order, so that equal windows are neighbours, in the order of their places. Neighbours
+    count only if their words are equal; a window between two equal ones would need all 64 bits of their hash.
     """
 
     def same(p: Column, q: Column) -> Column:
-        a, b = p.bitwiseAND(F.lit(_POS_MASK)).cast("int"), q.bitwiseAND(F.lit(_POS_MASK)).cast("int")
-        equal = F.shiftright(p, _POS_BITS) == F.shiftright(q, _POS_BITS)
+        equal = p["h"] == q["h"]
         for k in range(3):
-            equal = equal & (F.get(words, a + k) == F.get(words, b + k))
+            equal = equal & (F.get(words, p["i"] + k) == F.get(words, q["i"] + k))
         return F.coalesce(equal, F.lit(False))
 
-    twice = F.filter(packed, lambda p, k: same(p, F.get(packed, k - 1)) | same(p, F.get(packed, k + 1)))
-    places = F.transform(twice, lambda p: p.bitwiseAND(F.lit(_POS_MASK)))
-    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
+    twice = F.filter(sorted_windows, lambda p, k: same(p, F.get(sorted_windows, k - 1)) | same(p, F.get(sorted_windows, k + 1)))
+    return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p["i"], p["i"] + 1, p["i"] + 2)))))
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -92,50 +88,37 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"}
     made |= {"mean_word_chars", "symbol_ratio", "stop_word_ratio", "dup_line_ratio"}
-    own = [c for c in docs.columns if c not in made]
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in made}
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # Inner names, so that no column of docs clashes with the ones made here.
     split = docs.select(
-        *own,
-        words_of(F.col(text_col)).alias("__w"),
-        F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(_SPACE_CHARS)) != "").alias("__l"),
+        *[F.col(c).alias(n) for c, n in own.items()],
+        words_of(F.col(text_col)).alias("words"),
+        F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(_SPACE_CHARS)) != "").alias("lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
-    hashed = split.select("*", _window_hashes(F.col("__w")).alias("__h"))
-    packed = hashed.select(
-        *[c for c in hashed.columns if c != "__h"],
-        F.when(
-            F.size(F.array_distinct("__h")) < F.size("__h"),
-            F.sort_array(
-                F.transform(
-                    "__h",
-                    lambda h, i: h.bitwiseAND(F.lit(~_POS_MASK)).bitwiseOR(i.cast("long")),
-                )
-            ),
-        ).alias("__p"),
-    )
-    stop = F.size(F.filter("__w", lambda w: F.lower(w).isin(*STOP_WORDS)))
-    n = F.size("__w").cast("long")
-    counted = packed.select(
-        *own,
+    hashed = split.select("*", _window_hashes(F.col("words")).alias("hashes"))
+    windows = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = hashed.select("*", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), windows).alias("windows")).drop("hashes")
+    stop = F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS)))
+    counted = placed.select(
+        *own.values(),
         "n_symbols",
-        n.alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.size("__l").alias("__lines"),
-        stop.alias("__stop"),
-        F.when(F.col("__p").isNull(), F.lit(0))
-        .otherwise(_covered_words(F.col("__w"), F.col("__p")))
-        .cast("long")
-        .alias("n_repeat_words"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size("lines").alias("n_lines"),
+        stop.alias("n_stop"),
+        F.when(F.col("windows").isNull(), F.lit(0)).otherwise(_covered_words(F.col("words"), F.col("windows"))).cast("long").alias("n_repeat_words"),
     )
     per_word = F.greatest("n_words", F.lit(1))
     return counted.select(
-        *own,
+        *[F.col(n).alias(c) for c, n in own.items()],
         *sorted(made & set(counted.columns)),
         (F.col("word_chars") / per_word).alias("mean_word_chars"),
         (F.col("n_symbols") / per_word).alias("symbol_ratio"),
-        (F.col("__stop") / per_word).alias("stop_word_ratio"),
-        (F.col("n_dup_lines") / F.greatest("__lines", F.lit(1))).alias("dup_line_ratio"),
+        (F.col("n_stop") / per_word).alias("stop_word_ratio"),
+        (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_ratio"),
     )
 
 
