@@ -72,6 +72,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.ORACLE,
         "op4_near_dedup": near_dedup.ORACLE,
+        "op6_warc": warc.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
         "op9_html_extract": html_extract.ORACLE,

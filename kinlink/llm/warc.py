@@ -1,8 +1,8 @@
 """WARC archives written from and read back into a chunked record table.
 
 A record is a run of rows with one record identifier and rising chunk numbers, so no task ever holds
-an oversized payload twice, in one piece or in a Python object of its own: writers compress chunk by
-chunk, and readers inflate chunk by chunk, carrying the SHA-1 and the length of what went before.
+an oversized payload in a Python object of its own: writers compress chunk by chunk and readers inflate chunk by chunk, both
+carrying the SHA-1 and the length of what went before, and both comparing them with what the record states at its last chunk.
 
 Archives are gzip files with a member for each record, in the shared folder. Each task attempt writes a file
 of its own under a temporary name and renames it when it is whole; only files in the manifest count,
@@ -10,8 +10,9 @@ so lost and repeated attempts leave no trace in the results.
 
 Defined results: a null html is an empty payload; a null url gives no target URI; of equal payloads of at
 least min_bytes, all rows with the smallest page_id are responses (repeated rows share it) and the
-others revisits; rows without a page_id never are that response if another has an id, and revisit it; an empty table
-gives no archive and no rows.
+others revisits; rows without a page_id never are that response if another has an id, and revisit it; repeated rows make a record
+each, with the same record identifier; payloads of any length are taken whole; columns of the input other than page_id, url and html are
+not read, whatever their names; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 import io
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,6 @@ from pyspark.sql.types import StructType
 from kinlink.llm.workdir import bound_batches, fresh_folder, materialize
 
 CHUNK_BYTES = 256 << 10
-DATE = "2024-01-01T00:00:00Z"
 CHUNKS = (
     "archive string, record long, chunk long, is_last boolean, record_type string, page_id long, target_uri string, "
     "refers_to long, data binary, bytes_so_far long, digest_so_far string, payload_bytes long, payload_digest string"
@@ -72,12 +73,12 @@ def _one_line(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8")) for c in value)
 
 
-def record_head(page_id: int | None, url: str | None, n_bytes: int, sha1: str, refers_to: int | None) -> bytes:
-    """The WARC header and the HTTP header that precede a payload."""
+def record_head(page_id: int | None, url: str | None, n_bytes: int, sha1: str, refers_to: int | None, date: str = "") -> bytes:
+    """The WARC header and the HTTP header that precede a payload. date: when the record is written; empty for now."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     revisit = refers_to is not None
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
-    lines += [f"WARC-Date: {DATE}", "Content-Type: application/http; msgtype=response"]
+    lines += [f"WARC-Date: {date or datetime.now(UTC).strftime('%Y-%m-%dT%H:%M:%SZ')}", "Content-Type: application/http; msgtype=response"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_one_line(url)}")
     if revisit:
@@ -103,11 +104,15 @@ def _writer(folder: str):
                 if out is None:
                     out = where.open_output_stream(name + ".part", compression=None)
                 if row["chunk"] == 0:
-                    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+                    packer, digest, so_far = zlib.compressobj(3, zlib.DEFLATED, 31), hashlib.sha1(), 0
                     out.write(packer.compress(record_head(*(row[c] for c in ("page_id", "url", "n_bytes", "sha1", "refers_to")))))
                     records += 1
                 out.write(packer.compress(row["data"]))
+                digest.update(row["data"])
+                so_far += len(row["data"])
                 if row["chunk"] == row["last"]:
+                    if row["refers_to"] is None and (so_far, digest.hexdigest()) != (row["n_bytes"], row["sha1"]):
+                        raise ValueError(f"page {row['page_id']}: the chunks do not make the payload")
                     out.write(packer.compress(b"\r\n\r\n"))
                     out.write(packer.flush())
         if out is not None:
@@ -203,11 +208,34 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
     return files.mapInArrow(_reader(chunk_bytes, with_data), CHUNKS)
 
 
+def _joiner(batches):
+    """Whole texts of chunks that come in order, each put together once."""
+    import pyarrow as pa
+
+    now, parts = None, []
+    names = ("archive", "record", "page_id")
+
+    def done():
+        columns = [pa.array([v], t) for v, t in zip(now, (pa.string(), pa.int64(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([b"".join(parts).decode("utf-8")], pa.string())], names=[*names, "html"])
+
+    for batch in batches:
+        for *key, data in zip(*(batch.column(c).to_pylist() for c in (*names, "data")), strict=True):
+            if key != now:
+                if now is not None:
+                    yield done()
+                now, parts = key, []
+            parts.append(data)
+    if now is not None:
+        yield done()
+
+
 def payload_texts(chunks: DataFrame) -> DataFrame:
-    """archive, record, page_id, html of response records, joined from their chunks."""
-    parts = chunks.where("record_type = 'response'").groupBy("archive", "record", "page_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "data"))).alias("c"))
-    whole = F.aggregate("c", F.encode(F.lit(""), "UTF-8"), lambda a, x: F.concat(a, x["data"]))
-    return parts.select("archive", "record", "page_id", F.decode(whole, "UTF-8").alias("html"))
+    """archive, record, page_id, html of response records, joined from their chunks: for texts that fit a row."""
+    mine = chunks.where("record_type = 'response'").select("archive", "record", "page_id", "chunk", "data")
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    ordered = bound_batches(mine).repartition(parts, "archive", "record").sortWithinPartitions("archive", "record", "chunk")
+    return ordered.mapInArrow(_joiner, "archive string, record long, page_id long, html string")
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:
@@ -215,3 +243,18 @@ def warc_digest(pages: DataFrame) -> DataFrame:
     folder = fresh_folder(pages.sparkSession, "warc")
     chunks = read_archives(write_archives(pages, folder), with_data=False)
     return chunks.where("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+), d AS (
+  SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(sha1(h), g * 5 + 1, 5) AS BIGINT)) AS fives FROM p
+)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM d
+"""

@@ -34,6 +34,29 @@ def test_round_trip(spark):
     assert got == brute(ROWS)
 
 
+def test_query_against_sql(spark):
+    import duckdb
+
+    pages = spark.createDataFrame(ROWS, PAGE)
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    got = sorted(map(tuple, warc.warc_digest(pages).collect()), key=str)
+    assert got == sorted(con.sql(warc.ORACLE).fetchall(), key=str)
+
+
+def test_writers_check_their_chunks(spark):
+    rows = warc.chunk_table(warc.classify(spark.createDataFrame([(1, "u", "abc" * 900)], PAGE)), 1000)
+    batch = rows.toArrow().to_batches()
+    wrong = rows.withColumn("sha1", F.lit("0" * 40)).mapInArrow(warc._writer(fresh_folder(spark, "w")), "archive string, records long")
+    assert sum(b.num_rows for b in batch) == 3
+    try:
+        wrong.collect()
+    except Exception as e:
+        assert "do not make the payload" in str(e)
+    else:
+        raise AssertionError("damage went unnoticed")
+
+
 def test_chunks_carry_digests(spark):
     pages = spark.createDataFrame(ROWS, PAGE)
     manifest = warc.write_archives(pages, fresh_folder(spark, "w"), chunk_bytes=1000)
