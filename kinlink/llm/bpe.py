@@ -5,7 +5,7 @@ because every merge makes a token. Such pairs are certain cuts: the fragments be
 independently, and their ids concatenated. A word's last byte is a symbol of its own (the vocabulary
 marks word ends), and no symbol follows it inside a token, so words are fragments at least.
 
-The tokenizer file is read by each worker from a path that is a parameter.
+The tokenizer file, whose path is a parameter, is read by the driver and broadcast; it may have MAX_FILE bytes.
 
 Defined results: a null text is encoded like an empty one, to no ids; the strings of the special
 tokens become their ids, wherever they stand; columns named like the outputs are replaced; rows
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from kinlink.llm.workdir import bound_batches
 
 DEFAULT_FILE = "word_bpe_49k.json"
+MAX_FILE = 64 << 20
 CACHE_WORDS = 250_000
 OUTPUTS = {
     "n_tokens": T.LongType(),
@@ -69,9 +70,8 @@ def _latin_classes() -> tuple[str, str]:
 class WordCodec:
     """Encoder and decoder of one vocabulary with marked word ends."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
         model = spec["model"]
         self._check(spec, model)
         vocab = model["vocab"]
@@ -190,12 +190,24 @@ class _WordCache(dict):
         return ids
 
 
+def read_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        file = f.read(MAX_FILE + 1)
+    if len(file) > MAX_FILE:
+        raise ValueError(f"{path} has more than {MAX_FILE} bytes")
+    return file
+
+
 def codec(path: str) -> WordCodec:
-    """The codec of a file, read once in each worker process."""
+    return WordCodec(read_file(path))
+
+
+def _kept_codec(name: str, shared) -> WordCodec:
+    """The codec of a broadcast file, made once in each worker process."""
     kept = sys.modules.setdefault("_kinlink_codecs", types.ModuleType("_kinlink_codecs")).__dict__
-    if path not in kept:
-        kept[path] = WordCodec(path)
-    return kept[path]
+    if name not in kept:
+        kept[name] = WordCodec(shared.value)
+    return kept[name]
 
 
 def encode_documents(
@@ -206,20 +218,22 @@ def encode_documents(
     path: str | None = None,
 ) -> DataFrame:
     """The kept columns (None: all) and the chosen OUTPUTS of each row's text, encoded and decoded again."""
-    path = path or default_path()
+    file = read_file(path or default_path())
+    name, shared = hashlib.sha256(file).hexdigest(), docs.sparkSession.sparkContext.broadcast(file)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
-    source = bound_batches(docs).select(*kept, docs[text_col].cast("string").alias("__text"))
+    # The last column is the text; in Python columns go by place, whatever their names.
+    source = bound_batches(docs).select(*[docs[c].alias(f"c{k}") for k, c in enumerate(kept)], docs[text_col].cast("string").alias("text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
 
     def run(batches):
         import pyarrow as pa
 
-        words = codec(path)
+        words = _kept_codec(name, shared)
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [words.encode(t) for t in batch.column("__text").to_pylist()]
+                ids = [words.encode(t) for t in batch.column(len(kept)).to_pylist()]
                 made = {"n_tokens": [len(x) // 4 for x in ids]} if "n_tokens" in outputs else {}
                 if "ids" in outputs:
                     made["ids"] = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
@@ -230,7 +244,7 @@ def encode_documents(
                     made["decoded"] = texts
                     made["decoded_sha256"] = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in kept] + [pa.array(made[o], type=kinds.get(o, pa.string())) for o in outputs],
+                    batch.columns[: len(kept)] + [pa.array(made[o], type=kinds.get(o, pa.string())) for o in outputs],
                     names=[*kept, *outputs],
                 )
 
