@@ -434,12 +434,15 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     Common words are broadcast. The others are written with the columns of docs, joined with the whole tables as distinct words,
     and their votes joined with the rows, so nothing that is broadcast or held grows with the input.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
+    names = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
     if not model.langs:
-        return docs.select(*kept).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    names, logs = model.common
-    shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((names, _votes(logs) if len(logs) else logs))
-    source = bound_batches(docs).select(*kept, docs[text_col].cast("string").alias("__text"))
+        return docs.select(*names).withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    # Inner names, so that no column of docs clashes with the ones made here.
+    kept = [f"c{k}" for k in range(len(names))]
+    docs = docs.select(*[docs[c].alias(k) for c, k in zip(names, kept, strict=True)], docs[text_col].cast("string").alias("__text"))
+    common, logs = model.common
+    shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((common, _votes(logs) if len(logs) else logs))
+    source = bound_batches(docs)
     fields = [docs.schema[c] for c in kept]
     first = T.StructType([*fields, *T._parse_datatype_string("__some boolean, __sums binary, __rare array<string>, __ns array<long>").fields])
     partial = source.mapInArrow(_sum_common(shared, kept, len(model.langs)), first)
@@ -448,7 +451,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     votes = _rare_votes(rare.select("word").distinct(), model)
     summed = rare.join(votes, "word").groupBy("__row").agg(F.collect_list("n").alias("__n"), F.collect_list("votes").alias("__votes"))
     whole = partial.drop("__rare", "__ns").join(summed, "__row", "left").select(*kept, "__some", "__sums", "__n", "__votes")
-    return whole.mapInArrow(_decide(kept, model.langs), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    made = whole.mapInArrow(_decide(kept, model.langs), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return made.toDF(*names, "lang_pred", "score")
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):

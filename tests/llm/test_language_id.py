@@ -86,7 +86,8 @@ def test_words_keep_combining_marks():
 
 def test_filter_keeps_columns(spark):
     texts, langs = corpus(12)
-    docs = documents(spark, [*texts, (90, "123")], langs).withColumns({"score": F.lit("mine"), "lang_pred": F.lit(3)})
+    docs = documents(spark, [*texts, (90, "123")], langs).withColumns({"score": F.lit("mine"), "lang_pred": F.lit(3), "__text": F.lit(4), "__row": F.lit(5), "c0": F.lit(6)})
+    assert set(language_id.predict_languages(docs, language_id.train(docs)).columns) == set(docs.columns)
     kept = language_id.keep_identified(docs, language_id.train(docs))
     assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {"mine"}
     assert sorted(r.doc_id for r in kept.collect()) == list(range(12))
