@@ -243,24 +243,45 @@ def macro_at(pairs: DataFrame, threshold: float) -> float:
     return each.agg(F.avg(entity_f(F.col("tp"), F.col("fp"), F.col("fn")))).first()[0] or 0.0
 
 
+def _weighted_sums(n_boot: int):
+    """Per replicate the sums of weight times value and of weights over a task's rows (h, v): a thousand rows out, however many in."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        # Where a uniform number lies among these says how often a row is drawn: Poisson with mean one.
+        steps = np.cumsum([0.36787944117144233 / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(9)])
+        salts = np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums = np.zeros((2, n_boot))
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                hashes, values = batch.column("h").to_numpy().view(np.uint64), batch.column("v").to_numpy()
+                for at in range(0, len(hashes), 1024):
+                    x = hashes[at : at + 1024, None] + salts
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+                    drawn = np.searchsorted(steps, uniform, side="right").astype(float)
+                    sums += values[at : at + 1024] @ drawn, drawn.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, n_boot + 1)), pa.array(sums[0]), pa.array(sums[1])], names=["b", "wv", "w"])
+
+    return run
+
+
 def bootstrap_ci(values: DataFrame, column: str = "f05", n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: point, low, high, n. A percentile interval of the mean; anchors are resampled with Poisson weights.
 
-    The weights come from hashes of (seed, replicate, s1_id), so results do not depend on partitions. Sums are made
-    for all replicates at once, before the shuffle.
+    The weights come from hashes of (seed, replicate, s1_id), so results do not depend on partitions. Each task sums all
+    replicates over its rows, so only sums are shuffled. Null values count for nothing.
     """
-    rows = values.select("s1_id", F.col(column).cast("double").alias("v"))
+    rows = values.select("s1_id", F.col(column).cast("double").alias("v")).where("v is not null")
     point = rows.agg(F.avg("v").alias("point"), F.count("*").alias("n"))
     if n_boot <= 0:
         return point.select("point", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "n")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "b", "s1_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        weight = weight + (u > total).cast("int")
-        term /= k
-    reps = rows.select("s1_id", "v", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")).withColumn("w", weight)
-    means = reps.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    hashed = rows.select(F.xxhash64(F.lit(seed), F.lit("b"), "s1_id").alias("h"), "v")
+    sums = hashed.mapInArrow(_weighted_sums(n_boot), "b long, wv double, w double")
+    means = sums.groupBy("b").agg((F.sum("wv") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     tail = (1 - level) / 2
     bounds = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return point.withColumn("k", F.lit(1)).join(bounds.withColumn("k", F.lit(1)), "k").select("point", "low", "high", "n")

@@ -38,17 +38,26 @@ def match_counts(n: int, rng: random.Random) -> list[int]:
     return out
 
 
-def to_devanagari(text: str) -> str:
-    """A plain rendering of Latin letters in Devanagari."""
-    consonants = dict(zip("kgcjtdnpbmyrlvshqfwxz", "कगचजतदनपबमयरलवसहकफवक्षज".replace("्ष", ""), strict=False))
-    signs, vowels = dict(zip("aeiou", ("", "े", "ि", "ो", "ु"), strict=True)), dict(zip("aeiou", "अएइओउ", strict=True))
-    out, after = [], False
+#: Places of letters in the block of a script, all of which have one layout: consonants, and vowels alone and behind a consonant (0: none).
+CONSONANTS = {
+    "b": 0x2C, "c": 0x1A, "d": 0x26, "f": 0x2B, "g": 0x17, "h": 0x39, "j": 0x1C, "k": 0x15, "l": 0x32, "m": 0x2E, "n": 0x28, "p": 0x2A, "q": 0x15,
+    "r": 0x30, "s": 0x38, "t": 0x24, "v": 0x35, "w": 0x35, "x": 0x36, "y": 0x2F, "z": 0x1C,
+}
+VOWELS = {"a": (0x05, 0), "e": (0x0F, 0x47), "i": (0x07, 0x3F), "o": (0x13, 0x4B), "u": (0x09, 0x41)}
+SCRIPTS = {"Devanagari": 0x0900, "Telugu": 0x0C00}
+VIRAMA = 0x4D
+
+
+def to_script(text: str, script: str) -> str:
+    """A plain rendering of Latin letters in a script; consonants in a row are joined by a virama."""
+    first, out, after = SCRIPTS[script], [], False
     for c in text.lower():
-        if c in signs:
-            out.append(signs[c] if after else vowels[c])
+        if c in VOWELS:
+            place = VOWELS[c][after]
+            out.append(chr(first + place) if place else "")
             after = False
-        elif c in consonants:
-            out.append(("्" if after else "") + consonants[c])
+        elif c in CONSONANTS:
+            out.append((chr(first + VIRAMA) if after else "") + chr(first + CONSONANTS[c]))
             after = True
         else:
             out.append(c)
@@ -82,35 +91,59 @@ def noisy_address(address: str, rng: random.Random) -> str:
     return address
 
 
-def generate(n: int, seed: int = 42, mix: dict | None = None, blank: float = 0.03, shared: float = 0.47, script: float = 0.227, first_id: int = 0) -> dict[str, list[tuple]]:
-    """s1, s2, s3 as (entity_id, business_name, business_address, country) and truth as (s1 id, comma list)."""
+def shared_names(countries: list[str], share: float, rng: random.Random, fresh) -> list[str]:
+    """A name for each anchor: about `share` of a country's anchors stand in clusters of two or three with one name."""
+    names = [""] * len(countries)
+    for country in sorted(set(countries)):
+        mine = [k for k, c in enumerate(countries) if c == country]
+        rng.shuffle(mine)
+        clustered, at = round(share * len(mine)), 0
+        while at < len(mine):
+            size = min(rng.randint(2, 3), clustered - at) if clustered - at >= 2 else 1
+            name = fresh()
+            for k in mine[at : at + size]:
+                names[k] = name
+            at += size
+    return names
+
+
+def generate(n: int, seed: int = 42, mix: dict | None = None, blank: float = 0.03, shared: float = 0.47, script: float = 0.227, first_id: int = 0, decoys: tuple[float, float, float] = (0.25, 0.15, 0.35)) -> dict[str, list[tuple]]:
+    """s1, s2, s3 as (entity_id, business_name, business_address, country) and truth as (s1 id, comma list).
+
+    decoys: for each anchor the chance of a record with its name elsewhere, of one with its address and another name, and of one that has nothing to do
+    with any anchor.
+    """
     rng = random.Random(seed)
     countries = [c for c, k in largest_remainder(n, mix or TRAIN_MIX).items() for _ in range(k)]
     rng.shuffle(countries)
     word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 3))).title()
+    business = lambda: f"{word()} {word()} {rng.choice(('Traders', 'Foods', 'Systems', 'and Sons'))}"
+    street = lambda number, country: f"{number} {rng.choice(STREETS[country])}, {rng.choice(CITIES[country])}"
     out: dict[str, list[tuple]] = {"s1": [], "s2": [], "s3": [], "truth": []}
-    made, names = 0, {}
+    made = 0
+
+    def record(name: str, address: str, country: str) -> str:
+        nonlocal made
+        side, made = ("s2" if rng.random() < 0.5 else "s3"), made + 1
+        entity = f"{side.upper()}-{500000 + first_id * 10 + made}"
+        shown = noisy_name(name, SUFFIXES[country], rng)
+        if country == "India" and rng.random() < script:
+            shown = to_script(shown, rng.choice(sorted(SCRIPTS)))
+        out[side].append((entity, shown, "" if rng.random() < blank else address, country))
+        return entity
+
+    names = shared_names(countries, shared, rng, business)
     for k, (country, matches) in enumerate(zip(countries, match_counts(n, rng), strict=True)):
-        known = names.setdefault(country, [])
-        name = rng.choice(known) if known and rng.random() < shared else f"{word()} {word()} {rng.choice(('Traders', 'Foods', 'Systems', 'and Sons'))}"
-        known.append(name)
-        address = f"{10 + 7 * k} {rng.choice(STREETS[country])}, {rng.choice(CITIES[country])}"
-        s1 = f"S1-{100000 + first_id + k}"
-        out["s1"].append((s1, f"{name} {rng.choice(SUFFIXES[country])}".strip(), address, country))
-        ids = []
-        decoys = (rng.random() < 0.25) + (rng.random() < 0.15)
-        for j in range(matches + decoys):
-            side, made = ("s2" if rng.random() < 0.5 else "s3"), made + 1
-            entity = f"{side.upper()}-{500000 + first_id * 10 + made}"
-            shown, place = noisy_name(name, SUFFIXES[country], rng), noisy_address(address, rng)
-            if j >= matches:  # the same name elsewhere
-                place = f"{9000 + made} {rng.choice(STREETS[country])}, {rng.choice(CITIES[country])}"
-            else:
-                ids.append(entity)
-            if country == "India" and rng.random() < script:
-                shown = to_devanagari(shown)
-            out[side].append((entity, shown, "" if rng.random() < blank else place, country))
+        address, s1 = street(10 + 7 * k, country), f"S1-{100000 + first_id + k}"
+        out["s1"].append((s1, f"{names[k]} {rng.choice(SUFFIXES[country])}".strip(), address, country))
+        ids = [record(names[k], noisy_address(address, rng), country) for _ in range(matches)]
         out["truth"].append((s1, ",".join(sorted(ids))))
+        if rng.random() < decoys[0]:
+            record(names[k], street(9000 + made, country), country)
+        if rng.random() < decoys[1]:
+            record(business(), address, country)
+        if rng.random() < decoys[2]:
+            record(business(), street(50_000 + made, country), country)
     return out
 
 

@@ -21,12 +21,19 @@ def link_batch(anchors: DataFrame, batch: DataFrame) -> DataFrame:
     return blocking.distinct_pairs(blocking.key_legs(anchors, apply_normalization(batch)))
 
 
+def latest_rows(batch: DataFrame) -> DataFrame:
+    """The last row of each entity, in the order in which the batch is read."""
+    others = [c for c in batch.columns if c != "entity_id"]
+    numbered = batch.withColumn("_n", F.monotonically_increasing_id())
+    last = numbered.groupBy("entity_id").agg(F.max_by(F.struct(*others), "_n").alias("_row"))
+    return last.select("entity_id", *[F.col("_row")[c].alias(c) for c in others])
+
+
 def start_linking(arrivals: DataFrame, anchors: DataFrame, out_dir: str, checkpoint: str, link: Callable[[DataFrame, DataFrame], DataFrame] = link_batch) -> StreamingQuery:
     """arrivals: a stream of raw gallery records; anchors: normalised. Results go to out_dir/batch=N."""
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("entity_id").agg(*[F.last(c, True).alias(c) for c in batch.columns if c != "entity_id"])
-        link(anchors, latest).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        link(anchors, latest_rows(batch)).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
