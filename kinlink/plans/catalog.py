@@ -510,6 +510,53 @@ def er_pivot_clusters(spark, sf_dir):
     return clusters.pivots(scored(spark, sf_dir).where("p >= 0.6"))
 
 
+_SORTED = lambda e: f"array_to_string(list_sort({_W(e)}), ' ')"
+
+
+def _ratio_sql(kind: str) -> str:
+    """Ratios of the distinct pairs of texts, and of their sorted words, by bits."""
+    both = ", ".join(f"{_SORTED(e) if kind == 'sort' else e} as {e}" for e in ("na", "nb", "aa", "ab"))
+    made = "select x, y, " + oracle.ratio("x", "y") + " as r from (select distinct {0}a as x, {0}b as y from t)"
+    return C + f", t as (select s1_id, cand_id, {both} from paired), n as ({made.format('n')}), m as ({made.format('a')}) select s1_id, cand_id, round(n.r, 6) as name_ratio, round(m.r, 6) as addr_ratio from t join n on n.x = na and n.y = nb join m on m.x = aa and m.y = ab"
+
+
+def _ratios(kind: str) -> Query:
+    def run(spark, sf_dir):
+        f = fuzzy.token_sort_ratio_column if kind == "sort" else fuzzy.ratio_column
+        made = [F.round(f(F.col(f"a.{part}"), F.col(f"b.{part}")), 6).alias(f"{part}_ratio") for part in ("name", "addr")]
+        return paired(spark, sf_dir).select("s1_id", "cand_id", *made)
+
+    run.__name__ = f"er_feat_{kind}_ratio"
+    return run
+
+
+for _kind in ("whole", "sort"):
+    query(_ratio_sql(_kind))(_ratios(_kind))
+
+
+def _weighted_sql() -> str:
+    """Weighted ratios of pairs of like length, as all pairs of the views are: no partial ratios enter."""
+    words = "list_sort(list_distinct(" + _W("{0}") + "))"
+    parts = (
+        ", d{0} as (select *, array_to_string(list_filter(wx, lambda w: list_contains(wy, w)), ' ') as c, array_to_string(list_filter(wx, lambda w: not list_contains(wy, w)), ' ') as ox, array_to_string(list_filter(wy, lambda w: not list_contains(wx, w)), ' ') as oy,"
+        + " {1} as sx, {2} as sy from (select *, {3} as wx, {4} as wy from (select distinct {0}a as x, {0}b as y from paired))), e{0} as (select *, trim(c || ' ' || ox) as l, trim(c || ' ' || oy) as r from d{0}),"
+        + " s{0} as (select x, y, case when x = '' or y = '' then 0.0 else greatest({5}, 0.95 * {6}, 0.95 * case when len(wx) = 0 or len(wy) = 0 then 0.0 when c <> '' and (ox = '' or oy = '') then 1.0"
+        + " else greatest({7}, case when c <> '' then greatest(2 * length(c) / (length(c) + length(l)), 2 * length(c) / (length(c) + length(r))) else 0.0 end) end) end as w from e{0})"
+    )
+    made = "".join(
+        parts.format(k, _SORTED("x"), _SORTED("y"), words.format("x"), words.format("y"), oracle.ratio("x", "y"), oracle.ratio("sx", "sy"), oracle.ratio("l", "r")) for k in ("n", "a")
+    )
+    return C + made + " select s1_id, cand_id, round(n.w, 6) as name_weighted, round(a.w, 6) as addr_weighted, round((n.w + a.w) / 2, 6) as weighted_avg, round(greatest(n.w, a.w), 6) as weighted_max, round(least(n.w, a.w), 6) as weighted_min from paired join sn n on n.x = na and n.y = nb join sa a on a.x = aa and a.y = ab"
+
+
+@query(_weighted_sql())
+def er_feat_weighted_ratio(spark, sf_dir):
+    one = lambda part: fuzzy.ratios_column(F.col(f"a.{part}"), F.col(f"b.{part}"))["weighted"]
+    made = paired(spark, sf_dir).select("s1_id", "cand_id", one("name").alias("name_weighted"), one("addr").alias("addr_weighted"))
+    n, a = F.col("name_weighted"), F.col("addr_weighted")
+    return rounded(made.withColumns({"weighted_avg": (n + a) / 2, "weighted_max": F.greatest(n, a), "weighted_min": F.least(n, a)}))
+
+
 @query()
 def er_features_all(spark, sf_dir):
     a, g = clean(spark, sf_dir)

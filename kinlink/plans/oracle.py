@@ -50,6 +50,18 @@ def jaccard(a: str, b: str) -> str:
     return f"(({both}) / greatest(len(list_distinct({a})) + len(list_distinct({b})) - ({both}), 1))"
 
 
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence, by bits: one step for each letter of b. a may have 120 letters."""
+    full = f"((1::hugeint << length({a})) - 1)"
+    here = f"coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: case when substr({a}, i, 1) = substr({b}, k::integer, 1) then 1::hugeint << (i - 1) else 0::hugeint end)), 0)::hugeint"
+    step = f"((v + (v & {here})) | (v - (v & {here}))) & {full}"
+    return f"(case when length({a}) = 0 or length({b}) = 0 then 0 else length({a}) - bit_count(list_reduce(range(1, length({b}) + 1)::hugeint[], lambda v, k: {step}, {full})) end)"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"(case when length({a}) + length({b}) = 0 then 1.0 else 2 * {lcs(a, b)} / (length({a}) + length({b})) end)"
+
+
 _CLEAN = f"entity_id, business_name, business_address, country, {clean_name('business_name')} as n, {clean_address('business_address')} as a, lower(trim(coalesce(country, ''))) as c"
 
 BASE = f"""

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinlink.functions.text import apply_normalization
+
 RECORDS = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 PREFIXES = {"S1": "S1-", "S2": "S2-", "S3": "S3-"}
 
@@ -39,13 +41,18 @@ def load_test_data(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
     return {f"s{k}": read_records(spark, f"{base}_source{k}.tsv") for k in (1, 2, 3)}
 
 
-def load_frames(spark: SparkSession, data_dir: str, split: str) -> dict[str, DataFrame]:
-    """s1, gallery and truth (long, where there is one) of a root or leaf folder; missing fields are empty strings."""
+def load_frames(spark: SparkSession, data_dir: str, split: str, normalise: bool = False) -> dict[str, DataFrame]:
+    """s1, gallery and truth (long, where there is one) of a root or leaf folder; missing fields are empty strings.
+
+    normalise: with the clean columns of names, addresses and countries beside the raw ones.
+    """
     leaf = spark._jvm.org.apache.hadoop.fs.Path(f"{data_dir}/dataset/{split}")
     exists = leaf.getFileSystem(spark._jsc.hadoopConfiguration()).exists(leaf)
     base = f"{data_dir}/dataset/{split}/{split}" if exists else f"{data_dir}/{split}"
     s1, s2, s3 = (read_records(spark, f"{base}_source{k}.tsv").na.fill("") for k in (1, 2, 3))
     out = {"s1": s1, "gallery": combine_sources(s2, s3)}
+    if normalise:
+        out = {name: apply_normalization(df) for name, df in out.items()}
     if split == "train":
         out["truth"] = truth_long(read_tsv(spark, f"{base}_ground_truth.tsv", list_schema("matched_entity_ids")))
     return out
@@ -118,9 +125,9 @@ def profile(df: DataFrame) -> DataFrame:
     return stats.select("rows", F.explode("s").alias("s")).select("s.column", "rows", "s.nulls")
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """One ordered file with a header; empty strings and nulls are written as nothing."""
-    df.coalesce(1).write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="").csv(path)
+def write_tsv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """One ordered file with a header, or one for each partition, in their order; empty strings and nulls are written as nothing."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="").csv(path)
 
 
 def match_lists(selected: DataFrame, roster: DataFrame, value: str = "matched_entity_ids") -> DataFrame:
