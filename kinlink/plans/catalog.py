@@ -814,7 +814,7 @@ def er_feature_evidence(spark, sf_dir):
     B
     + """, m as (select entity_id, business_name, count(cand_id) as n, count(*) over (partition by business_name) as same from s1 left join truth_long on s1_id = entity_id group by 1, 2),
 l as (select count(*) as n_s1, round(100 * avg(cast(n >= 2 as integer)), 2) as multi_match_pct, round(100 * avg(cast(n = 0 as integer)), 2) as singleton_pct, round(avg(n), 4) as mean_matches, max(n) as max_matches, sum(n)::bigint as total_matches, round(100 * avg(cast(same > 1 as integer)), 2) as shared_name_pct from m)
-select l.*, n_gallery, blank_gallery_addr_pct, indic_name_pct_gallery from l, (select count(*) as n_gallery, round(100 * avg(cast(trim(coalesce(business_address, '')) = '' as integer)), 2) as blank_gallery_addr_pct, 0.0 as indic_name_pct_gallery from gallery)"""
+select l.*, n_gallery, blank_gallery_addr_pct, indic_name_pct_gallery from l, (select count(*) as n_gallery, round(100 * avg(cast(trim(coalesce(business_address, '')) = '' as integer)), 2) as blank_gallery_addr_pct, 0.0::double as indic_name_pct_gallery from gallery)"""
 )
 def er_split_statistics(spark, sf_dir):
     return metrics.split_statistics(views.s1(spark, sf_dir), views.gallery(spark, sf_dir), truth_pairs(spark, sf_dir))
