@@ -17,15 +17,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-import types
 import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kinlink.llm.workdir import bound_batches
+from kinlink.llm.workdir import bound_batches, held, trimmed
 
 DEFAULT_FILE = "word_bpe_49k.json"
 MAX_FILE = 64 << 20
@@ -202,14 +200,6 @@ def codec(path: str) -> WordCodec:
     return WordCodec(read_file(path))
 
 
-def _kept_codec(name: str, shared) -> WordCodec:
-    """The codec of a broadcast file, made once in each worker process."""
-    kept = sys.modules.setdefault("_kinlink_codecs", types.ModuleType("_kinlink_codecs")).__dict__
-    if name not in kept:
-        kept[name] = WordCodec(shared.value)
-    return kept[name]
-
-
 def encode_documents(
     docs: DataFrame,
     text_col: str = "text",
@@ -228,7 +218,7 @@ def encode_documents(
     def run(batches):
         import pyarrow as pa
 
-        words = _kept_codec(name, shared)
+        words = held(name, lambda: WordCodec(shared.value))
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -248,7 +238,7 @@ def encode_documents(
                     names=[*kept, *outputs],
                 )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:

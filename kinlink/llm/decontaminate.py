@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm import bitmap, textkit
-from kinlink.llm.workdir import bound_batches, materialize
+from kinlink.llm.workdir import bound_batches, materialize, trimmed
 
 #: Fixed masks, 1 for a position that counts, by the least number of words of the items that have them.
 MASKS = {1: ("1",), 2: ("11",), 3: ("111", "1101", "1011"), 13: ("11111", "1101011", "110010101", "1010011001")}
@@ -207,7 +207,7 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int, percent: in
     bits = spark.sparkContext.broadcast(bitmap.build(item_seeds, "seed", n_bits))
     # A row's number only tells rows with equal ids apart; it is fixed once the regions are written.
     numbered = docs.select("doc_id", "key", "text", F.monotonically_increasing_id().alias("row"))
-    regions = materialize(numbered.mapInArrow(_region_finder(bits, sorted(r.kind for r in kinds)), REGION), "regions")
+    regions = materialize(numbered.mapInArrow(trimmed(_region_finder(bits, sorted(r.kind for r in kinds))), REGION), "regions")
     region_seeds = regions.select("row", "start", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select(
         "row", "start", F.col("s.seeds").alias("seed"), F.col("s.at").alias("doc_at")
     )

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import sys
-import types
 import unicodedata
 import uuid
 from collections import Counter
@@ -30,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinlink.llm import textkit
-from kinlink.llm.workdir import bound_batches, materialize
+from kinlink.llm.workdir import bound_batches, held, materialize, trimmed
 
-MAX_WORDS = 100_000  # of each language are broadcast; the others are joined
+MAX_WORDS = 50_000  # of each language are broadcast; the others are joined
 COMMON_VALUES = 8_000_000  # most numbers broadcast for them; with many languages fewer words are
 PACK_VALUES = 4_000_000
 BROADCAST_TEXTS = 1_000_000
@@ -274,9 +273,9 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
     """Count words and n-grams of all rows with a language and a text."""
     known = bound_batches(rows).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    words = known.mapInArrow(_count_words(), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = known.mapInArrow(trimmed(_count_words()), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "words")
-    grams = words.mapInArrow(_count_grams(), "lang string, size int, gram string, n long")
+    grams = words.mapInArrow(trimmed(_count_grams()), "lang string, size int, gram string, n long")
     grams = grams.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
     grams = materialize(grams.groupBy("size", "gram").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns")), "grams")
     levels = words.groupBy("lang", "level").agg(F.count("*").alias("entries"), F.sum("n").alias("n")).collect()
@@ -306,12 +305,13 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> La
 
 
 def _kept_index(shared) -> tuple[dict[str, int], np.ndarray]:
-    """The broadcast common words and their votes, kept over the tasks of a worker process; only the latest are."""
-    kept = sys.modules.setdefault("_kinlink_common", types.ModuleType("_kinlink_common"))
-    if getattr(kept, "of", None) != shared[0]:
+    """The broadcast common words and their votes."""
+
+    def make():
         names, votes = shared[1].value
-        kept.of, kept.made = shared[0], ({w: k for k, w in enumerate(names)}, votes)
-    return kept.made
+        return {w: k for k, w in enumerate(names)}, votes
+
+    return held(shared[0], make)
 
 
 def _tally(text: str | None) -> Counter:
@@ -395,13 +395,13 @@ def _rare_votes(words: DataFrame, model: LanguageModel) -> DataFrame:
     n_langs, spark = len(model.langs), words.sparkSession
     counted = words.join(model.words, "word", "left").groupBy("word").agg(F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns"))
     counted = materialize(counted, "looked-up")
-    votes = counted.where(F.size("langs") > 0).mapInArrow(_votes_of_counted(model.langs, model.totals), "word string, votes binary")
+    votes = counted.where(F.size("langs") > 0).mapInArrow(trimmed(_votes_of_counted(model.langs, model.totals)), "word string, votes binary")
     unseen = counted.where(F.size("langs") == 0).select("word")
     if unseen.isEmpty():
         return votes
-    parts = [unseen.mapInArrow(_sums_of_pack(spark.sparkContext.broadcast(pack), n_langs), "word string, sums binary, hits binary") for pack in model.gram_packs()]
+    parts = [unseen.mapInArrow(trimmed(_sums_of_pack(spark.sparkContext.broadcast(pack), n_langs)), "word string, sums binary, hits binary") for pack in model.gram_packs()]
     sums = reduce(DataFrame.union, parts).groupBy("word").agg(F.collect_list("sums").alias("sums"), F.collect_list("hits").alias("hits"))
-    return votes.union(sums.mapInArrow(_votes_of_unseen(n_langs), "word string, votes binary"))
+    return votes.union(sums.mapInArrow(trimmed(_votes_of_unseen(n_langs)), "word string, votes binary"))
 
 
 def _decide(kept: list[str], langs: list[str]):
@@ -445,13 +445,13 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     source = bound_batches(docs)
     fields = [docs.schema[c] for c in kept]
     first = T.StructType([*fields, *T._parse_datatype_string("__some boolean, __sums binary, __rare array<string>, __ns array<long>").fields])
-    partial = source.mapInArrow(_sum_common(shared, kept, len(model.langs)), first)
+    partial = source.mapInArrow(trimmed(_sum_common(shared, kept, len(model.langs))), first)
     partial = materialize(partial.withColumn("__row", F.monotonically_increasing_id()), "partial")
     rare = partial.select("__row", F.explode(F.arrays_zip("__rare", "__ns")).alias("x")).select("__row", F.col("x.__rare").alias("word"), F.col("x.__ns").alias("n"))
     votes = _rare_votes(rare.select("word").distinct(), model)
     summed = rare.join(votes, "word").groupBy("__row").agg(F.collect_list("n").alias("__n"), F.collect_list("votes").alias("__votes"))
     whole = partial.drop("__rare", "__ns").join(summed, "__row", "left").select(*kept, "__some", "__sums", "__n", "__votes")
-    made = whole.mapInArrow(_decide(kept, model.langs), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    made = whole.mapInArrow(trimmed(_decide(kept, model.langs)), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return made.toDF(*names, "lang_pred", "score")
 
 

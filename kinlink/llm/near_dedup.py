@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import bitmap, textkit
 from kinlink.llm.components import connected_components
-from kinlink.llm.workdir import bound_batches, materialize
+from kinlink.llm.workdir import bound_batches, materialize, trimmed
 
 N_HASHES = 252
 BLOCK_ROWS = 256
@@ -244,7 +244,7 @@ def _compared(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     grouped = rows.join(sets_of(materialize(rows.select("rep").distinct(), "wanted")), "rep").select("key", "b1", "b2", "side", "rep", "label", "sig", "items")
     grouped = grouped.repartition(parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    return materialize(grouped.mapInArrow(_linker(percent), "key long, rep long, head long"), "heads")
+    return materialize(grouped.mapInArrow(trimmed(_linker(percent)), "key long, rep long, head long"), "heads")
 
 
 def _alone(rows: DataFrame, salt: int) -> DataFrame:
@@ -281,13 +281,16 @@ def _rest_of_large(named: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     groups = named.groupBy("key", "label").agg(F.count("*").alias("members"))
     several = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("members", "label")).alias("most")).where("groups > 1")
     several = materialize(several.select("key", F.col("most.label").alias("largest")), "several")
-    if several.isEmpty():
+    n_buckets = several.count()
+    if not n_buckets:
         return None
-    named = named.join(several, "key").withColumn("minor", F.col("label") != F.col("largest"))
+    # One row for each bucket: broadcast up to a checked number, so that no bucket's members are dealt to one task to be joined.
+    small = F.broadcast if n_buckets <= BROADCAST_IDS else lambda df: df
+    named = named.join(small(several), "key").withColumn("minor", F.col("label") != F.col("largest"))
     minor_n = F.when(F.col("minor"), F.col("n"))
     counts = named.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.count(minor_n).alias("minors"), F.coalesce(F.sum(minor_n), F.lit(0)).alias("minor_total"))
     plan = counts.select("key", _blocks(F.col("size"), F.col("total")).alias("all_blocks"), _blocks(F.col("minors"), F.col("minor_total")).alias("minor_blocks"))
-    planned = named.join(plan, "key")
+    planned = named.join(small(materialize(plan, "plan")), "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = planned.select("key", _place(0, "all_blocks").alias("b1"), every("minor_blocks").alias("b2"), F.lit(0).alias("side"), "rep", "label")
     two = planned.where("minor").select("key", every("all_blocks").alias("b1"), _place(0, "minor_blocks").alias("b2"), F.lit(1).alias("side"), "rep", "label")
@@ -318,7 +321,7 @@ def find_links(docs: DataFrame, classes: DataFrame, percent: int, width: int) ->
 
     def sets_of(reps: DataFrame) -> DataFrame:
         """(rep, sig, items) of some classes, made anew from the texts: nothing of the size of the corpus is written or shuffled."""
-        made = hashed.mapInArrow(_setter(width, _bits(reps.select(F.xxhash64("rep").alias("h")), "h")), "rep long, c1 long, c2 long, sig binary, items binary")
+        made = hashed.mapInArrow(trimmed(_setter(width, _bits(reps.select(F.xxhash64("rep").alias("h")), "h"))), "rep long, c1 long, c2 long, sig binary, items binary")
         return made.join(reps.join(classes.select("rep", "k1", "k2"), "rep"), "rep").where("c1 = k1 and c2 = k2").select("rep", "sig", "items")
 
     made = [_compared(_alone(members.withColumn("label", F.col("rep")), 0), sets_of, percent)]
@@ -345,7 +348,7 @@ def near_duplicates(
     plain = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, bands = plan_bands(percent / 100)
     signed = materialize(
-        plain.mapInArrow(_signer(width, rows, bands), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "signed"
+        plain.mapInArrow(trimmed(_signer(width, rows, bands)), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "signed"
     )
     classes = materialize(
         signed.where("n > 0 and doc_id is not null")

@@ -26,8 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import sys
-import types
 import uuid
 from functools import reduce
 
@@ -36,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm import bitmap, textkit
-from kinlink.llm.workdir import bound_batches, materialize, release
+from kinlink.llm.workdir import bound_batches, held, materialize, release, trimmed
 
 ORDER = 5
 FOLDS = 2
@@ -200,7 +198,7 @@ def count(trusted: DataFrame) -> DataFrame:
     trusted: fold, lang, text. Models are named fold:lang, and those of texts without a language fold:*.
     """
     named = bound_batches(trusted).select(F.concat("fold", F.lit(":"), F.coalesce("lang", F.lit(ANY))).alias("model"), "text")
-    top = named.mapInArrow(_count_events(), "model string, ctx string, c string, n long")
+    top = named.mapInArrow(trimmed(_count_events()), "model string, ctx string, c string, n long")
     return materialize(top.groupBy("model", "ctx", "c").agg(F.sum("n").alias("n")), "events")
 
 
@@ -370,15 +368,6 @@ def hot_entries(model: DataFrame, most: int) -> tuple:
     return keys, *logs, rest, cut is not None
 
 
-def _kept_scorer(shared) -> Scorer:
-    """The scorer of a broadcast, kept over the tasks of a worker process; only the latest is."""
-    kept = sys.modules.setdefault("_kinlink_scorer", types.ModuleType("_kinlink_scorer"))
-    if getattr(kept, "of", None) != shared[0]:
-        kept.made = None
-        kept.of, kept.made = shared[0], Scorer(*shared[1].value)
-    return kept.made
-
-
 SCORED = (
     "doc_id long, trusted boolean, model string, logp double, n long, worst array<double>, "
     "words array<struct<w:int,logp:double,n:int>>, events array<struct<w:int,s:string,o:int,v:double>>"
@@ -394,7 +383,7 @@ def _score_rows(shared):
     def run(batches):
         import pyarrow as pa
 
-        scorer = _kept_scorer(shared)
+        scorer = held(shared[0], lambda: Scorer(*shared[1].value))
 
         def lists(of: list[np.ndarray], n_rows: int, names: list[str], columns: list):
             offsets = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(of), minlength=n_rows) if of else np.zeros(n_rows, int))])
@@ -485,7 +474,7 @@ def score(docs: DataFrame, model: DataFrame, most: int | None = None) -> DataFra
     """
     hot = hot_entries(model, HOT_ENTRIES if most is None else most)
     shared = uuid.uuid4().hex, bound_batches(docs).sparkSession.sparkContext.broadcast(hot)
-    partial = docs.select("doc_id", "trusted", "model", "text").mapInArrow(_score_rows(shared), SCORED)
+    partial = docs.select("doc_id", "trusted", "model", "text").mapInArrow(trimmed(_score_rows(shared)), SCORED)
     partial = materialize(partial.withColumn("row", F.monotonically_increasing_id()), "partial")
     made = ["row", "doc_id", "trusted", "model", "logp", "n", "worst"]
     if hot[-2] is None:

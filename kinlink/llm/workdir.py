@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +28,30 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def held(key: str, make: Callable[[], object]):
+    """What make gives, kept over the tasks of a Python worker. Only the latest key is, so that operators do not add up there."""
+    slot = sys.modules.setdefault("_kinlink_held", types.ModuleType("_kinlink_held"))
+    if getattr(slot, "key", None) != key:
+        slot.key = slot.value = None
+        slot.value = make()
+        slot.key = key
+    return slot.value
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that gives freed memory back to the system when its task ends, where the C library can."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 

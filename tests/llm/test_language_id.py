@@ -61,6 +61,49 @@ def test_backoff_scores(spark):
         assert np.allclose(language_id.Predictor(model).scores([word, "the"])[0], want)
 
 
+def test_query_against_brute_force(spark):
+    """Every prediction and score of the query, from plain counts over the rows it may learn from."""
+    import zlib
+
+    texts, langs = corpus(40)
+    odd = {100: "thinkable schulgarten the the", 101: "xyz über qqq", 102: None, 103: "1 2 3", 104: "durchschnitt, withinn; THE Garten!", 105: prose(400, 9, EN + DE)}
+    langs |= {100: None, 101: "fr", 102: "en", 103: "de", 104: None, 105: "en"}
+    texts += list(odd.items())
+    held = {k: zlib.crc32(str(k).encode()) % 3 == 1 for k, _ in texts}
+    counts = {}
+    for k, t in texts:
+        if t and langs[k] and not held[k]:
+            counts.setdefault(langs[k], Counter()).update(language_id.words_in(t))
+    names = sorted(counts)
+    gram = {size: {lang: Counter() for lang in names} for size in language_id.ORDERS}
+    for size in gram:
+        for lang, c in counts.items():
+            for w, n in c.items():
+                for g in language_id.grams_of(w, size):
+                    gram[size][lang][g] += n
+
+    def vote(word):
+        score = np.zeros(len(names))
+        tables = [(counts, [word]), *((gram[size], language_id.grams_of(word, size)) for size in language_id.ORDERS)]
+        for table, keys in tables:
+            known = [k for k in keys if any(table[lang][k] for lang in names)]
+            if known:
+                score = np.mean([[math.log(table[lang][k] + 0.5) - math.log(sum(table[lang].values()) + 2) for lang in names] for k in known], axis=0)
+                break
+        return np.maximum(score - score.max(), -language_id.VOTE)
+
+    got = {r.doc_id: r for r in language_id.language_id_digest(documents(spark, texts, langs)).collect()}
+    for k, t in texts:
+        words = language_id.words_in(t)
+        assert got[k].held_out == held[k]
+        if not words:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        total = sum(vote(w) for w in words)
+        share = np.exp(total - total.max())
+        assert got[k].lang_pred == names[int(total.argmax())] and abs(got[k].score - share.max() / share.sum()) < 1e-9, k
+
+
 def test_undetermined_and_odd_rows(spark):
     texts, langs = corpus(12)
     odd = [(50, None), (51, ""), (52, "123 ... ½ ²"), (53, "the " * 50_000), (54, "the"), (54, "the"), (None, "garten und")]
