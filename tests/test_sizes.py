@@ -31,3 +31,14 @@ def test_best_cosines_are_those_of_all_pairs(spark, monkeypatch):
     assert rows(tfidf.tfidf_join(a, g, F.col("t"), 0.3, top_k=4)) == want and want
     assert rows(tfidf.tfidf_adaptive(a, g, F.col("t"), 0.3, 2, 6, 0.1)) == want_there
     assert rows(tfidf.tfidf_bidirectional(a, g, F.col("t"), 0.3, (2, 6, 0.1), (1, 3, 0.05))) == want_both
+
+
+def test_copies_of_a_name_are_not_all_pooled(spark):
+    schema = "entity_id string, business_name_clean string, country_clean string"
+    a = spark.createDataFrame([("a0", "blue ring large", "us"), ("a1", "blue ring large", "us")], schema)
+    g = spark.createDataFrame([(f"g{i:03}", "blue ring large", "us") for i in range(200)] + [("h", "blue ring larger", "us")], schema)
+    real = spark.createDataFrame([("a0", "g000"), ("a1", "g001")], "s1_id string, cand_id string")
+    pool = training.similar_pool(a, g, real, 1)
+    ranked = training.ranked_hard(training.same_country_pool(a, g, pool), real).where("rank = 1")
+    assert sorted((r.s1_id, r.cand_id) for r in ranked.collect()) == [("a0", "g001"), ("a1", "g000")]
+    assert pool.count() <= 4
