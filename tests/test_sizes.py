@@ -42,3 +42,20 @@ def test_copies_of_a_name_are_not_all_pooled(spark):
     ranked = training.ranked_hard(training.same_country_pool(a, g, pool), real).where("rank = 1")
     assert sorted((r.s1_id, r.cand_id) for r in ranked.collect()) == [("a0", "g001"), ("a1", "g000")]
     assert pool.count() <= 4
+
+
+@pytest.fixture(scope="module")
+def shared_ids(tmp_path_factory):
+    """Parts whose keys lie a million apart, so that records of the gallery share ids."""
+    folder, con = tmp_path_factory.mktemp("shared-ids"), duckdb.connect()
+    con.execute(f"copy (select p.* replace (case k when 0 then p_partkey else 1000000 + p_partkey * 7 % 200 end as p_partkey) from '/root/testdata/sf0.001/part.parquet' p, range(2) r(k)) to '{folder}/part.parquet' (format parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["er_views"])
+def test_records_that_share_an_id_count_each(spark, shared_ids, name):
+    from test_catalog import rows_of
+
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{shared_ids}/part.parquet'")
+    assert rows_of(entry.queries()[name](spark, shared_ids).toPandas()) == rows_of(con.execute(entry.oracle_sql()[name]).fetchdf())
