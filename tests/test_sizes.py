@@ -44,6 +44,20 @@ def test_copies_of_a_name_are_not_all_pooled(spark):
     assert pool.count() <= 4
 
 
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "entity_id string, business_name_clean string, business_address_clean string")
+
+
+@pytest.mark.parametrize("leg", [blocking.minhash_leg])
+def test_pairs_of_names_are_distinct_without_a_shuffle_of_all(spark, leg):
+    a = keyed(spark, [("a", "blue ring", ""), ("a", "blue rings", ""), ("b", "blue ring", ""), ("b", "blue ring", "")])
+    g = keyed(spark, [("x", "blue ring", ""), ("x", "blue rings", ""), ("y", "blue rings", ""), ("y", "blue rings", "")])
+    found = leg(a, g)
+    want = [("a", "x"), ("a", "y"), ("b", "x")] + ([("b", "y")] if leg is blocking.minhash_leg else [])
+    assert sorted((r.s1_id, r.cand_id) for r in found.collect()) == want
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().nodeName()
+
+
 @pytest.fixture(scope="module")
 def shared_ids(tmp_path_factory):
     """Parts whose keys lie a million apart, so that records of the gallery share ids."""
