@@ -48,7 +48,7 @@ def keyed(spark, rows):
     return spark.createDataFrame(rows, "entity_id string, business_name_clean string, business_address_clean string")
 
 
-@pytest.mark.parametrize("leg", [blocking.minhash_leg])
+@pytest.mark.parametrize("leg", [blocking.exact_name, blocking.minhash_leg])
 def test_pairs_of_names_are_distinct_without_a_shuffle_of_all(spark, leg):
     a = keyed(spark, [("a", "blue ring", ""), ("a", "blue rings", ""), ("b", "blue ring", ""), ("b", "blue ring", "")])
     g = keyed(spark, [("x", "blue ring", ""), ("x", "blue rings", ""), ("y", "blue rings", ""), ("y", "blue rings", "")])
