@@ -85,6 +85,18 @@ def test_records_that_share_an_id_count_each(spark, shared_ids, name):
     assert rows_of(entry.queries()[name](spark, shared_ids).toPandas()) == rows_of(con.execute(entry.oracle_sql()[name]).fetchdf())
 
 
+def test_fits_side_by_side_choose_as_one_after_the_other(spark, monkeypatch):
+    from kinlink.operators import models
+
+    rows = [(f"s{i}", f"c{i}", int(i % 3 == 0), (i % 7) / 7 + (i % 3 == 0) * 0.3) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "s1_id string, cand_id string, label int, x double")
+    train = models.folds(models.balanced(models.assemble(pairs, ("x",))), 3).coalesce(1).persist()
+    spaces = {"forest": (models.RandomForestClassifier, {"numTrees": (2, 3), "maxDepth": (1, 2)})}
+    side_by_side = models.tune_all(train, ("forest",), 2, space=spaces)
+    monkeypatch.setattr(models, "_together", lambda _, tasks: [task() for task in tasks])
+    assert models.tune_all(train, ("forest",), 2, space=spaces) == side_by_side
+
+
 def test_a_wrong_pair_counts_for_each_of_its_scores(spark):
     from kinlink.operators import metrics
 
