@@ -85,6 +85,18 @@ def test_records_that_share_an_id_count_each(spark, shared_ids, name):
     assert rows_of(entry.queries()[name](spark, shared_ids).toPandas()) == rows_of(con.execute(entry.oracle_sql()[name]).fetchdf())
 
 
+def test_mean_ratios_that_print_with_a_last_5_round_as_in_sql(spark, tmp_path):
+    """The mean of 0.35625 and 0.653125 lies below 0.5046875, as it prints; two records that share an id give it."""
+    from test_catalog import rows_of
+
+    con = duckdb.connect()
+    con.execute("create table part as select * from (values (1065032, 'hot bolt', 'Brand#18', 'LARGE'), (65032, 'small widget', 'Brand#18', 'PROMO')) t(p_partkey, p_name, p_brand, p_type)")
+    con.execute(f"copy (select p_partkey::bigint as p_partkey, p_name, p_brand, p_type from part) to '{tmp_path}/part.parquet' (format parquet)")
+    got = entry.queries()["er_feat_weighted_ratio"](spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == rows_of(con.execute(entry.oracle_sql()["er_feat_weighted_ratio"]).fetchdf())
+    assert 0.504687 in set(got.weighted_avg)
+
+
 def test_fits_side_by_side_choose_as_one_after_the_other(spark, monkeypatch):
     from kinlink.operators import models
 
