@@ -54,6 +54,21 @@ def test_copies_of_a_name_are_not_all_pooled(spark):
     assert pool.count() <= 4
 
 
+def test_hard_negatives_send_no_table_of_records_to_all(spark, monkeypatch):
+    """Files of many records may have few bytes; what is joined by a record's id or place is not broadcast for that."""
+    plans, plain = [], training.keep
+    plan = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(training, "keep", lambda df: plan(df) or plain(df))
+    schema = "entity_id string, business_name_clean string, country_clean string"
+    side = lambda x, n: plain(spark.createDataFrame([(f"{x}{i}", f"blue ring {'large' * (i % 3)}", ("us", "fr")[i % 2]) for i in range(n)], schema))
+    real = plain(spark.createDataFrame([(f"a{i}", f"g{i}") for i in range(10)], "s1_id string, cand_id string"))
+    made = training.hard_negatives(side("a", 10), side("g", 30), real)
+    plan(made)
+    sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in sent if any(k in line.split("],")[0] for k in ("s1_id", "cand_id", "entity_id", "place"))]
+    assert made.count() == 20 and made.join(real, ["s1_id", "cand_id"]).isEmpty()
+
+
 def keyed(spark, rows):
     return spark.createDataFrame(rows, "entity_id string, business_name_clean string, business_address_clean string")
 
