@@ -124,6 +124,17 @@ def test_fits_side_by_side_choose_as_one_after_the_other(spark, monkeypatch):
     assert models.tune_all(train, ("forest",), 2, space=spaces) == side_by_side
 
 
+def test_fits_of_as_many_tasks_as_cores_run_side_by_side(spark):
+    from threading import Barrier
+
+    from kinlink.operators import models
+
+    cores, met = spark.sparkContext.defaultParallelism, Barrier(2)
+    train = spark.range(100).repartition(cores)
+    assert models._together(train, [lambda: met.wait(20) >= 0] * 2) == [True, True]
+    assert [models._n_tasks(n, 8) for n in (5, 90_000, 1_000_000, 20_000_000)] == [1, 4, 8, 80]
+
+
 def test_a_wrong_pair_counts_for_each_of_its_scores(spark):
     from kinlink.operators import metrics
 
